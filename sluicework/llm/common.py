@@ -109,3 +109,41 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def round_trip(chunks: DataFrame, emit, merge, finish, schema: str) -> DataFrame:
+    """Each chunk asks something of all the others: chunk -> buckets -> the same chunk again.
+
+    ``emit(chunk, table)`` yields (bucket, bytes); ``merge(bucket, [(chunk, bytes)])`` yields (chunk, bytes);
+    ``finish(chunk, table, {bucket: bytes})`` gives the resulting pa.Table. The texts are shuffled once: both readers of
+    ``chunks`` share one exchange. ``emit`` and ``finish`` must order a chunk's rows alike.
+    """
+    blob = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())])
+
+    def out(key, table):
+        chunk = key[0].as_py()
+        found = list(emit(chunk, table))
+        return pa.Table.from_arrays(
+            [pa.array([b for b, _ in found], pa.int64()), pa.array([chunk] * len(found), pa.int32()), pa.array([d for _, d in found], pa.binary())], schema=blob
+        )
+
+    def met(key, table):
+        bucket = key[0].as_py()
+        table = table.sort_by("chunk")
+        found = list(merge(bucket, list(zip(table["chunk"].to_pylist(), table["data"].to_pylist(), strict=True))))
+        return pa.Table.from_arrays(
+            [pa.array([bucket] * len(found), pa.int64()), pa.array([c for c, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], schema=blob
+        )
+
+    def back(key, table, answers):
+        return finish(key[0].as_py(), table, dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist(), strict=True)))
+
+    text = "bucket long, chunk int, data binary"
+    asked = chunks.groupBy("chunk").applyInArrow(out, text)
+    answers = asked.groupBy("bucket").applyInArrow(met, text).withColumnRenamed("chunk", "of_chunk")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(back, schema)
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """A chunk's rows by id (null last), then text."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])

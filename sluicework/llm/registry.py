@@ -6,6 +6,9 @@ import importlib
 
 _NAMES = {
     "op1_token_files": "token_files",
+    "op4_substring_dedup": "repeats",
+    "op6_context_tree": "context_tree",
+    "op8_mixing": "mixing",
     "op9_packing": "packing",
     "op10_language_id": "language_id",
 }
