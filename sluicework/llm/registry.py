@@ -6,8 +6,12 @@ import importlib
 
 _NAMES = {
     "op1_token_files": "token_files",
+    "op2_jaccard_join": "near_copies",
+    "op3_hamming_search": "hamming",
     "op4_substring_dedup": "repeats",
+    "op5_secret_scan": "secrets",
     "op6_context_tree": "context_tree",
+    "op7_hash_forest": "hash_forest",
     "op8_mixing": "mixing",
     "op9_packing": "packing",
     "op10_language_id": "language_id",
