@@ -1,0 +1,283 @@
+"""Token files, packing, repeats, scoring, mixing and language ID against plain Python."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sluicework.llm import context_tree, language_id, mixing, packing, repeats, token_files
+from sluicework.llm.common import crc_mod, scratch_dir
+from sluicework.llm.tokens import default_tokenizer
+
+LAST = 1 << 63
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.fixture(scope="module")
+def ids():
+    t = Tokenizer.from_file(default_tokenizer())
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 1), (1, 1), (1, 10**9), (1000, 7), (5000, 10**10), (777, 778)):
+        values = np.sort(rng.integers(0, top, n))
+        ef, _ = token_files.EliasFano.from_bytes(memoryview(token_files.EliasFano.build(values, top).to_bytes()))
+        assert ef.values().tolist() == values.tolist()
+        assert [ef.select(i) for i in range(0, n, 7)] == values[::7].tolist()
+    dense = token_files.EliasFano.build(np.arange(0, 800_000, 8), 800_000)
+    assert 8 * len(dense.to_bytes()) / 100_000 < 6  # bits a value
+
+
+def test_token_files(spark, docs, rows, ids):
+    path = scratch_dir(spark)
+    token_files.write_tokens(docs, path, default_tokenizer(), 2)
+    got = [tuple(r) for r in token_files.read_tokens(spark, path).orderBy("start").collect()]
+    want, at = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        tokens = [*ids(t), 2]
+        want.append((d, at, len(tokens), crc(tokens)))
+        at += len(tokens)
+    assert got == want
+
+
+def test_token_files_of_nothing(spark, empty):
+    path = scratch_dir(spark)
+    token_files.write_tokens(empty, path, default_tokenizer(), 2)
+
+
+def test_whole_texts_encode_as_their_words(ids):
+    from sluicework.llm.tokens import encoder
+    import pyarrow as pa
+
+    texts = ["á ́b  İstanbul", "<|endoftext|> x<|startoftext|>y", "௰ 9௰௰ a௰b", "don't we'll 3.14 ###", "x y z", "ﬁn étude", "", "Σ ΟΔΟΣ."]
+    out, offsets = encoder(default_tokenizer()).encode(pa.array(texts), 1)
+    assert [out[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [[*ids(t), 1] for t in texts]
+
+
+def test_packing(docs, rows, ids):
+    got = packing.pack(docs, default_tokenizer(), 1, capacity=256, group_bytes=20_000).toPandas()
+    texts = collections.Counter((d, crc([*ids(t), 1])) for d, t in rows)
+    assert got.groupby("sequence_id").length.sum().max() <= 256
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+    assert got.length.sum() == sum(len(ids(t)) + 1 for _, t in rows)
+    whole = got[(got.length == got.doc_tokens)]
+    for d, c in whole[["doc_id", "ids_crc32"]].itertuples(index=False):
+        assert (None if d != d else d, c) in texts
+    long = got[got.doc_tokens > 20_000].sort_values("start")
+    tokens = next([*ids(t), 1] for _, t in rows if t and len(t) > 50_000)
+    assert all(crc(tokens[a : a + n]) == c for a, n, c in long[["start", "length", "ids_crc32"]].itertuples(index=False))
+    groups = got.assign(g=got.sequence_id // packing.SPAN).groupby("g")
+    assert all((g.groupby("sequence_id").length.sum() < 256).sum() <= 1 for _, g in groups)
+
+
+def test_packing_of_nothing(empty):
+    assert packing.pack(empty, default_tokenizer(), 1).count() == 0
+
+
+def test_first_fit_decreasing_is_first_fit():
+    rng = random.Random(4)
+    for _ in range(20):
+        lengths = np.array([rng.randint(1, 100) for _ in range(rng.randint(0, 60))], np.int64)
+        bins, want = [], []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            at = next((k for k, b in enumerate(bins) if b + lengths[i] <= 100), None)
+            if at is None:
+                bins.append(0)
+                want.append([])
+                at = len(bins) - 1
+            bins[at] += lengths[i]
+            want[at].append(i)
+        assert packing.first_fit_decreasing(lengths, 100) == want
+
+
+def plain_repeats(rows, width):
+    texts = [(LAST if d is None else d, (t or "").encode().split()) for d, t in rows]
+    first = {}
+    for d, w in texts:
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            first[key] = min(d, first.get(key, LAST))
+    out = []
+    for (d, w), (key, _) in zip(texts, rows, strict=True):
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if first[tuple(w[k : k + width])] < d:
+                gone.update(range(k, k + width))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((key, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("width", [13, 3])
+def test_repeats(docs, rows, width):
+    order = lambda r: (r[0] is not None, r)
+    got = repeats.remove_repeats(docs, width)
+    text = {r.kept_sha256: r.kept_text for r in got.collect()}
+    assert all(hashlib.sha256(t.encode()).hexdigest() == h for h, t in text.items())
+    mine = sorted((tuple(r)[:4] for r in got.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
+    want = sorted(plain_repeats(rows, width), key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
+    assert mine == want and sum(r[2] for r in mine) > 0 and order
+
+
+def test_repeats_of_nothing(empty):
+    assert repeats.remove_repeats(empty).count() == 0
+
+
+def test_scores(docs, rows):
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    got = context_tree.score(docs, held).toPandas()
+    is_held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    tokens = [(d, (t or "").encode().lower().split() + [b""]) for d, t in rows]
+    counts = collections.Counter(w for d, ws in tokens if not is_held(d) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((is_held(d), len(ws), sum(counts[w] > 0 for w in ws), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in tokens)
+    mine = sorted((h, a, b, round(s, 6)) for h, a, b, s in got[["held_out", "n_tokens", "n_known", "base_score"]].itertuples(index=False))
+    assert [m[:3] for m in mine] == [w[:3] for w in want] and all(abs(m[3] - w[3]) < 1e-5 for m, w in zip(mine, want, strict=True))
+    assert (got.train_tokens == n).all() and (got.score < 0).all()
+
+
+def slow_tree(symbols, ctx, byte):
+    """Context-tree weighting by definition: P(byte | ctx) over counts of (ctx, byte), bit by bit."""
+    def pe(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def pw(rows, d):
+        a, b = sum(n for _, bit, n in rows if not bit), sum(n for _, bit, n in rows if bit)
+        if d == context_tree.DEPTH:
+            return pe(a, b)
+        kids = collections.defaultdict(list)
+        for c, bit, n in rows:
+            kids[c[-(d + 1)]].append((c, bit, n))
+        deeper = sum(pw(k, d + 1) for k in kids.values())
+        return np.logaddexp(pe(a, b), deeper) - math.log(2)
+
+    total = 0.0
+    for j in range(8):
+        node = [(c, (s >> (7 - j)) & 1, n) for (c, s), n in symbols.items() if s >> (8 - j) == byte >> (8 - j)]
+        bit = (byte >> (7 - j)) & 1
+        total += pw([*node, (ctx, bit, 1)], 0) - pw(node, 0) if node else math.log(0.5)
+    return total / math.log(10)
+
+
+def test_code_length_is_that_of_the_weighted_tree(spark):
+    text = "aba abb aba bab abab ab"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = context_tree.train(docs)
+    symbols = collections.Counter()
+    for w in text.split():
+        seq = w.encode() + b" "
+        for i, b in enumerate(seq):
+            symbols[(bytes(context_tree.DEPTH) + seq[:i])[-context_tree.DEPTH :], b] += 1
+    symbols[bytes(context_tree.DEPTH), context_tree.END] += 1
+    grams, _ = context_tree.byte_grams(["aba", "bab"])
+    got = model.score(grams)
+    for g, s in zip(grams.tolist(), got, strict=True):
+        ctx = (g >> 8).to_bytes(context_tree.DEPTH, "big")
+        assert abs(s - slow_tree(symbols, ctx, g & 255)) < 1e-4
+    total = sum(10 ** model.score(np.array([(grams[1] >> 8 << 8) | b for b in range(256)])))
+    assert abs(total - 1) < 1e-3
+
+
+def test_scores_of_nothing(empty):
+    assert context_tree.score(empty, F.lit(False)).count() == 0
+
+
+def plain_targets(sizes):
+    """Reshare the excess until no source is above its bound."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not full:
+            return out | share
+        for s in full:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_mixing(docs, rows):
+    out = mixing.mix(docs).select("row.doc_id", "row.text", "row.source", "size", "source_size", "target", "copies").toPandas()
+    assert len(out) == len(rows) and (out["size"] == [len((t or "").encode().split()) for t in out.text]).all()
+    out["source"] = out.source.where(out.source.notna(), "~null")
+    sizes = {None if s == "~null" else s: n for s, n in out.groupby("source")["size"].sum().items()}
+    want = plain_targets(sizes)
+    for s, g in out.groupby("source"):
+        s = None if s == "~null" else s
+        assert abs(g.target.iloc[0] - want[s]) < 1e-6 and (g.source_size == sizes[s]).all()
+        assert abs((g["size"] * g.copies).sum() - want[s]) <= g["size"].max()
+    assert out.copies.between(0, 2).all()
+    again = mixing.mix(docs.repartition(5)).select("row.doc_id", "row.text", "copies").toPandas()
+    key = lambda d: sorted((str(a), str(b), c) for a, b, c in d[["doc_id", "text", "copies"]].itertuples(index=False))
+    assert key(out) == key(again)
+
+
+def test_mixing_keeps_expectations(spark):
+    n = 4000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.mix(docs).groupBy("row.source").agg(F.avg("copies").alias("c"), F.max("copies").alias("m")).collect()
+    assert {r.source: round(r.c, 2) for r in out} == {"a": 2.0, "b": 1.0}
+    small = spark.createDataFrame([(i, "w " * (i % 5 + 1), "ab"[i % 3 == 0]) for i in range(3000)], "doc_id long, text string, source string")
+    rows = mixing.mix(small).select("row.source", "size", "target", "source_size", "copies").toPandas()
+    for _, g in rows.groupby(["source", "size"]):
+        assert abs(g.copies.mean() - g.target.iloc[0] / g.source_size.iloc[0]) < 0.1
+    for _, g in rows.groupby("source"):
+        assert abs((g["size"] * g.copies).sum() - g.target.iloc[0]) <= 5
+
+
+def test_mixing_of_nothing(empty):
+    assert mixing.mix(empty).count() == 0
+
+
+def test_language_id(spark, sf_dir):
+    out = language_id.op10_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert len(out) == 1000 and (held.lang == held.lang_pred).mean() > 0.97 and out.score.between(0, 1).all()
+
+
+def test_language_id_cases(docs, rows, empty):
+    model = language_id.train(docs)
+    out = language_id.identify(docs, model).toPandas()
+    assert len(out) == len(rows) and list(out.columns) == [*docs.columns, "lang_pred", "lang_score"]
+    for text, pred, score in out[["text", "lang_pred", "lang_score"]].itertuples(index=False):
+        letters = isinstance(text, str) and any(c.isalpha() for c in text)
+        assert (pred == "und") == (not letters) and (score > 0) == letters
+    none = language_id.train(empty)
+    assert language_id.identify(docs, none).where("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(empty, model).count() == 0
+
+
+def test_bayes_by_hand(spark):
+    docs = spark.createDataFrame([(1, "aa ab", "x"), (2, "bb ba bb", "y"), (3, "bb", "y")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    counts = {k: collections.Counter() for k in "xy"}
+    for text, lang in (("aa ab", "x"), ("bb ba bb", "y"), ("bb", "y")):
+        ws = text.split()
+        for at, bucket in language_id.word_ngrams(ws, model.bits):
+            counts[lang].update(bucket.tolist())
+    size = 1 << model.bits
+    want = []
+    for k, prior in (("x", 1 / 3), ("y", 2 / 3)):
+        total = sum(counts[k].values())
+        want.append(math.log(prior) + sum(math.log((counts[k][b] + 0.5) / (total + 0.5 * size)) for _, bs in language_id.word_ngrams(["ab", "bb"], model.bits) for b in bs.tolist()))
+    import pyarrow as pa
+
+    pred, score = language_id.score_batch(pa.array(["ab bb"]), model)
+    assert pred == ["xy"[int(np.argmax(want))]] and abs(score[0] - 1 / (1 + math.exp(min(want) - max(want)))) < 1e-4
