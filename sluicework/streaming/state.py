@@ -47,7 +47,7 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
 def lane_counts(submissions: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Submissions for each lane and window; a row later than the watermark is left out."""
-    known = submissions.where(F.col("lane").isin(model.LANES)).withWatermark("created_at", late)
+    known = submissions.where(F.col("lane").isin(model.LANES)).withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
     return known.groupBy(F.window("created_at", window), "lane").agg(F.count(F.lit(1)).alias("submitted"))
 
 

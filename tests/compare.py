@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -19,7 +21,7 @@ def duck(sf_dir: str):
 
 def normal(frame):
     def text(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return ""
         if isinstance(v, bool) or str(type(v)).endswith("bool'>"):
             return str(bool(v))
