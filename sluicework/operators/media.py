@@ -138,3 +138,19 @@ def asset_hits(samples: DataFrame, matches: DataFrame) -> DataFrame:
     """The nearest hit of each asset's samples, first sample first."""
     rows = samples.join(matches, "sample_id").groupBy("asset").agg(F.min(F.struct("distance", "index", "known")).alias("b"))
     return rows.select("asset", "b.distance", F.col("b.index").alias("sample_index"), "b.known")
+
+
+def by_area(renditions: DataFrame) -> DataFrame:
+    """Renditions of each asset with their place by pixel area, largest first, ties by name: the first is the reference."""
+    order = Window.partitionBy("asset").orderBy(F.desc(F.col("width") * F.col("height")), "name")
+    return renditions.withColumn("pos", F.row_number().over(order))
+
+
+def asset_plan(sources: DataFrame, index: DataFrame, target_ms: int = model.SPLIT_TARGET_MS) -> DataFrame:
+    """(source, whole, chunks, rungs, fast_rung, jobs, dedupe_key): what is submitted for each probed source."""
+    chunks = split_plan(index, target_ms).groupBy("source").agg(F.first("whole").alias("whole"), F.count(F.lit(1)).alias("chunks"))
+    steps = ladder_plan(sources)
+    rungs = steps.groupBy("source").agg(F.count(F.lit(1)).alias("rungs"))
+    fast = fast_path(steps, ["source"]).select("source", F.col("rung").alias("fast_rung"))
+    rows = chunks.join(rungs, "source").join(fast, "source")
+    return rows.select("*", (F.col("chunks") * F.col("rungs")).alias("jobs"), F.concat(F.lit("asset:"), F.col("source").cast("string")).alias("dedupe_key"))

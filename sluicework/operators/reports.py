@@ -113,3 +113,15 @@ def vmaf_metrics(reports: DataFrame, body: str = "report") -> DataFrame:
         return F.when(value.isNull(), F.raise_error(F.lit(f"report lacks {n}"))).otherwise(value).alias(n) if required else value.alias(n)
 
     return rows.select(*keys, F.coalesce(F.when(F.col("j.frames").isNotNull(), F.size("j.frames")), F.lit(0)).alias("frames"), *[metric(n, r) for n, r in names.items()])
+
+
+def build(files: DataFrame, probes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(file, finding, rung, scored) for every file of a corpus.
+
+    A file that could not be read, or that has no video, is an entry with a finding and never left out.
+    files: (file); probes: (file, n_video); scores: (file, rung, metric, value)."""
+    entries = files.join(probes, "file", "left").withColumn("finding", F.when(F.col("n_video").isNull(), "unreadable").when(F.col("n_video") == 0, "no video"))
+    rungs = scores.groupBy("file", "rung").agg((F.count("value") > 0).alias("scored"))
+    whole = entries.where(F.col("finding").isNull()).select("file", "finding").join(rungs, "file", "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
+    bad = entries.where(F.col("finding").isNotNull()).select("file", "finding", F.lit(None).cast("string").alias("rung"), F.lit(False).alias("scored"))
+    return whole.unionByName(bad)

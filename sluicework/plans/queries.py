@@ -470,3 +470,62 @@ def admission_ticks(spark, d):
     config = tick.Config(total_slots=SLOTS, rate_window=RECENT, stall_seconds=STALL_DAYS * 86_400)
     work, _ = tick.run(cut(p.work(spark, d)), limits, p.as_of(), 3, config, cut)
     return work.groupBy("lane", "tenant_id", "state").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"))
+
+
+@query("""WITH m AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) % 50 AS dur, l_linenumber % 4 AS st, l_suppkey % 4 AS rot, l_partkey AS k, l_linenumber % 3 AS nv, l_suppkey % 2 AS na FROM lineitem),
+  x AS (SELECT array_to_string(list_filter([
+    CASE WHEN nv > 0 AND k % 7 = 0 THEN 'variable_frame_rate' END, CASE WHEN nv > 0 AND rot > 0 THEN 'rotation_metadata' END, CASE WHEN nv > 0 AND k % 9 = 0 THEN 'non_monotonic_timestamps' END,
+    CASE WHEN nv > 0 AND st > 0 THEN 'start_time_offset' END, CASE WHEN nv > 0 AND k % 8 = 0 THEN 'no_keyframe_index' END, CASE WHEN nv > 0 AND k % 8 = 1 THEN 'sparse_keyframes' END, CASE WHEN dur = 0 THEN 'unknown_duration' END,
+    CASE WHEN nv > 1 THEN 'multiple_video_streams' END, CASE WHEN na = 0 THEN 'no_audio' END, CASE WHEN nv > 0 AND k % 6 = 0 THEN 'non_square_pixels' END, CASE WHEN nv > 0 AND k % 10 < 2 THEN 'hdr_transfer' END], lambda w: w IS NOT NULL), ',') AS warnings,
+    nv > 0 AND (k % 7 = 0 OR rot > 0 OR k % 9 = 0 OR st > 0 OR k % 6 = 0) AS normalise FROM m)
+  SELECT warnings, normalise, count(*) AS n FROM x GROUP BY ALL""")
+def probe_warnings(spark, d):
+    k = F.col("l_partkey")
+    pick = lambda n, when, other, *more: F.when(k % n == 0, when).otherwise(other if not more else F.when(k % n == 1, more[0]).otherwise(other))
+    longs = lambda *v: F.array(*[F.lit(x).cast("long") for x in v])
+    m = F.struct(
+        (F.floor("l_extendedprice") % 50).alias("duration_ms"), (F.col("l_linenumber") % 4).alias("start_time"), (F.col("l_suppkey") % 4 * 90).alias("rotation"), pick(6, 4, 1).alias("sar_num"), pick(6, 3, 1).alias("sar_den"),
+        F.lit(30).alias("avg_num"), F.lit(1).alias("avg_den"), pick(7, 25, 30).alias("real_num"), F.lit(1).alias("real_den"), pick(10, "smpte2084", "bt709", "arib-std-b67").alias("transfer"),
+        (F.col("l_linenumber") % 3).alias("n_video"), (F.col("l_suppkey") % 2).alias("n_audio"), pick(8, F.array().cast("array<bigint>"), longs(0, 10_000), longs(0, 20_000)).alias("keyframes"), pick(9, longs(1, None, 0), longs(0, None, 2)).alias("dts"),
+    )
+    rows = p.table(spark, d, "lineitem").select(media.warnings_of(m).alias("w"))
+    return rows.groupBy(F.array_join("w", ",").alias("warnings"), media.needs_normalising(F.col("w")).alias("normalise")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS source, p_size % 2 = 1 AS h265, p_partkey % 3 <> 0 AS crf, p_size AS g, p_partkey AS b FROM part)
+  SELECT source, array_to_string(list_sort(list_filter(['preset=medium', CASE WHEN crf THEN 'crf=23' END, CASE WHEN crf AND h265 THEN 'x265-params=vbv-maxrate=' || b || ':vbv-bufsize=' || 2 * b || ':keyint=' || g || ':min-keyint=' || g || ':scenecut=0:open-gop=0' END,
+    CASE WHEN crf AND NOT h265 THEN 'maxrate=' || b * 1000 END, CASE WHEN crf AND NOT h265 THEN 'bufsize=' || b * 2000 END, CASE WHEN NOT crf THEN 'b=' || b END, CASE WHEN NOT h265 THEN 'keyint_min=' || g END,
+    CASE WHEN NOT h265 THEN 'sc_threshold=0' END, CASE WHEN NOT h265 THEN 'x264-params=open-gop=0:scenecut=0' END, 'tune=film'], lambda x: x IS NOT NULL)), ';') AS options FROM s""")
+def encoder_options(spark, d):
+    k = F.col("p_partkey")
+    spec = F.struct(
+        F.when(F.col("p_size") % 2 == 1, "h265").otherwise("h264").alias("codec"), F.lit("medium").alias("preset"), F.when(k % 3 != 0, "crf").otherwise("cbr").alias("mode"), F.lit(23).alias("crf"),
+        (k * 1000).alias("max_bitrate"), (k * 2000).alias("buffer_size"), k.alias("bitrate"), F.col("p_size").alias("gop_frames"), F.create_map(F.lit("tune"), F.lit("film")).alias("extra"),
+    )
+    entries = F.transform(F.map_entries(media.encoder_options(spec)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return p.table(spark, d, "part").select(k.alias("source"), F.array_join(F.array_sort(entries), ";").alias("options"))
+
+
+@query(f"""WITH {SCORES}, f AS (SELECT DISTINCT p_brand AS file, CAST(substr(p_brand, 7) AS INTEGER) AS b FROM part), e AS (SELECT file, CASE WHEN b % 4 = 0 THEN 'unreadable' WHEN b % 5 = 0 THEN 'no video' END AS finding FROM f)
+  SELECT e.file, finding, rung, coalesce(scored, false) AS scored FROM e LEFT JOIN (SELECT DISTINCT file, rung, true AS scored FROM bef) s ON s.file = e.file AND finding IS NULL""")
+def report_build(spark, d):
+    brand = F.substring("p_brand", 7, 10).cast("int")
+    files = p.table(spark, d, "part").select(F.col("p_brand").alias("file"), brand.alias("b")).distinct()
+    before, _ = _before_after(spark, d)
+    return reports.build(files.select("file"), files.where("b % 4 <> 0").select("file", (F.col("b") % 5).alias("n_video")), before)
+
+
+@query(f"""WITH {CHUNKS}, {STEPS}, c AS (SELECT source, count(*) AS chunks FROM chunks GROUP BY source), r AS (SELECT source, count(*) AS rungs, max(CASE WHEN pos = mid THEN rung END) AS fast_rung
+    FROM (SELECT *, count(*) OVER (PARTITION BY source) // 2 AS mid FROM sized) GROUP BY source)
+  SELECT c.source, chunks, rungs, fast_rung, chunks * rungs AS jobs, 'asset:' || c.source AS dedupe_key FROM c JOIN r ON r.source = c.source""")
+def asset_plan(spark, d):
+    index = plan.keyframe_index(p.keyframes(spark, d)).withColumn("duration_ms", F.lit(DURATION).cast("long"))
+    return plan.asset_plan(p.ladder_sources(spark, d), index, TARGET).drop("whole")
+
+
+@query(f"""WITH {STEPS} SELECT source AS asset, rung AS name, CAST(row_number() OVER (PARTITION BY source ORDER BY width * height DESC, rung) AS INTEGER) AS place,
+  't' || source % 7 || '/assets/' || source || '/' || rung || '/' AS prefix FROM sized""")
+def renditions_by_area(spark, d):
+    rows = plan.ladder_plan(p.ladder_sources(spark, d)).select(F.col("source").alias("asset"), F.col("rung").alias("name"), "width", "height")
+    tenant = F.concat(F.lit("t"), (F.col("asset") % 7).cast("string"))
+    return plan.by_area(rows).select("asset", "name", F.col("pos").alias("place"), media.rendition_prefix(tenant, F.col("asset").cast("string"), F.col("name")).alias("prefix"))
