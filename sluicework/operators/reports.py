@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +61,7 @@ def diff_verdict(compared: DataFrame, changes: DataFrame) -> DataFrame:
 def conform_findings(reports: DataFrame, body: str = "report") -> DataFrame:
     """(…, severity, section, message) from reports in JSON: every ``test`` array at any depth, worst first in each report.
 
-    The document is opened one level at a time by SQL: a recursive query walks objects and arrays as variants and stops at
-    a ``test`` array, whose entries are then read.
+    Only the walk for those arrays is Python, on Arrow batches: depth is open, and a recursive query has a limit of rows.
     """
     keys = [c for c in reports.columns if c != body]
     tests = conform_tests(reports, body)
@@ -72,24 +75,39 @@ def conform_findings(reports: DataFrame, body: str = "report") -> DataFrame:
     return said.select(*keys, severity.alias("severity"), "section", text.alias("message")).where(F.col("severity").isNotNull() & (F.col("message") != ""))
 
 
+def _test_entries(node) -> Iterator[dict]:
+    """Entries of the ``test`` arrays below a JSON value; nothing inside such an array is looked at again."""
+    if isinstance(node, dict):
+        for key, child in node.items():
+            if key == "test" and isinstance(child, list):
+                yield from (x if isinstance(x, dict) else {} for x in child)
+            else:
+                yield from _test_entries(child)
+    elif isinstance(node, list):
+        for child in node:
+            yield from _test_entries(child)
+
+
 def conform_tests(reports: DataFrame, body: str = "report") -> DataFrame:
-    """The entries of all ``test`` arrays: (…, spec, section, test, state, messages)."""
-    keys = [c for c in reports.columns if c != body]
-    spark = reports.sparkSession
-    name = f"sw_reports_{abs(hash(tuple(keys))) % 10**8}"
-    reports.select(*keys, F.parse_json(body).alias("v")).createOrReplaceTempView(name)
-    listed = "".join(f"{k}, " for k in keys)
-    qualified = "".join(f"w.{k}, " for k in keys)
-    walked = spark.sql(f"""
-WITH RECURSIVE w({listed} key, v) AS (
-  SELECT {listed} CAST(NULL AS STRING), v FROM {name}
-  UNION ALL
-  SELECT {qualified} x.key, x.value FROM w, LATERAL variant_explode(w.v) AS x
-  WHERE NOT coalesce(w.key = 'test' AND startswith(schema_of_variant(w.v), 'ARRAY'), false))
-SELECT {qualified} t.value AS v FROM w, LATERAL variant_explode(w.v) AS t
-WHERE w.key = 'test' AND startswith(schema_of_variant(w.v), 'ARRAY')""")
-    field = lambda p: F.try_variant_get("v", f"$.{p}", "string").alias(p)
-    return walked.select(*keys, field("spec"), field("section"), field("test"), field("state"), F.try_variant_get("v", "$.messages", "array<string>").alias("messages"))
+    """The entries of all ``test`` arrays: (…, spec, section, test, state, messages). A report that is not JSON is an error."""
+    keys = [f for f in reports.schema if f.name != body]
+    text = lambda x: x if isinstance(x, str) else None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, report in enumerate(batch.column(len(keys)).to_pylist()):
+                for t in _test_entries(json.loads(report)) if report is not None else ():
+                    said = t.get("messages")
+                    at.append(i)
+                    rows.append([*(text(t.get(c)) for c in ("spec", "section", "test", "state")), [m for m in said if isinstance(m, str)] if isinstance(said, list) else None])
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(keys))]
+            values = [*(pa.array(c, pa.string()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept, *values], [*(f.name for f in keys), "spec", "section", "test", "state", "messages"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "spec string, section string, test string, state string, messages array<string>"])
+    return reports.select(*[F.col(f.name) for f in keys], body).mapInArrow(read, schema)
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:
