@@ -8,12 +8,11 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from sluicework.llm import secrets  # noqa: E402
-from sluicework.llm.common import saved  # noqa: E402
-from sluicework.llm.tokens import default_tokenizer  # noqa: E402
-from tests.llm.test_search import plain_classes  # noqa: E402
+import corpus_pipeline
+from sluicework.llm import secrets
+from sluicework.llm.common import saved
+from sluicework.llm.tokens import default_tokenizer
+from tests.llm.test_search import plain_classes
 
 SF = "/root/testdata/sf0.01"
 
