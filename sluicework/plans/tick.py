@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework import model
+from sluicework.functions import media
 from sluicework.operators import queue
 
 
@@ -50,7 +51,7 @@ def tick(work: DataFrame, budgets: DataFrame, credits: DataFrame, as_of: Column,
         state = F.when(again, "pending").when(bad, "failed").when(taken, "running").otherwise(F.col("state"))
         work = cut(rows.withColumns({
             "state": state, "admitted_at": F.when(again, F.lit(None)).when(taken, as_of).otherwise(F.col("admitted_at")),
-            "attempts": F.col("attempts") + F.when(taken, 1).otherwise(0), "workflow_id": F.when(taken & ~bad, F.concat_ws("-", F.lit("wf"), "kind", "id")).otherwise(F.col("workflow_id")),
+            "attempts": F.col("attempts") + F.when(taken, 1).otherwise(0), "workflow_id": F.when(taken & ~bad, media.start_name(F.col("kind"), F.col("id"))).otherwise(F.col("workflow_id")),
         }).drop("_sw_took"))
     merged = kept[0]
     for k in kept[1:]:

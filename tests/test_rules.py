@@ -240,3 +240,11 @@ def test_report_files(spark, tmp_path):
     assert [r.name for r in listed.collect()] == ["x.mp4"] and storage.landed(listed).first().asset == "a1"
     with pytest.raises(ValueError):
         storage.required({"bucket": " "}, "bucket")
+
+
+def test_ranges_and_names(spark):
+    lit = F.lit
+    assert [scalar(spark, media.place_in_range(lit(x), lit(10), lit(20))) for x in (9, 10, 19, 20)] == ["before", "inside", "inside", "after"]
+    assert scalar(spark, media.rotation_of(lit(-90.2))) == 90 and scalar(spark, media.rotation_of(lit(450.0))) == -90
+    assert scalar(spark, media.published_language(lit("und"))) is None and scalar(spark, media.published_language(lit("de"))) == "de"
+    assert scalar(spark, media.start_name(lit("fake"), lit("7"))) == "wf-fake-7"
