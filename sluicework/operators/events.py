@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework import model
 
 
 def first_wins(submissions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Idempotent insert: the first row of each key, and whether each submission made it."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return submissions.withColumn("created", place == 1)
+    """Idempotent insert: each submission with ``created``, true for the first of its key in a total order.
+
+    The first row is found by partial aggregation and joined back, so one key may hold any share of the rows.
+    """
+    firsts = submissions.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_sw_first")).select(*[F.col(k).alias(f"_sw_{k}") for k in keys], "_sw_first")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_sw_{k}"))
+    joined = submissions.join(firsts, on).withColumn("created", F.struct(*order) == F.col("_sw_first"))
+    return joined.drop("_sw_first", *[f"_sw_{k}" for k in keys])
 
 
 def latest_wins(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -24,10 +31,10 @@ def latest_wins(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def admitted_submissions(submissions: DataFrame, budgets: DataFrame) -> DataFrame:
     """(…, outcome, fairness_weight): created, existing, no_budget or suspended; the weight is the tenant's at submission."""
     rows = submissions.join(budgets.select("tenant_id", F.col("fairness_weight").alias("fairness_weight"), "suspended"), "tenant_id", "left")
-    open_ = F.col("suspended").isNotNull() & ~F.col("suspended")
-    place = F.row_number().over(Window.partitionBy("tenant_id", "dedupe_key", open_).orderBy("seq"))
-    outcome = F.when(F.col("suspended").isNull(), "no_budget").when(F.col("suspended"), "suspended").when(place == 1, "created").otherwise("existing")
-    return rows.withColumn("outcome", outcome).drop("suspended")
+    rows = rows.withColumn("_sw_open", F.col("suspended").isNotNull() & ~F.col("suspended"))
+    rows = first_wins(rows, ["tenant_id", "dedupe_key", "_sw_open"], ["seq"])
+    outcome = F.when(F.col("suspended").isNull(), "no_budget").when(F.col("suspended"), "suspended").when(F.col("created"), "created").otherwise("existing")
+    return rows.withColumn("outcome", outcome).drop("suspended", "created", "_sw_open")
 
 
 def _next(acc: Column, e: Column) -> Column:

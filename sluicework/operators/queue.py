@@ -150,11 +150,18 @@ def no_credits(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "lane string, tenant_id string, credit double")
 
 
-def claim(work: DataFrame, takes: DataFrame) -> DataFrame:
-    """The pending rows that (lane, tenant_id, take) gives a slot to, most urgent and then oldest first."""
-    order = Window.partitionBy("lane", "tenant_id").orderBy("priority_key", "created_at", "id")
-    ranked = work.where(F.col("state") == "pending").join(takes.where(F.col("take") > 0).select("lane", "tenant_id", "take"), ["lane", "tenant_id"])
-    return ranked.withColumn("claim_rank", F.row_number().over(order)).where(F.col("claim_rank") <= F.col("take")).drop("take")
+def claim(work: DataFrame, takes: DataFrame, parts: int = 32) -> DataFrame:
+    """The pending rows that (lane, tenant_id, take) gives a slot to, most urgent and then oldest first.
+
+    A tenant's rows are first ranked in parts, so a tenant with a third of all rows still leaves a task ``take`` rows a part at most.
+    """
+    order = ("priority_key", "created_at", "id")
+    rows = work.where(F.col("state") == "pending").join(takes.where(F.col("take") > 0).select("lane", "tenant_id", "take"), ["lane", "tenant_id"])
+    rows = rows.withColumn("_sw_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    for keys in (("lane", "tenant_id", "_sw_part"), ("lane", "tenant_id")):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = rows.withColumn("claim_rank", place).where(F.col("claim_rank") <= F.col("take"))
+    return rows.drop("take", "_sw_part")
 
 
 def stalled(work: DataFrame, as_of: Column, older_than_seconds: float) -> DataFrame:
