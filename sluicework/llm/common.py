@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -27,7 +28,11 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sluicework-{uuid.uuid4().hex}"
+    # With its scheme, so that every reader takes it to be in the same store as Spark does.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    whole = re.sub(r"^file:/(?=[^/])", "file:///", whole)
+    return f"{whole.rstrip('/')}/sluicework-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -62,6 +67,13 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def pieces(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``most`` bytes in all, so that a task's arrays stay small whatever a batch holds."""
+    at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of ``texts`` in order, and the offsets of each text's words."""
     parts = pc.ascii_split_whitespace(texts)

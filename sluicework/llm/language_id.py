@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import crc_mod, dictionary, split_words, text_array
+from sluicework.llm.common import crc_mod, dictionary, pieces, split_words, text_array
 
 ORDERS = (1, 2, 3, 4)
 #: Bound of the broadcast matrix: 16 M cells of 4 bytes. More languages get fewer buckets.
 MAX_CELLS, BITS = 1 << 24, 15
+#: Bytes of text that are counted or scored at once.
+PIECE = 6 << 20
 UNKNOWN = "und"
 
 
@@ -75,12 +77,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         number = {name: i for i, name in enumerate(langs)}
-        for batch in batches:
-            words, offsets = split_words(text_array(batch.column(0)))
+        parts = ((batch, texts, a, b) for batch in batches for texts in [text_array(batch.column(0))] for a, b in pieces(texts, PIECE))
+        for batch, texts, a, b in parts:
+            words, offsets = split_words(texts.slice(a, b - a))
             distinct, index = dictionary(words)
             if not distinct:
                 continue
-            of_text = np.array([number[x] for x in batch.column(1).to_pylist()])
+            of_text = np.array([number[x] for x in batch.column(1).slice(a, b - a).to_pylist()])
             of_word = np.repeat(of_text, np.diff(offsets))
             weights = {k: np.bincount(index[of_word == k], minlength=len(distinct)) for k in np.unique(of_word)}
             for at, bucket in word_ngrams(distinct, bits):
@@ -132,8 +135,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str =
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = score_batch(text_array(batch.column(at)), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names)
+            texts = text_array(batch.column(at))
+            for a, b in pieces(texts, PIECE):
+                pred, score = score_batch(texts.slice(a, b - a), shared.value)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(pred, pa.string()), pa.array(score)], names)
 
     return docs.mapInArrow(apply, schema)
 

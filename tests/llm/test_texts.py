@@ -56,6 +56,7 @@ def test_token_files(spark, docs, rows, ids):
 def test_token_files_of_nothing(spark, empty):
     path = scratch_dir(spark)
     token_files.write_tokens(empty, path, default_tokenizer(), 2)
+    assert token_files.read_tokens(spark, path).count() == 0
 
 
 def test_whole_texts_encode_as_their_words(ids):
