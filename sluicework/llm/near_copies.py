@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import dictionary, hash64, mix64, saved, split_words, text_array
+from sluicework.llm.common import dictionary, hash64, mix64, pieces, saved, split_words, text_array
 from sluicework.llm.graph import components, sorted_groups
 from sluicework.llm.repeats import prefix_hashes, window_starts
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, TREES, DEPTH, RECALL = 64, 16, 8, 0.998
-#: Nodes of a verification block; batch rows are cut into pieces of so many words.
-CELL, PIECE_WORDS = 1000, 2_000_000
+#: Nodes of a verification block; bytes of text that are signed at once.
+CELL, PIECE = 1000, 6 << 20
 #: Standard errors of a signature's estimate that thresholds leave room for.
 NOISE = 0.15
 _rng = np.random.default_rng(7)
@@ -88,9 +88,7 @@ def _sign(batches):
     names = ["doc_id", "th", "node", "signature"]
     for batch in batches:
         texts = text_array(batch.column(1))
-        sizes = np.cumsum([len(x) for x in texts.to_pylist()]) // (6 * PIECE_WORDS)
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        for a, b in pieces(texts, PIECE):
             values, offsets = shingle_sets(texts.slice(a, b - a))
             sig = signatures(values, offsets)
             raw = values.tobytes()
@@ -104,7 +102,26 @@ def _agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.maximum((many == one).mean(1) - 1 / 256, 0) / (1 - 1 / 256)
 
 
-def _lead(nodes: list[bytes], marks: np.ndarray, wide: np.ndarray, threshold: float):
+class Joined:
+    """Union-find over what one task has linked: of all links that connect the same nodes, a spanning forest goes out."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def add(self, a: bytes, b: bytes) -> bool:
+        """True if the link joins what was apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _lead(nodes: list[bytes], marks: np.ndarray, wide: np.ndarray, threshold: float, joined: Joined):
     """Links (node, leader) and the indices of the leaders; ``wide`` leaders stand for others and becomes so here."""
     far = 1 - threshold
     leaders, links = np.zeros(0, np.int64), []
@@ -113,7 +130,7 @@ def _lead(nodes: list[bytes], marks: np.ndarray, wide: np.ndarray, threshold: fl
             near = _agreement(marks[i], marks[leaders])
             reach = far * (1 + wide[i] + 1)  # a leader may come to stand for others
             hit = leaders[near >= 1 - reach - NOISE]
-            links += [(nodes[i], nodes[j]) for j in hit.tolist()]
+            links += [(nodes[i], nodes[j]) for j in hit.tolist() if joined.add(nodes[i], nodes[j])]
             close = leaders[near >= threshold]
             if len(close) and not wide[i]:
                 wide[close[0]] = True
@@ -134,7 +151,7 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
         for batch in batches:
             names_, sig = batch.column(0).to_pylist(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
             marks = sig.astype(np.uint8)
-            links = set()
+            links, joined = [], Joined()
             for t in range(TREES):
                 key = np.full(len(sig), t + 1, np.uint64)
                 for i in _PICK[t][:prefix]:
@@ -147,8 +164,8 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
                 for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                     at = order[s : s + n]
                     own = np.zeros(n, bool)
-                    found, leaders = _lead([names_[j] for j in at], marks[at], own, threshold)
-                    links.update(found)
+                    found, leaders = _lead([names_[j] for j in at], marks[at], own, threshold, joined)
+                    links += found
                     stay[at] = False
                     stay[at[leaders]] = True
                     wide[at] = own
@@ -160,15 +177,16 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
                 yield rows(np.frombuffer(b"".join(x[:8] for x in a), np.int64), a, [None] * len(a), [False] * len(a), b)
 
     def meet(batches):
+        joined = Joined()
         for group in sorted_groups(batches, 1):
             if group.num_rows < 2 and group["mark"].null_count == 0:
                 continue
             linked = group.filter(pc.is_null(group["mark"]))
-            links = set(zip(linked["node"].to_pylist(), linked["other"].to_pylist(), strict=True))
+            links = [(a, b) for a, b in zip(linked["node"].to_pylist(), linked["other"].to_pylist(), strict=True) if joined.add(a, b)]
             lead = group.filter(pc.is_valid(group["mark"]))
             if lead.num_rows > 1:
                 marks = np.frombuffer(b"".join(lead["mark"].to_pylist()), np.uint8).reshape(-1, HASHES)
-                links.update(_lead(lead["node"].to_pylist(), marks, lead["wide"].to_numpy().copy(), threshold)[0])
+                links += _lead(lead["node"].to_pylist(), marks, lead["wide"].to_numpy().copy(), threshold, joined)[0]
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
