@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from sluicework.llm.common import dictionary, ranges, split_words
+from sluicework.llm.common import dictionary, pieces, ranges, split_words
 
 MARK = "௰"
-CACHE_WORDS = 1_000_000
+#: Words that a worker process remembers; bytes of text that are encoded at once.
+CACHE_WORDS, PIECE = 700_000, 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -59,6 +60,15 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the offsets of each text."""
+        ids, offsets, last = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        for a, b in pieces(texts, PIECE):
+            part, ends = self._encode_piece(texts.slice(a, b - a), end_id)
+            ids.append(part)
+            offsets.append(ends[1:] + last)
+            last += len(part)
+        return np.concatenate(ids), np.concatenate(offsets)
+
+    def _encode_piece(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         words, offsets = split_words(texts)
         distinct, index = dictionary(words)
         if len(self.cache) > CACHE_WORDS:
