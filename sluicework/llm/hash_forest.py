@@ -51,6 +51,14 @@ class Forest:
         found = 1 - (1 - agree ** np.arange(DEPTH + 1.0)) ** TREES
         return int(np.flatnonzero(found >= RECALL)[-1])
 
+    @staticmethod
+    def _best(rows: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(rows) > k:  # all that tie with the k-th stay for the order by id
+            some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            rows, score = rows[some], score[some]
+        best = np.lexsort((ids[rows], -score))[:k]
+        return rows[best], score[best]
+
     def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int):
         hashed = [self.hashes(queries, t, False) for t in range(TREES)]
         n = len(ids)
@@ -75,9 +83,7 @@ class Forest:
                 mark[hit] = True
                 hit = np.flatnonzero(mark & ~seen)
                 seen[hit] = True
-                rows, score = np.concatenate([rows, hit]), np.concatenate([score, self.rows[hit] @ queries[q]])
-                best = np.lexsort((ids[rows], -score))[:k]
-                rows, score = rows[best], score[best]
+                rows, score = self._best(np.concatenate([rows, hit]), np.concatenate([score, np.take(self.rows, hit, 0) @ queries[q]]), ids, k)
                 need = self.level(queries[q], score[-1]) if len(rows) == k else 0
                 if level <= need:
                     break
@@ -86,9 +92,7 @@ class Forest:
                 if level == 0:
                     rest = np.flatnonzero(~seen)
                     seen[rest] = True
-                    rows, score = np.concatenate([rows, rest]), np.concatenate([score, self.rows[rest] @ queries[q]])
-                    best = np.lexsort((ids[rows], -score))[:k]
-                    rows, score = rows[best], score[best]
+                    rows, score = self._best(np.concatenate([rows, rest]), np.concatenate([score, np.take(self.rows, rest, 0) @ queries[q]]), ids, k)
                     break
             yield rows, score
 
