@@ -1,15 +1,13 @@
 """LM scoring: context-tree weighting over bytes, beside an add-one word model.
 
 A text is the byte string of its lower-cased words, each closed by a space, and one end byte. Each byte is eight binary
-decisions; each decision node has a context tree over the up to ``DEPTH`` bytes before it in the same word. Counts of
-all byte n-grams of the training texts are summed by Spark, and the tree is weighted bottom-up, one aggregation a depth:
-Pw = 1/2 Pe + 1/2 prod Pw(children), with Pe the Krichevsky-Trofimov estimate. Scoring uses the resulting mixture over
-all depths, so the code length of a word depends on the word only and is computed once per distinct word of a chunk.
+decisions; each decision node has a context tree over the up to ``DEPTH`` bytes before it in the same word, weighted
+bottom-up: Pw = 1/2 Pe + 1/2 prod Pw(children), with Pe the Krichevsky-Trofimov estimate. A context that the training
+texts lack predicts as its longest suffix that they have does; no other context is left out.
 
-The model that tasks receive has a fixed bound: at each depth the contexts that make up at least 1/``CONTEXTS`` of the
-training bytes, so at most ``CONTEXTS`` of them, each with its 256 byte probabilities (``CONTEXTS * DEPTH`` KB in all, 192 MB at the
-very most; frequencies being uneven, a tenth of that is usual). A
-context below that share counts in the weighting and predicts as its longest kept suffix does.
+Distinct byte n-grams with their counts travel chunk -> bucket -> chunk; a bucket holds whole subtrees (all contexts
+that share their last ``TOP + 1`` bytes), weights them and answers with the probability of each n-gram's byte. What all
+tasks receive are the contexts of at most ``TOP`` bytes, whose weights a first pass sums up from the subtrees.
 
 Word counts travel chunk -> bucket -> chunk as 64-bit fingerprints, one per chunk and distinct word.
 
@@ -28,10 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import crc_mod, dictionary, hash64, in_chunks, in_order, pieces, round_trip, saved, segment_sum, split_words, text_array
+from sluicework.llm.common import crc_mod, dictionary, hash64, in_chunks, in_order, mix64, pieces, round_trip, segment_sum, split_words, text_array
 
-DEPTH, CONTEXTS = 6, 1 << 15
-CHUNK_BYTES, BUCKET_BYTES, PIECE = 12 << 20, 64 << 20, 8 << 20
+DEPTH = 6
+#: Contexts of at most TOP bytes are sent to all tasks; deeper ones live in the bucket of their last TOP + 1 bytes.
+TOP = 2
+#: Whether a context reaches back over the start of its word.
+ACROSS = False
+CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 24 << 20, 4 << 20, 1 << 20
 END = 10
 
 
@@ -41,138 +43,274 @@ def lowered_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return distinct, index, offsets
 
 
-def byte_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its closing space: context << 8 | byte, and the bounds of the words."""
-    raw = np.frombuffer((" ".join(words) + " ").encode() if words else b"", np.uint8)
-    ends = np.flatnonzero(raw == 32) + 1
-    bounds = np.concatenate([[0], ends])
-    inside = np.arange(len(raw)) - np.repeat(bounds[:-1], np.diff(bounds))
+def _contexts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """context << 8 | byte for each byte of ``raw``; no context reaches back over one of the (sorted) ``starts``."""
+    inside = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
     grams = raw.astype(np.int64)
     for k in range(1, DEPTH + 1):
         before = np.zeros(len(raw), np.int64)
         before[k:] = raw[:-k]
         before[inside < k] = 0
         grams |= before << (8 * k)
-    return grams, bounds
+    return grams
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(ctx, byte, n) over all texts of ``docs``."""
+def byte_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each word and its closing space: context << 8 | byte, and the bounds of the words."""
+    raw = np.frombuffer((" ".join(words) + " ").encode() if words else b"", np.uint8)
+    bounds = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
+    return _contexts(raw, bounds[:-1]), bounds
 
-    def count(batches):
-        for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, PIECE)):
-            distinct, index, _ = lowered_words(texts)
-            weights = np.bincount(index, minlength=len(distinct)) if distinct else np.zeros(0, np.int64)
-            grams, bounds = byte_grams(distinct)
-            grams = np.append(grams, END)
-            weights = np.append(np.repeat(weights, np.diff(bounds)), len(texts))
-            order = np.argsort(grams)
-            grams, weights = grams[order], weights[order]
-            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[first]), pa.array(np.add.reduceat(weights, first))], ["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return rows.select(F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "n")
-
-
-def _lgamma(x: Column) -> Column:
-    shift = F.lit(0.0)
+
+def text_grams(texts: pa.Array, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """context << 8 | byte for each byte of each text as the model reads it, and the bounds of the texts.
+
+    With ``across`` a context reaches back to the start of the text, without it to the start of the word.
+    """
+    spaced = pc.binary_join_element_wise(pc.ascii_lower(texts), *(pa.scalar(x, pa.large_string()) for x in ("", " ")))
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(spaced).to_numpy().astype(np.int64))])
+    raw = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    first = np.ones(len(raw), bool)
+    first[1:] = space[:-1]
+    first[bounds[:-1]] = True
+    keep = ~(space & first)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))[keep]
+    out = np.full(len(text) + len(texts), END, np.uint8)
+    out[np.arange(len(text)) + text] = np.where(space, np.uint8(32), raw)[keep]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)) + 1)])
+    starts = bounds[:-1] if across else np.union1d(bounds[:-1], np.flatnonzero(out == 32) + 1)
+    return _contexts(out, starts), bounds
+
+
+def keys_of(grams: np.ndarray) -> np.ndarray:
+    """The bytes of a gram from the nearest one before to the farthest, then the byte itself: suffixes become prefixes."""
+    return ((grams >> 8).byteswap().view(np.uint64) >> np.uint64(8)).astype(np.int64) | (grams & 255)
+
+
+def gram_counts(texts: pa.Array, trained: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of all texts, and how often each occurs in the ``trained`` ones."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in pieces(texts, PIECE):
+        grams, bounds = text_grams(texts.slice(a, b - a), across)
+        new, index = np.unique(keys_of(grams), return_inverse=True)
+        n = np.bincount(index, weights=np.repeat(trained[a:b], np.diff(bounds)), minlength=len(new)).astype(np.int64)
+        keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
+    return keys, counts
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8).T).tobytes()
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Differences of sorted keys and counts by byte planes, which compress well."""
+    return _planes(np.diff(keys, prepend=np.int64(0))) + _planes(counts.astype(np.int64))
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, np.uint8).reshape(2, 8, len(raw) // 16)
+    deltas, counts = (np.ascontiguousarray(x.T).view(np.int64).reshape(-1) for x in both)
+    return np.cumsum(deltas), counts
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket, and the bounds of the buckets. Contexts that share their last ``TOP + 1`` bytes share a bucket."""
+    bucket = (mix64((keys >> (8 * (DEPTH - TOP))).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    shift = np.zeros(len(x))
     for i in range(6):
-        shift = shift + F.log(x + float(i))
+        shift += np.log(x + i)
     z = x + 6.0
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) - shift
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) - shift
 
 
-def _estimate(a: Column, b: Column) -> Column:
-    """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1.0)
+_SMALL = 1 << 12
+_HALF, _WHOLE = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)
 
 
-@dataclass
-class Model:
-    contexts: list[np.ndarray]  # by depth, sorted
-    logp: list[np.ndarray]  # by depth: contexts x 256, log10
+def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov probability of a zeros and b ones (whole numbers)."""
+    n = a + b
+    small = n < _SMALL
+    if small.all():
+        return _HALF[a] + _HALF[b] - math.log(math.pi) - _WHOLE[n]
+    out, big = np.empty(len(a)), ~small
+    out[small] = _HALF[a[small]] + _HALF[b[small]] - math.log(math.pi) - _WHOLE[n[small]]
+    out[big] = _lgamma(a[big] + 0.5) + _lgamma(b[big] + 0.5) - math.log(math.pi) - _lgamma(n[big] + 1.0)
+    return out
 
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        out = self.logp[0][0][grams & 255].astype(np.float64)
-        ctx, live = grams >> 8, np.arange(len(grams))
-        for d in range(1, len(self.contexts)):
-            known = self.contexts[d]
-            if not len(known) or not len(live):
-                break
-            want = ctx[live] & ((1 << (8 * d)) - 1)
-            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
-            hit = known[at] == want
-            live, at = live[hit], at[hit]
-            out[live] = self.logp[d][at, grams[live] & 255]
+
+def _weighted(pe: np.ndarray, child: np.ndarray) -> np.ndarray:
+    return np.logaddexp(pe, child) - math.log(2)
+
+
+def _advance(state, kt, w, seen):
+    """(p, s, r) one depth on: prediction so far, and the mixture's settled part and its rest."""
+    p, s, r = state
+    return np.where(seen, s + r * kt, p), np.where(seen, s + r * w * kt, s), np.where(seen, r * (1 - w), r)
+
+
+class Subtrees:
+    """The tree below depth ``TOP`` over sorted keys; keys of count 0 are asked for only and change nothing."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts, self.up = {DEPTH: keys}, {DEPTH: counts}, {}
+        for d in range(DEPTH - 1, TOP - 1, -1):
+            below = self.keys[d + 1]
+            self.keys[d], self.up[d] = np.unique((below >> 16) << 8 | (below & 255), return_inverse=True)
+            self.counts[d] = np.bincount(self.up[d], weights=self.counts[d + 1], minlength=len(self.keys[d])).astype(np.int64)
+
+    def nodes(self, j: int) -> dict:
+        """By depth, for the decisions of bit ``j``: (node of each key, first key of each node, a, b, pe, pw)."""
+        out, child = {}, None
+        for d in range(DEPTH, TOP, -1):
+            keys, n = self.keys[d], self.counts[d]
+            stem = keys >> (8 - j)
+            new = np.concatenate([[True], stem[1:] != stem[:-1]])
+            node, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            total, b = np.add.reduceat(n, first), np.add.reduceat(n * ((keys >> (7 - j)) & 1), first)
+            pe = _estimate(total - b, b)
+            if child is None:
+                pw = pe
+            else:
+                of, value = child
+                pw = _weighted(pe, np.bincount(node[self.up[d][of]], weights=value, minlength=len(first)))
+            out[d], child = (node, first, total - b, b, pe, pw), (first, pw)
         return out
 
+    def roots(self):
+        """(context of TOP bytes, node, a, b, sum of pw) over the subtrees."""
+        for j in range(8):
+            _, first, a, b, _, pw = self.nodes(j)[TOP + 1]
+            keys = self.keys[TOP + 1][first]
+            yield keys >> 16, (1 << j) | (keys & 255) >> (8 - j), a, b, pw
+
+    def log10(self, top: list) -> np.ndarray:
+        """log10 of the probability of each key's byte after its context."""
+        out = np.zeros(len(self.keys[DEPTH]))
+        for j in range(8):
+            nodes, keys = self.nodes(j), self.keys[TOP]
+            state = np.full(len(keys), 0.5), np.zeros(len(keys)), np.ones(len(keys))
+            for d, (known, kt, w) in enumerate(top):
+                want = (keys >> (8 * (TOP - d + 1))) << 8 | (1 << j) | (keys & 255) >> (8 - j)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                    state = _advance(state, kt[at], w[at], known[at] == want)
+            for d in range(TOP + 1, DEPTH + 1):
+                node, _, a, b, pe, pw = nodes[d]
+                w = np.ones(len(a)) if d == DEPTH else np.exp(pe - math.log(2) - pw)
+                kt = (b + 0.5) / (a + b + 1)
+                state = _advance([x[self.up[d - 1]] for x in state], kt[node], w[node], (a + b > 0)[node])
+            p = np.clip(state[0], 1e-7, 1 - 1e-7)
+            out += np.log10(np.where((self.keys[DEPTH] >> (7 - j)) & 1, p, 1 - p))
+        return out
 
-def train(docs: DataFrame) -> Model:
-    grams = saved(count_grams(docs))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total / CONTEXTS))
-    node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(j.alias("j"))))
-    bits = grams.select("ctx", "byte", "n", node.alias("x")).select(
-        "ctx", F.expr("shiftleft(1, x.j) | shiftright(byte, 8 - x.j)").alias("node"), "n", F.expr("shiftright(byte, 7 - x.j) & 1").alias("bit")
-    )
-    levels, below = [], None
-    for d in range(DEPTH, -1, -1):
-        a, b = F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0))
-        if below is None:
-            level = bits.groupBy("ctx", "node").agg(a.cast("double").alias("a"), b.cast("double").alias("b"))
-            level = level.withColumn("pe", _estimate(F.col("a"), F.col("b"))).withColumn("pw", F.col("pe"))
-        else:
-            up = F.col("ctx").bitwiseAND((1 << (8 * d)) - 1)
-            level = below.groupBy(up.alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("child"))
-            level = level.withColumn("pe", _estimate(F.col("a"), F.col("b")))
-            top, low = F.greatest("pe", "child"), F.least("pe", "child")
-            level = level.withColumn("pw", top + F.log1p(F.exp(low - top)) - math.log(2))
-        below = saved(level.select("ctx", "node", "a", "b", "pe", "pw"))
-        levels.append(below)
-    contexts, logp = [], []
-    inherited = None
-    for d, level in enumerate(reversed(levels)):
-        # The first decision of a context counts all its bytes: at most CONTEXTS contexts pass, of at most 255 nodes each.
-        kept = level.where((F.col("node") == 1) & (F.col("a") + F.col("b") >= least)).select("ctx")
-        stop = F.lit(1.0) if d == DEPTH else F.exp(F.col("pe") - math.log(2) - F.col("pw"))
-        rows = level.join(kept, "ctx", "left_semi").select("ctx", "node", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).alias("kt"), stop.alias("w")).toArrow()
-        keys, at = np.unique(rows["ctx"].to_numpy(), return_inverse=True)
-        if d == 0 and not len(keys):
-            keys = np.zeros(1, np.int64)
-        shape = (len(keys), 256)
-        if inherited is None:
-            base_p, base_s, base_r = np.full(shape, 0.5, np.float32), np.zeros(shape, np.float32), np.ones(shape, np.float32)
-        else:
-            parent = np.searchsorted(contexts[-1], keys & ((1 << (8 * (d - 1))) - 1))
-            base_p, base_s, base_r = (x[parent] for x in inherited)
-        kt, w, seen = np.full(shape, 0.5, np.float32), np.ones(shape, np.float32), np.zeros(shape, bool)
-        cell = (at, rows["node"].to_numpy())
-        kt[cell], w[cell], seen[cell] = rows["kt"].to_numpy(), rows["w"].to_numpy(), True
-        p = np.where(seen, base_s + base_r * kt, base_p)
-        inherited = p, np.where(seen, base_s + base_r * w * kt, base_s), np.where(seen, base_r * (1 - w), base_r)
-        contexts.append(keys)
-        logp.append(_byte_log10(p).astype(np.float32))
-    return Model(contexts, logp)
-
-
-def _byte_log10(p: np.ndarray) -> np.ndarray:
-    """log10 of the 256 byte probabilities from the probabilities of a one at the 255 nodes."""
-    byte, out = np.arange(256), np.zeros((len(p), 256), np.float32)
-    p = np.clip(p, 1e-7, 1 - 1e-7)
-    for j in range(8):
-        at = p[:, (1 << j) | (byte >> (8 - j))]
-        out += np.log10(np.where((byte >> (7 - j)) & 1, at, 1 - at))
-    return out
+
+def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of about ``SLICE`` sorted keys that part no subtree."""
+    if not len(keys):
+        return []
+    stem = keys >> (8 * (DEPTH - TOP))
+    starts = np.flatnonzero(np.concatenate([[True], stem[1:] != stem[:-1]]))
+    cuts = starts[np.concatenate([[True], np.diff(starts // SLICE) > 0])].tolist()
+    return list(zip(cuts, [*cuts[1:], len(keys)], strict=True))
+
+
+def answer(top: list, blobs: list[bytes]) -> list[np.ndarray]:
+    """log10 of the probability of each key of each blob under the counts of all blobs."""
+    found = [unpacked(raw) for raw in blobs]
+    keys, counts = _summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+    logs = np.zeros(len(keys), np.float32)
+    for a, b in _cuts(keys):
+        logs[a:b] = Subtrees(keys[a:b], counts[a:b]).log10(top)
+    return [logs[np.searchsorted(keys, k)] for k, _ in found]
+
+
+def counted(docs: DataFrame, buckets: int, across: bool) -> DataFrame:
+    """(bucket, data): keys and counts of pieces of all texts of ``docs``."""
+
+    def count(batches):
+        for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, PIECE)):
+            keys, counts = gram_counts(texts, np.ones(len(texts), bool), across)
+            order, bounds = by_bucket(keys, buckets)
+            rows = [(b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b + 1] > bounds[b]]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([packed(keys[r], counts[r]) for _, r in rows], pa.binary())], ["bucket", "data"])
+
+    return docs.select("text").mapInArrow(count, "bucket long, data binary")
+
+
+@dataclass
+class Model:
+    counts: DataFrame  # (bucket, data), every context of the training texts
+    top: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by depth up to TOP: context << 8 | node, its estimate, its weight
+    buckets: int
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's byte; the grams travel to the buckets of their contexts."""
+        keys, index = np.unique(keys_of(grams), return_inverse=True)
+        order, bounds = by_bucket(keys, self.buckets)
+        spark, top = self.counts.sparkSession, self.top
+        rows = [(b, packed(k := keys[order[bounds[b] : bounds[b + 1]]], np.zeros(len(k), np.int64)), True) for b in range(self.buckets)]
+        asked = spark.createDataFrame(rows, "bucket long, data binary, asked boolean")
+
+        def met(key, table):
+            blobs, mine = table["data"].to_pylist(), table["asked"].to_pylist()
+            logs = answer(top, blobs)[mine.index(True)]
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([logs.tobytes()], pa.binary())})
+
+        both = asked.unionByName(self.counts.withColumn("asked", F.lit(False)))
+        out = np.zeros(len(keys), np.float32)
+        for b, raw in both.groupBy("bucket").applyInArrow(met, "bucket long, data binary").collect():
+            out[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(raw, np.float32)
+        return out[index]
+
+
+def train(docs: DataFrame, across: bool = False, buckets: int = 8) -> Model:
+    """Counts of every context. ``top`` holds all contexts of at most TOP bytes: at most 256 ** TOP, whatever the input."""
+    counts = counted(docs, buckets, across)
+    names = ["ctx", "node", "a", "b", "pw"]
+
+    def roots(key, table):
+        found = [unpacked(raw) for raw in table["data"].to_pylist()]
+        keys, n = _summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+        parts = [part for a, b in _cuts(keys) for part in Subtrees(keys[a:b], n[a:b]).roots()]
+        return pa.table({name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(names)})
+
+    found = counts.groupBy("bucket").applyInArrow(roots, "ctx long, node long, a long, b long, pw double")
+    rows = found.groupBy("ctx", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toArrow()
+    node = (rows["ctx"].to_numpy() << 8) | rows["node"].to_numpy()
+    order = np.argsort(node)
+    node, a, b, child = (x[order] for x in (node, rows["a"].to_numpy(), rows["b"].to_numpy(), rows["pw"].to_numpy()))
+    top = []
+    for _ in range(TOP + 1):
+        pe = _estimate(a, b)
+        pw = _weighted(pe, child)
+        top.insert(0, (node, (b + 0.5) / (a + b + 1), np.exp(pe - math.log(2) - pw)))
+        node, at = np.unique((node >> 16) << 8 | (node & 255), return_inverse=True)
+        a, b = (np.bincount(at, weights=x, minlength=len(node)).astype(np.int64) for x in (a, b))
+        child = np.bincount(at, weights=pw, minlength=len(node))
+    return Model(counts, top, buckets)
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """docs: (doc_id, text). Rows where ``held_out`` holds are scored but not learned from."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out)))
     chunks, _, total = in_chunks(docs, CHUNK_BYTES, floor=48)
     chunks = chunks.withColumn("held_out", held_out)
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out), ACROSS, buckets).top)
 
     def words_of(table):
         distinct, index, offsets = lowered_words(text_array(table["text"]))
@@ -190,8 +328,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for b in range(buckets):
             rows = order[bounds[b] : bounds[b + 1]]
             yield b, fp[rows].tobytes() + counts[rows].tobytes()
+        keys, n = gram_counts(text_array(table["text"]), trained, ACROSS)
+        order, bounds = by_bucket(keys, buckets)
+        for b in range(buckets):
+            rows = order[bounds[b] : bounds[b + 1]]
+            yield buckets + b, packed(keys[rows], n[rows])
 
     def merge(bucket, blobs):
+        if bucket >= buckets:
+            for (chunk, _), logs in zip(blobs, answer(shared.value, [raw for _, raw in blobs]), strict=True):
+                yield chunk, logs.tobytes()
+            return
         halves = [(raw[: len(raw) // 2], raw[len(raw) // 2 :]) for _, raw in blobs]
         fps = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in halves])
         counts = np.concatenate([np.frombuffer(b, np.int64) for _, b in halves])
@@ -208,19 +355,27 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         table = in_order(table)
         distinct, index, offsets, _, order, bounds = words_of(table)
         c, n_all, n_distinct = np.zeros(len(distinct) + 1, np.int64), 0, 0
-        for b, raw in answers.items():
+        texts = text_array(table["text"])
+        for b in range(buckets):
+            raw = answers[b]
             got = np.frombuffer(raw, np.int64)
             n_all, n_distinct = n_all + int(got[0]), n_distinct + int(got[1])
             c[order[bounds[b] : bounds[b + 1]]] = got[2:]
-        model = shared.value
-        grams, ends = byte_grams(distinct)
-        word = segment_sum(model.score(grams), ends) if distinct else np.zeros(0)
         n = np.diff(offsets)
         logs = np.log10(c + 1.0)
         base = segment_sum(logs[index], offsets) + logs[-1] - (n + 1) * math.log10(n_all + n_distinct + 1)
         known = segment_sum((c > 0)[index], offsets).astype(np.int64) + int(c[-1] > 0)
-        total_score = segment_sum(word[index], offsets) + float(model.logp[0][0][END] if len(model.contexts) < 2 else model.score(np.array([END]))[0])
-        text_bytes = pc.binary_length(text_array(table["text"])).to_numpy()
+        keys, _ = gram_counts(texts, np.zeros(len(texts), bool), ACROSS)
+        order, bounds = by_bucket(keys, buckets)
+        logp = np.zeros(len(keys), np.float32)
+        for b in range(buckets):
+            logp[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(answers[buckets + b], np.float32)
+        total_score = np.zeros(len(texts))
+        for a, b in pieces(texts, PIECE):
+            grams, ends = text_grams(texts.slice(a, b - a), ACROSS)
+            mine, at = np.unique(keys_of(grams), return_inverse=True)
+            total_score[a:b] = segment_sum(logp[np.searchsorted(keys, mine)][at], ends)
+        text_bytes = pc.binary_length(texts).to_numpy()
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         columns = [
             table["doc_id"], table["held_out"], pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total_score),

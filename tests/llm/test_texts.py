@@ -193,6 +193,14 @@ def test_code_length_is_that_of_the_weighted_tree(spark):
     assert abs(total - 1) < 1e-3
 
 
+def test_a_rare_context_is_kept_whatever_the_size_of_the_text(spark):
+    """One word in 70,000: its contexts are far below 1/32768 of the bytes and still foretell its end."""
+    rows = [(i, "ab " * 7000) for i in range(10)] + [(10, "zqxjkv")]
+    model = context_tree.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    grams, _ = context_tree.byte_grams(["zqxjkv"])
+    assert 10 ** model.score(grams)[2:].min() > 0.75**8  # eight decisions seen once
+
+
 def test_scores_of_nothing(empty):
     assert context_tree.score(empty, F.lit(False)).count() == 0
 
