@@ -1,8 +1,8 @@
 """LM scoring: context-tree weighting over bytes, beside an add-one word model.
 
 A text is the byte string of its lower-cased words, each closed by a space, and one end byte. Each byte is eight binary
-decisions; each decision node has a context tree over the up to ``DEPTH`` bytes before it in the same word, weighted
-bottom-up: Pw = 1/2 Pe + 1/2 prod Pw(children), with Pe the Krichevsky-Trofimov estimate. A context that the training
+decisions; each decision node has a context tree over the up to ``DEPTH`` bytes before it in the text, earlier words and
+spaces included, weighted bottom-up: Pw = 1/2 Pe + 1/2 prod Pw(children), with Pe the Krichevsky-Trofimov estimate. A context that the training
 texts lack predicts as its longest suffix that they have does; no other context is left out.
 
 Distinct byte n-grams with their counts travel chunk -> bucket -> chunk; a bucket holds whole subtrees (all contexts
@@ -32,7 +32,7 @@ DEPTH = 6
 #: Contexts of at most TOP bytes are sent to all tasks; deeper ones live in the bucket of their last TOP + 1 bytes.
 TOP = 2
 #: Whether a context reaches back over the start of its word.
-ACROSS = False
+ACROSS = True
 CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 24 << 20, 4 << 20, 1 << 20
 END = 10
 

@@ -193,6 +193,17 @@ def test_code_length_is_that_of_the_weighted_tree(spark):
     assert abs(total - 1) < 1e-3
 
 
+def test_scores_read_earlier_words(spark):
+    text = "aba abb  aba\nbab Abab ab"
+    seq = " ".join(text.lower().split()).encode() + b" " + bytes([context_tree.END])
+    padded = bytes(context_tree.DEPTH) + seq
+    at = [(padded[i : i + context_tree.DEPTH], b) for i, b in enumerate(seq)]
+    symbols = collections.Counter(at)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = context_tree.score(docs, F.lit(False)).first().score
+    assert abs(got - sum(slow_tree(symbols, ctx, b) for ctx, b in at)) < 1e-3
+
+
 def test_a_rare_context_is_kept_whatever_the_size_of_the_text(spark):
     """One word in 70,000: its contexts are far below 1/32768 of the bytes and still foretell its end."""
     rows = [(i, "ab " * 7000) for i in range(10)] + [(10, "zqxjkv")]
