@@ -33,7 +33,7 @@ DEPTH = 6
 TOP = 2
 #: Whether a context reaches back over the start of its word.
 ACROSS = True
-CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 24 << 20, 4 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 12 << 20, 2 << 20, 1 << 18
 END = 10
 
 
@@ -309,7 +309,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     docs = docs.select("doc_id", "text")
     chunks, _, total = in_chunks(docs, CHUNK_BYTES, floor=48)
     chunks = chunks.withColumn("held_out", held_out)
-    buckets = max(8, math.ceil(total / BUCKET_BYTES))
+    buckets = max(32, math.ceil(total / BUCKET_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out), ACROSS, buckets).top)
 
     def words_of(table):
