@@ -36,7 +36,8 @@ from sluicework.llm.graph import components, sorted_groups
 from sluicework.llm.repeats import prefix_hashes, window_starts
 
 SHINGLE, THRESHOLD = 5, 0.8
-HASHES, TREES, DEPTH, RECALL = 64, 16, 8, 0.998
+TREES, DEPTH, RECALL = 16, 8, 0.998
+HASHES = TREES * DEPTH
 #: Nodes of a verification block; bytes of text that are signed at once.
 CELL, PIECE = 1000, 6 << 20
 #: Standard errors of a signature's estimate that thresholds leave room for.
@@ -44,7 +45,8 @@ NOISE = 0.15
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_PICK = np.stack([_rng.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
+#: The tries share no hash, so they are independent tries; a prefix of k uses the first ``TREES * k`` hashes.
+_PICK = np.arange(HASHES).reshape(DEPTH, TREES).T
 
 
 def prefix_length(threshold: float = THRESHOLD, target: float = RECALL) -> int:
@@ -75,22 +77,22 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return values, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """texts x HASHES minima, of the non-empty sets."""
+def signatures(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """texts x hashes minima, of the non-empty sets."""
     full = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(offsets) - 1, HASHES), np.uint32)
-    for i in range(HASHES if len(full) else 0):
+    out = np.zeros((len(offsets) - 1, hashes), np.uint32)
+    for i in range(hashes if len(full) else 0):
         out[full, i] = np.minimum.reduceat(((values * _A[i] + _B[i]) >> np.uint64(32)).astype(np.uint32), offsets[full])
     return out
 
 
-def _sign(batches):
+def _sign(batches, hashes: int):
     names = ["doc_id", "th", "node", "signature"]
     for batch in batches:
         texts = text_array(batch.column(1))
         for a, b in pieces(texts, PIECE):
             values, offsets = shingle_sets(texts.slice(a, b - a))
-            sig = signatures(values, offsets)
+            sig = signatures(values, offsets, hashes)
             raw = values.tobytes()
             node = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else None for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             blobs = [x.tobytes() if k else None for x, k in zip(sig, node, strict=True)]
@@ -141,6 +143,7 @@ def _lead(nodes: list[bytes], marks: np.ndarray, wide: np.ndarray, threshold: fl
 
 def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFrame:
     """(a, b) from (node, signature)."""
+    hashes = TREES * prefix
     schema = "key long, node binary, mark binary, wide boolean, other binary"
     names = ["key", "node", "mark", "wide", "other"]
 
@@ -149,7 +152,7 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
 
     def combine(batches):
         for batch in batches:
-            names_, sig = batch.column(0).to_pylist(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
+            names_, sig = batch.column(0).to_pylist(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, hashes)
             marks = sig.astype(np.uint8)
             links, joined = [], Joined()
             for t in range(TREES):
@@ -185,7 +188,7 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
             links = [(a, b) for a, b in zip(linked["node"].to_pylist(), linked["other"].to_pylist(), strict=True) if joined.add(a, b)]
             lead = group.filter(pc.is_valid(group["mark"]))
             if lead.num_rows > 1:
-                marks = np.frombuffer(b"".join(lead["mark"].to_pylist()), np.uint8).reshape(-1, HASHES)
+                marks = np.frombuffer(b"".join(lead["mark"].to_pylist()), np.uint8).reshape(-1, hashes)
                 links += _lead(lead["node"].to_pylist(), marks, lead["wide"].to_numpy().copy(), threshold, joined)[0]
             if links:
                 a, b = zip(*links, strict=True)
@@ -244,11 +247,12 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     (class_id, class_th) names the document that stands for the class: smallest id, then th.
     """
-    signed = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(_sign, "doc_id long, th long, node binary, signature binary"))
+    prefix = prefix_length(threshold)
+    signed = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(lambda batches: _sign(batches, TREES * prefix), "doc_id long, th long, node binary, signature binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th"))
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(first.alias("of"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature"))
     nodes = saved(nodes)
-    clusters = components(candidate_links(nodes, threshold, prefix_length(threshold)).distinct())
+    clusters = components(candidate_links(nodes, threshold, prefix).distinct())
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     member = clusters.join(sizes, "root").join(nodes.select("node", "of"), "node").select(
         "node", F.col("root").alias("cluster"), F.ceil(F.col("m") / CELL).cast("int").alias("g"), F.col("of.doc_id").alias("doc_id"), F.col("of.th").alias("th")

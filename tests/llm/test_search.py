@@ -93,6 +93,15 @@ def test_prefix_is_shortened_to_the_recall():
     assert near_copies.prefix_length(0.95) > k
 
 
+def test_recall_of_pairs_at_the_threshold():
+    """6,000 pairs of similarity 0.8 by real signatures: tries that share hashes meet in 0.991 of them."""
+    rng, k, n = np.random.default_rng(3), near_copies.prefix_length(), 6000
+    values = rng.integers(0, 1 << 63, (n, 100), dtype=np.uint64)
+    one, two = (near_copies.signatures(np.ascontiguousarray(v).reshape(-1), np.arange(n + 1) * 90) for v in (values[:, :90], values[:, 10:]))
+    met = (one == two)[:, near_copies._PICK[:, :k]].all(2).any(1)
+    assert met.mean() >= 0.996
+
+
 def test_intersections():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 50, n)).astype(np.uint64) for n in (0, 5, 30, 40, 1)]
