@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest (DataFrame functions only).
 
-Candidates are strings with a digit or a known prefix, and values assigned to a telling name. Each has features:
+Candidates are strings with a digit or a known prefix, values assigned to a telling name, bearer tokens, passwords of
+URLs and private key blocks, each to its end. Each has features:
 length, transitions between character classes, share of its letters that are dictionary words, path marks, and the
 words beside it. The forest learns from labelled findings: those whose format alone settles what they are. At most
 ``TRAIN_ROWS`` of them (smallest hash first) are used; everything else covers all rows. The dictionary is the
@@ -25,9 +26,14 @@ TRAIN_ROWS, WORDS, TREES, TREE_DEPTH = 20_000, 1_000, 15, 5
 SPAN, LEAST = 48, 8
 MASK = "[REDACTED]"
 
-_KEYED = r"""(?i)(?<![\p{L}0-9])(?:[a-z]+[_-])?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?"""
-_WITH_DIGIT = r"(?<![A-Za-z0-9+/_.@-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|[A-Za-z_+/-]*+[0-9][A-Za-z0-9+/_=-]*)"
-_ASSIGNED = _KEYED + r"""([^\s"'#$%&*,;<>]{6,})"""
+_KEYED = r"""(?i)(?<![\p{L}0-9])(?:[a-z]+[_-])?(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?"""
+# Dots join the parts of a token, but not those of a number or an address of numbers.
+_WITH_DIGIT = r"(?<![A-Za-z0-9+/_.@-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|[0-9]++(?=(?:\.[0-9]++)*+(?!\.?[A-Za-z0-9+/_=-]))|(?:[A-Za-z_+/-]++\.)*+[A-Za-z_+/-]*+[0-9][A-Za-z0-9+/_=-]*+(?:\.[A-Za-z0-9+/_=-]++)*+)"
+# Quoted values end at their quote, others at white space; a quote that is never closed ends at white space or any quote.
+_ASSIGNED = _KEYED + r"""((?<=")[^"\r\n]{6,}(?=")|(?<=')[^'\r\n]{6,}(?=')|(?<!["'])[^\s"']\S{5,}|(?<=["'])[^\s"']{6,})"""
+_BEARER = r"(?i)(?<![\p{L}0-9])bearer\s{1,3}([A-Za-z0-9._~+/=-]{8,})"
+_URL_USER = r"""(?<![\w.+%-])(?!mailto:)[\w.+%-]{0,64}+:([^\s/@"']{6,})@(?=[A-Za-z0-9])"""
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)"
 FEATURES = [
     "length", "transitions", "digit_share", "upper_share", "hex_share", "distinct_share", "dictionary", "path_marks", "path_before", "keyword_before", "assigned", "quoted", "number_words"
 ]
@@ -35,8 +41,12 @@ FEATURES = [
 
 def candidates(text: Column) -> Column:
     """array<string> of the distinct candidates of a text."""
-    found = F.array_union(F.regexp_extract_all(text, F.lit(_WITH_DIGIT), F.lit(0)), F.regexp_extract_all(text, F.lit(_ASSIGNED), F.lit(1)))
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.length(x) >= LEAST)
+    found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # Only strings that a digit alone makes candidates have to be longer; the other patterns state their least length.
+    all_found = F.filter(found(_WITH_DIGIT, 0), lambda x: F.length(x) >= LEAST)
+    for pattern, group in ((_ASSIGNED, 1), (_BEARER, 1), (_URL_USER, 1), (_PEM, 0)):
+        all_found = F.array_union(all_found, found(pattern, group))
+    return F.coalesce(all_found, F.array().cast("array<string>"))
 
 
 def _flag(text: Column, pattern: str) -> Column:
@@ -57,16 +67,16 @@ def finding(value: Column, text: Column, words: list[str]) -> Column:
     known = F.filter(runs, lambda w: F.array_contains(F.array(*map(F.lit, words)).cast("array<string>"), w))
     covered = F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / F.length(value)
     distinct = F.size(F.array_distinct(F.split(value, ""))) / F.length(value)
-    assigned = _flag(before, _KEYED + "$")
+    assigned = _flag(before, _KEYED + r"$|(?<![\p{L}0-9])bearer\s{1,3}$|://[^\s/:@]*:$")
     values = {
         "length": F.least(F.length(value), F.lit(200)).cast("double"),
         "transitions": (F.regexp_count(value, F.lit(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / F.length(value),
         "digit_share": _share(value, "[0-9]"), "upper_share": _share(value, "[A-Z]"), "hex_share": _share(value, "[0-9a-f]"), "distinct_share": distinct,
         "dictionary": covered, "path_marks": F.regexp_count(value, F.lit(r"[/.\\-]")).cast("double"), "path_before": _flag(before, r"(?:https?:/|[/\\~])[\p{L}0-9_./\\-]*$"),
-        "keyword_before": _flag(before, r"(?i)password|passwd|pwd|secret|token|key|credential|auth"), "assigned": assigned,
+        "keyword_before": _flag(before, r"(?i)password|passwd|passphrase|pwd|secret|token|key|credential|auth|bearer"), "assigned": assigned,
         "quoted": _flag(before, r"""["']$""") * _flag(after, r"""^["']"""), "number_words": _flag(before, r"(?i)(?:\+|\(|\b(?:tel|phone|fax|no|nr|card|order|id|page|call)\b[.: ]*)[0-9 ()-]*$"),
     }
-    issued = F.regexp_like(value, F.lit(r"^(?:AKIA|ASIA)[A-Z2-7]{16}$"))
+    issued = F.regexp_like(value, F.lit(r"^(?:AKIA|ASIA)[A-Z2-7]{16}$|^-----BEGIN [A-Z ]*PRIVATE KEY-----"))
     mixed = F.regexp_like(value, F.lit(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=.-]{12,}$"))
     plain = F.regexp_like(value, F.lit(r"^[0-9/_=+-]+$")) | F.regexp_like(value, F.lit(r"^[\p{L}.]+[0-9]{1,4}$")) & (assigned == 0)
     label = F.when(issued | ((assigned == 1) & mixed), 1.0).when(plain, 0.0)
