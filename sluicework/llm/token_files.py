@@ -7,7 +7,9 @@ select. About 2 + log2(ids/documents) bits a document replace a 64-bit table. Sh
 temporary name and renamed, so a task that runs again writes the same file again. A small manifest (one row a shard)
 gives each shard's first global offset through a running sum.
 
-Cases: null text -> only the end id; null ids come first; equal ids keep all their rows, ordered by text; an empty table
+A reader gets a document's place by two selects; no table of offsets is kept or built from the file.
+
+Cases: null or empty text -> only the end id; very long texts are encoded piece by piece and never cut; null ids come first; equal ids keep all their rows, ordered by text; an empty table
 gives no document; extra columns are ignored.
 """
 
@@ -50,23 +52,24 @@ class EliasFano:
         pack = lambda x: np.packbits(x.astype(np.uint8), bitorder="little")
         return cls(n, bits, pack(low.ravel()), pack(unary), ones[::SAMPLE].astype(np.uint32))
 
-    def select(self, i: int) -> int:
-        """Value ``i``: from the sample before it, whole bytes are skipped by their count of ones."""
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at // 8
-        head = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        left += int(head[: at % 8].sum())
-        while left >= (ones := int(self.high[byte]).bit_count()):
-            left, byte = left - ones, byte + 1
-        one = 8 * byte + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[left])
-        first = i * self.low_bits
-        chunk = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 :][: self.low_bits]
-        return (one - i) << self.low_bits | int((chunk.astype(np.int64) << np.arange(self.low_bits)).sum())
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return ((ones - np.arange(self.n)) << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Values ``i``: each starts at the sample before it and skips whole bytes by their count of ones."""
+        i = np.asarray(i, np.int64)
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        # The sampled one itself and what follows it in its byte count; the ones before it don't.
+        byte, left = at // 8, i % SAMPLE
+        left = left + np.bitwise_count(self.high[byte] & ((1 << (at % 8)) - 1).astype(np.uint8))
+        go = np.arange(len(i))
+        while len(go := go[left[go] >= np.bitwise_count(self.high[byte[go]])]):
+            left[go] -= np.bitwise_count(self.high[byte[go]])
+            byte[go] += 1
+        ones = np.unpackbits(self.high[byte][:, None], axis=1, bitorder="little")
+        one = 8 * byte + (np.cumsum(ones, axis=1) > left[:, None]).argmax(1)
+        value = (one - i) << self.low_bits
+        for k in range(self.low_bits):
+            bit = i * self.low_bits + k
+            value |= ((self.low[bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(np.int64) << k
+        return value
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -139,8 +142,9 @@ def read_tokens(spark: SparkSession, path: str, wanted=None) -> DataFrame:
         for frame in frames:
             for name, raw in zip(frame["path"], frame["content"], strict=True):
                 keys, boundaries, ids = read_shard(raw)
-                ends = boundaries.values()
-                starts = np.concatenate([[0], ends[:-1]])
+                at = np.arange(boundaries.n)
+                ends = boundaries.select(at)
+                starts = np.where(at > 0, boundaries.select(np.maximum(at - 1, 0)), 0)
                 ids = ids.astype(np.uint32)
                 yield pd.DataFrame(
                     {
@@ -158,6 +162,7 @@ def read_tokens(spark: SparkSession, path: str, wanted=None) -> DataFrame:
 
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
+    """Place, length and digest of every document, read back from the files that hold all of ``documents``."""
     path = scratch_dir(spark)
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, default_tokenizer(), 2)
     return read_tokens(spark, path)
