@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,13 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the session's checkpoint folder, which driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (a local test) gets a temporary folder.
+    The folder comes from ``spark.checkpoint.dir``; a session without one is an error, since a folder of the driver's own
+    machine would not reach the executors.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     # With its scheme, so that every reader takes it to be in the same store as Spark does.
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -50,11 +49,13 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
 def in_chunks(docs: DataFrame, chunk_bytes: int, floor: int = 1) -> tuple[DataFrame, int, int]:
     """``(doc_id, text, chunk)`` with texts dealt at random to chunks of about ``chunk_bytes``; number of chunks; bytes.
 
-    The chunk hashes id and text, so neither one id nor one source can fill a chunk on its own.
+    The chunk hashes id, text and the row's place in ``docs``, so neither one id, one source nor a row that is repeated any
+    number of times can fill a chunk on its own. ``docs`` should be a stored table: a task that runs again then finds
+    every row at its place. A partition holds one chunk on average, whatever the size of the table.
     """
     total, n = docs.select(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     chunks = max(floor, math.ceil((total or 0) / chunk_bytes), math.ceil(n / 20_000), 1)
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    key = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     return docs.select("doc_id", "text", key.alias("chunk")), chunks, int(total or 0)
 
 
@@ -123,10 +124,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def round_trip(chunks: DataFrame, emit, merge, finish, schema: str) -> DataFrame:
+def round_trip(chunks: DataFrame, n_chunks: int, n_buckets: int, emit, merge, finish, schema: str) -> DataFrame:
     """Each chunk asks something of all the others: chunk -> buckets -> the same chunk again.
 
-    ``emit(chunk, table)`` yields (bucket, bytes); ``merge(bucket, [(chunk, bytes)])`` yields (chunk, bytes);
+    ``emit(chunk, table)`` yields (bucket, bytes), and nothing for a bucket that it has no question for, so messages never
+    outnumber what is asked; ``merge(bucket, [(chunk, bytes)])`` yields (chunk, bytes);
     ``finish(chunk, table, {bucket: bytes})`` gives the resulting pa.Table. The texts are shuffled once: both readers of
     ``chunks`` share one exchange. ``emit`` and ``finish`` must order a chunk's rows alike.
     """
@@ -151,8 +153,9 @@ def round_trip(chunks: DataFrame, emit, merge, finish, schema: str) -> DataFrame
         return finish(key[0].as_py(), table, dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist(), strict=True)))
 
     text = "bucket long, chunk int, data binary"
-    asked = chunks.groupBy("chunk").applyInArrow(out, text)
-    answers = asked.groupBy("bucket").applyInArrow(met, text).withColumnRenamed("chunk", "of_chunk")
+    chunks = chunks.repartition(n_chunks, "chunk")
+    asked = chunks.groupBy("chunk").applyInArrow(out, text).repartition(n_buckets, "bucket")
+    answers = asked.groupBy("bucket").applyInArrow(met, text).withColumnRenamed("chunk", "of_chunk").repartition(n_chunks, "of_chunk")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(back, schema)
 
 

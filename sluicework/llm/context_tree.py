@@ -9,10 +9,12 @@ Distinct byte n-grams with their counts travel chunk -> bucket -> chunk; a bucke
 that share their last ``TOP + 1`` bytes), weights them and answers with the probability of each n-gram's byte. What all
 tasks receive are the contexts of at most ``TOP`` bytes, whose weights a first pass sums up from the subtrees.
 
-Word counts travel chunk -> bucket -> chunk as 64-bit fingerprints, one per chunk and distinct word.
+Word counts travel chunk -> bucket -> chunk as 64-bit fingerprints, one per chunk and distinct word; their totals come from
+the training pass. A chunk sends nothing to a bucket that it has no gram or word for.
 
-Cases: null or empty text -> one end token; no training row -> uniform bytes and c = 0 for all tokens; repeated rows are
-scored alike; extra columns are ignored.
+Cases: null or empty text -> one end token; a very long text is read in one chunk, whole; no training row -> uniform bytes
+and c = 0 for all tokens; repeated rows are scored alike, and so are equal texts; an empty table gives no row; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ TOP = 2
 #: Whether a context reaches back over the start of its word.
 ACROSS = True
 CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 12 << 20, 2 << 20, 1 << 18
+#: Distinct words that a task of the training pass gathers before it sends them on.
+WORDS_HELD = 500_000
 END = 10
 
 
@@ -238,24 +242,54 @@ def answer(top: list, blobs: list[bytes]) -> list[np.ndarray]:
     return [logs[np.searchsorted(keys, k)] for k, _ in found]
 
 
+def word_counts(texts: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the distinct words and of the end token (the empty word), and how often each occurs in texts of weight 1."""
+    distinct, index, offsets = lowered_words(texts)
+    counts = np.bincount(index, weights=np.repeat(weight, np.diff(offsets)), minlength=len(distinct)) if distinct else np.zeros(0)
+    return hash64([*distinct, ""]), np.append(counts, weight.sum()).astype(np.int64)
+
+
 def counted(docs: DataFrame, buckets: int, across: bool) -> DataFrame:
-    """(bucket, data): keys and counts of pieces of all texts of ``docs``."""
+    """(bucket, data): keys and counts of pieces of all texts of ``docs``; from ``buckets`` on, their words and counts."""
+    names = ["bucket", "data"]
+
+    def words_out(fps, counts):
+        bucket = (fps % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(buckets + b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b + 1] > bounds[b]]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([fps[r].tobytes() + _planes(counts[r]) for _, r in rows], pa.binary())], names)
 
     def count(batches):
+        fps, words = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, PIECE)):
             keys, counts = gram_counts(texts, np.ones(len(texts), bool), across)
             order, bounds = by_bucket(keys, buckets)
             rows = [(b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b + 1] > bounds[b]]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([packed(keys[r], counts[r]) for _, r in rows], pa.binary())], ["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([packed(keys[r], counts[r]) for _, r in rows], pa.binary())], names)
+            more, n = word_counts(texts, np.ones(len(texts), bool))
+            fps, words = _summed(np.concatenate([fps, more]), np.concatenate([words, n]))
+            if len(fps) > WORDS_HELD:
+                yield words_out(fps, words)
+                fps, words = fps[:0], words[:0]
+        if len(fps):
+            yield words_out(fps, words)
 
     return docs.select("text").mapInArrow(count, "bucket long, data binary")
 
 
+def words_of_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 16
+    return np.frombuffer(raw, np.uint64, n), np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(8, n).T).view(np.int64).reshape(-1)
+
+
 @dataclass
 class Model:
     counts: DataFrame  # (bucket, data), every context of the training texts
     top: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by depth up to TOP: context << 8 | node, its estimate, its weight
     buckets: int
+    tokens: int = 0  # words and ends of the training texts, and how many of them differ
+    distinct: int = 0
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's byte; the grams travel to the buckets of their contexts."""
@@ -270,7 +304,7 @@ class Model:
             logs = answer(top, blobs)[mine.index(True)]
             return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([logs.tobytes()], pa.binary())})
 
-        both = asked.unionByName(self.counts.withColumn("asked", F.lit(False)))
+        both = asked.unionByName(self.counts.where(F.col("bucket") < self.buckets).withColumn("asked", F.lit(False)))
         out = np.zeros(len(keys), np.float32)
         for b, raw in both.groupBy("bucket").applyInArrow(met, "bucket long, data binary").collect():
             out[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(raw, np.float32)
@@ -283,13 +317,19 @@ def train(docs: DataFrame, across: bool = False, buckets: int = 8) -> Model:
     names = ["ctx", "node", "a", "b", "pw"]
 
     def roots(key, table):
+        if key[0].as_py() >= buckets:
+            fps, n = zip(*map(words_of_blob, table["data"].to_pylist()), strict=True)
+            _, n = _summed(np.concatenate(fps), np.concatenate(n))
+            return pa.table({"ctx": [-1], "node": [0], "a": [int(n.sum())], "b": [int((n > 0).sum())], "pw": [0.0]})
         found = [unpacked(raw) for raw in table["data"].to_pylist()]
         keys, n = _summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
         parts = [part for a, b in _cuts(keys) for part in Subtrees(keys[a:b], n[a:b]).roots()]
         return pa.table({name: np.concatenate([p[i] for p in parts]) for i, name in enumerate(names)})
 
-    found = counts.groupBy("bucket").applyInArrow(roots, "ctx long, node long, a long, b long, pw double")
+    found = counts.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(roots, "ctx long, node long, a long, b long, pw double")
     rows = found.groupBy("ctx", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toArrow()
+    tokens, distinct = (int(x) for x in next(((a, b) for c, a, b in zip(*(rows[c].to_pylist() for c in ("ctx", "a", "b")), strict=True) if c < 0), (0, 0)))
+    rows = rows.filter(pc.greater_equal(rows["ctx"], 0))
     node = (rows["ctx"].to_numpy() << 8) | rows["node"].to_numpy()
     order = np.argsort(node)
     node, a, b, child = (x[order] for x in (node, rows["a"].to_numpy(), rows["b"].to_numpy(), rows["pw"].to_numpy()))
@@ -301,16 +341,18 @@ def train(docs: DataFrame, across: bool = False, buckets: int = 8) -> Model:
         node, at = np.unique((node >> 16) << 8 | (node & 255), return_inverse=True)
         a, b = (np.bincount(at, weights=x, minlength=len(node)).astype(np.int64) for x in (a, b))
         child = np.bincount(at, weights=pw, minlength=len(node))
-    return Model(counts, top, buckets)
+    return Model(counts, top, buckets, tokens, distinct)
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
-    """docs: (doc_id, text). Rows where ``held_out`` holds are scored but not learned from."""
+    """docs: (doc_id, text), a stored table. Rows where ``held_out`` holds are scored but not learned from."""
     docs = docs.select("doc_id", "text")
-    chunks, _, total = in_chunks(docs, CHUNK_BYTES, floor=48)
+    chunks, n_chunks, total = in_chunks(docs, CHUNK_BYTES, floor=48)
     chunks = chunks.withColumn("held_out", held_out)
     buckets = max(32, math.ceil(total / BUCKET_BYTES))
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out), ACROSS, buckets).top)
+    model = train(docs.where(~held_out), ACROSS, buckets)
+    n_all, n_distinct = model.tokens, model.distinct
+    shared = docs.sparkSession.sparkContext.broadcast(model.top)
 
     def words_of(table):
         distinct, index, offsets = lowered_words(text_array(table["text"]))
@@ -325,12 +367,12 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         trained = ~table["held_out"].to_numpy(zero_copy_only=False)
         counts = np.bincount(index, weights=np.repeat(trained, np.diff(offsets)), minlength=len(distinct)) if distinct else np.zeros(0)
         counts = np.append(counts, trained.sum()).astype(np.int64)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             rows = order[bounds[b] : bounds[b + 1]]
-            yield b, fp[rows].tobytes() + counts[rows].tobytes()
+            yield b, fp[rows].tobytes() + _planes(counts[rows])
         keys, n = gram_counts(text_array(table["text"]), trained, ACROSS)
         order, bounds = by_bucket(keys, buckets)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             rows = order[bounds[b] : bounds[b + 1]]
             yield buckets + b, packed(keys[rows], n[rows])
 
@@ -339,28 +381,19 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             for (chunk, _), logs in zip(blobs, answer(shared.value, [raw for _, raw in blobs]), strict=True):
                 yield chunk, logs.tobytes()
             return
-        halves = [(raw[: len(raw) // 2], raw[len(raw) // 2 :]) for _, raw in blobs]
-        fps = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in halves])
-        counts = np.concatenate([np.frombuffer(b, np.int64) for _, b in halves])
-        _, inverse = np.unique(fps, return_inverse=True)
-        sums = np.bincount(inverse, weights=counts, minlength=1).astype(np.int64)
-        facts = np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes()
-        found, at = sums[inverse] if len(fps) else fps.astype(np.int64), 0
-        for (chunk, raw), _ in zip(blobs, halves, strict=True):
-            n = len(raw) // 16
-            yield chunk, facts + found[at : at + n].tobytes()
-            at += n
+        fps, counts = zip(*(words_of_blob(raw) for _, raw in blobs), strict=True)
+        distinct, sums = _summed(np.concatenate(fps), np.concatenate(counts))
+        for (chunk, _), mine in zip(blobs, fps, strict=True):
+            yield chunk, _planes(sums[np.searchsorted(distinct, mine)])
 
     def finish(chunk, table, answers):
         table = in_order(table)
         distinct, index, offsets, _, order, bounds = words_of(table)
-        c, n_all, n_distinct = np.zeros(len(distinct) + 1, np.int64), 0, 0
+        c = np.zeros(len(distinct) + 1, np.int64)
         texts = text_array(table["text"])
-        for b in range(buckets):
-            raw = answers[b]
-            got = np.frombuffer(raw, np.int64)
-            n_all, n_distinct = n_all + int(got[0]), n_distinct + int(got[1])
-            c[order[bounds[b] : bounds[b + 1]]] = got[2:]
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            raw = np.frombuffer(answers[b], np.uint8).reshape(8, -1)
+            c[order[bounds[b] : bounds[b + 1]]] = np.ascontiguousarray(raw.T).view(np.int64).reshape(-1)
         n = np.diff(offsets)
         logs = np.log10(c + 1.0)
         base = segment_sum(logs[index], offsets) + logs[-1] - (n + 1) * math.log10(n_all + n_distinct + 1)
@@ -368,25 +401,26 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         keys, _ = gram_counts(texts, np.zeros(len(texts), bool), ACROSS)
         order, bounds = by_bucket(keys, buckets)
         logp = np.zeros(len(keys), np.float32)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             logp[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(answers[buckets + b], np.float32)
-        total_score = np.zeros(len(texts))
+        total_score, coded = np.zeros(len(texts)), np.zeros(len(texts))
         for a, b in pieces(texts, PIECE):
             grams, ends = text_grams(texts.slice(a, b - a), ACROSS)
             mine, at = np.unique(keys_of(grams), return_inverse=True)
             total_score[a:b] = segment_sum(logp[np.searchsorted(keys, mine)][at], ends)
-        text_bytes = pc.binary_length(texts).to_numpy()
+            coded[a:b] = np.diff(ends)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         columns = [
             table["doc_id"], table["held_out"], pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total_score),
-            pa.array(-total_score * math.log2(10) / np.maximum(text_bytes, 1)),
+            pa.array(-total_score * math.log2(10) / np.maximum(coded, 1)),
         ]
         return pa.Table.from_arrays(columns, names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return round_trip(chunks, emit, merge, finish, schema)
+    return round_trip(chunks, n_chunks, 2 * buckets, emit, merge, finish, schema)
 
 
 def op6_context_tree(spark, sf_dir: str) -> DataFrame:
+    """Score of every document of ``documents`` under a model of those that are not held out; bits a coded byte beside it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score(docs, crc_mod(F.col("doc_id"), 7) == 2)

@@ -1,12 +1,13 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-Texts are dealt to groups at random (id and text hashed); a group's texts are encoded where they land. Each document
+Texts are dealt to groups at random; a group's texts are encoded where they land. Each document
 is cut into whole sequences and one remainder; the remainders are packed by first fit in decreasing length, the first
 bin with room being found in a tournament tree over the bins' free space. Since documents may be cut anywhere, the
 least filled bins are then emptied into the gaps that remain, so that at most one sequence of a group needs padding.
 
-Cases: null or empty text -> one piece with the end id; repeated rows are packed once each; an empty table gives no
-piece; extra columns are ignored. A rerun gives the same sequences.
+Cases: null or empty text -> one piece with the end id; a very long text fills whole sequences and leaves one remainder;
+remainders of equal length are packed by id, then text; repeated rows are packed once each, in any number of groups; an
+empty table gives no piece; extra columns are ignored. A rerun over the same files gives the same sequences.
 """
 
 from __future__ import annotations
@@ -109,8 +110,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, gro
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, COLUMNS, strict=True)], schema=pa.schema(COLUMNS))
 
     schema = ", ".join(f"`{name}` long" for name, _ in COLUMNS)
-    return chunks.groupBy("chunk").applyInArrow(apply, schema)
+    return chunks.repartition(n, "chunk").groupBy("chunk").applyInArrow(apply, schema)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document of ``documents``, with its place in a sequence."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer(), 1)

@@ -155,7 +155,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = True) ->
         return pa.Table.from_arrays(columns[: len(names)], names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return round_trip(chunks, emit, merge, finish, schema)
+    return round_trip(chunks, n, groups, emit, merge, finish, schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
