@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 from sluicework.llm.common import saved
 
 
+#: Nodes with over 1/HOT of all edges are met by broadcast; there are at most HOT of them.
+HOT = 128
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b, m): edges, of which there are ``total`` at most, with the smallest b of each a.
+
+    The minima are aggregated in parts. A node with more than its share of the edges would be one task of the join back,
+    so those few, whose number the share bounds, are sent to the edges instead."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot, cold = (least.where(c).select("a", "m") for c in (F.col("n") > total / HOT, F.col("n") <= total / HOT))
+    marked = edges.join(F.broadcast(hot), "a", "left")
+    return marked.where(F.col("m").isNotNull()).unionByName(marked.where(F.col("m").isNull()).drop("m").join(cold, "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes in ``edges`` (a, b): root is the smallest node of the component.
 
@@ -21,19 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = saved(edges.where(F.col("a") != F.col("b")).select(high.alias("a"), low.alias("b")).distinct())
-    before = None
-    while True:
+    state, before = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first(), None
+    while state != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        starred = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        least = starred.groupBy("a").agg(F.min("b").alias("m"))
-        moved = starred.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = saved(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            roots = now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_anti")
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
-        before = state
+        pulled = _with_least(both, 2 * state[0]).where(F.col("b") > F.col("a"))
+        starred = saved(pulled.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        pulled = _with_least(starred, 2 * state[0])
+        now = saved(pulled.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
+        before, state = state, now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    roots = now.select("b").distinct().join(now.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

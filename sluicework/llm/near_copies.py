@@ -2,28 +2,30 @@
 
 1. Each text becomes its set of five-word shingles (all its words, if fewer) and a MinHash signature. Texts of equal sets
    are one node from here on.
-2. ``TREES`` tries hold the signatures as strings of hashes. The matched prefix is shortened from ``DEPTH`` until a pair
-   at the threshold shares a prefix in some trie with probability ``RECALL``. Nodes that share it meet. In a map task, and
-   then once more over all tasks, a node that is close to a leader by signature is linked to it; only leaders go on, so a
-   prefix that a third of all rows share sends a few rows a task. Links are made at a distance that also covers what a
+2. ``TREES`` tries hold the signatures as sorted strings of ``DEPTH`` hashes, no hash in two tries. Nodes are matched on the
+   whole string first; then the matched prefix is shortened hash by hash, until a pair at the threshold shares it in some
+   trie with probability ``RECALL``. In a map task, and then once more over all tasks, a node that is close to a leader by
+   signature is linked to it, at the longest prefix they share; only leaders go on to shorter prefixes and to other tasks,
+   so a prefix that a third of all rows share sends a few rows a task. Links are made at a distance that also covers what a
    leader stands for, hence no pair is lost to the grouping (the Jaccard distance obeys the triangle inequality).
+   Signatures only estimate that distance: links are made up to ``NOISE`` beyond it, over seven standard errors of the
+   estimate for a pair at the threshold.
 3. Linked nodes form candidate clusters (connected components, in Spark). Each text of a cluster is read once and all
-   pairs of a cluster are verified exactly, as products of sparse incidence blocks; clusters above ``CELL`` nodes are cut
-   into pairs of blocks that run apart. What comes back is a number of links and one root for each node and cell, never
-   a pair.
+   pairs of a cluster are verified exactly, as products of sparse incidence blocks; clusters above ``CELL`` nodes or
+   ``CELL_BYTES`` of text are cut into pairs of blocks that run apart. What comes back is a number of links and one root for
+   each node and cell, never a pair.
 
 The result is one row per document: class_id (smallest id of the component of verified links), n_links (different
 shingle sets at or above the threshold) and n_copies (other documents of the same set).
 
-Cases: null text, or text without a word, is in a class of its own with no link; a null id counts as larger than any id;
-repeated rows share a class; an empty table gives no row; extra columns are ignored by ``near_copies`` and kept by
-``drop_near_copies``.
+Cases: null text, or text without a word, is in a class of its own with no link; a very long text is one set like any
+other and is read whole; a null id counts as larger than any id; of documents that tie for the head of a class the one with
+the smaller text hash stands for it; repeated rows share a class; an empty table gives no row; extra columns, whatever
+their names, are ignored by ``near_copies`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,14 +40,14 @@ from sluicework.llm.repeats import prefix_hashes, window_starts
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.998
 HASHES = TREES * DEPTH
-#: Nodes of a verification block; bytes of text that are signed at once.
-CELL, PIECE = 1000, 6 << 20
-#: Standard errors of a signature's estimate that thresholds leave room for.
-NOISE = 0.15
+#: Nodes and bytes of text of a verification block; bytes of text that are signed at once.
+CELL, CELL_BYTES, PIECE = 1000, 12 << 20, 6 << 20
+#: Hashes of a signature that estimate a distance, a byte of each; what an estimate may be off.
+MARKS, NOISE = 80, 0.15
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-#: The tries share no hash, so they are independent tries; a prefix of k uses the first ``TREES * k`` hashes.
+#: The hashes of each trie, in the order of its strings. The tries share no hash, so they are independent.
 _PICK = np.arange(HASHES).reshape(DEPTH, TREES).T
 
 
@@ -86,17 +88,18 @@ def signatures(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) ->
     return out
 
 
-def _sign(batches, hashes: int):
-    names = ["doc_id", "th", "node", "signature"]
+def _sign(batches):
+    names = ["doc_id", "th", "size", "node", "signature"]
     for batch in batches:
         texts = text_array(batch.column(1))
         for a, b in pieces(texts, PIECE):
             values, offsets = shingle_sets(texts.slice(a, b - a))
-            sig = signatures(values, offsets, hashes)
+            sig = signatures(values, offsets)
             raw = values.tobytes()
             node = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else None for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             blobs = [x.tobytes() if k else None for x, k in zip(sig, node, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node, pa.binary()), pa.array(blobs, pa.binary())], names)
+            size = pc.binary_length(texts.slice(a, b - a)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), size, pa.array(node, pa.binary()), pa.array(blobs, pa.binary())], names)
 
 
 def _agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -141,43 +144,55 @@ def _lead(nodes: list[bytes], marks: np.ndarray, wide: np.ndarray, threshold: fl
     return links, leaders
 
 
+def shorten(strings: np.ndarray, order: np.ndarray, stop: int, nodes: list[bytes], marks: np.ndarray, wide: np.ndarray, threshold: float, joined: Joined):
+    """Links found while the matched prefix of a sorted trie goes from whole strings to ``stop`` hashes, and the rows that still lead.
+
+    ``order`` sorts the rows of ``strings``, so rows that share a prefix are neighbours at every length."""
+    links = []
+    for level in range(strings.shape[1], stop - 1, -1):
+        s = strings[order, :level]
+        same = (s[1:] == s[:-1]).all(1)
+        starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(order)))
+        stay = np.ones(len(order), bool)
+        for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            group = order[a : a + n]
+            own = wide[group]
+            found, leaders = _lead([nodes[j] for j in group], marks[group], own, threshold, joined)
+            wide[group] = own
+            links += found
+            stay[a : a + n] = False
+            stay[a + leaders] = True
+        order = order[stay]
+    return links, order
+
+
 def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFrame:
     """(a, b) from (node, signature)."""
-    hashes = TREES * prefix
-    schema = "key long, node binary, mark binary, wide boolean, other binary"
-    names = ["key", "node", "mark", "wide", "other"]
+    schema = "key long, deep binary, node binary, mark binary, wide boolean, other binary"
+    names = ["key", "deep", "node", "mark", "wide", "other"]
 
-    def rows(keys, nodes, marks, wide, others):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array(wide, pa.bool_()), pa.array(others, pa.binary())], names)
+    def rows(keys, deep, nodes, marks, wide, others):
+        values = [pa.array(keys, pa.int64()), pa.array(deep, pa.binary()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array(wide, pa.bool_()), pa.array(others, pa.binary())]
+        return pa.RecordBatch.from_arrays(values, names)
 
     def combine(batches):
         for batch in batches:
-            names_, sig = batch.column(0).to_pylist(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, hashes)
-            marks = sig.astype(np.uint8)
+            names_, sig = batch.column(0).to_pylist(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
+            marks = sig[:, :MARKS].astype(np.uint8)
             links, joined = [], Joined()
             for t in range(TREES):
-                key = np.full(len(sig), t + 1, np.uint64)
-                for i in _PICK[t][:prefix]:
-                    key = mix64(key ^ sig[:, i])
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(starts, len(key)))
-                wide, stay = np.zeros(len(sig), bool), np.ones(len(sig), bool)
-                for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                    at = order[s : s + n]
-                    own = np.zeros(n, bool)
-                    found, leaders = _lead([names_[j] for j in at], marks[at], own, threshold, joined)
-                    links += found
-                    stay[at] = False
-                    stay[at[leaders]] = True
-                    wide[at] = own
-                on = order[stay[order]]
-                signed = key[stay[order]].view(np.int64)
-                yield rows(signed, [names_[j] for j in on], [marks[j].tobytes() for j in on], wide[on], [None] * len(on))
+                strings, wide = sig[:, _PICK[t]], np.zeros(len(sig), bool)
+                found, on = shorten(strings, np.lexsort(strings.T[::-1]), prefix, names_, marks, wide, threshold, joined)
+                links += found
+                key = np.full(len(on), t + 1, np.uint64)
+                for i in range(prefix):
+                    key = mix64(key ^ strings[on, i])
+                deep = [x.tobytes() for x in strings[on, prefix:].astype(">u2")]
+                yield rows(key.view(np.int64), deep, [names_[j] for j in on], [marks[j].tobytes() for j in on], wide[on], [None] * len(on))
             if links:
                 a, b = zip(*links, strict=True)
-                yield rows(np.frombuffer(b"".join(x[:8] for x in a), np.int64), a, [None] * len(a), [False] * len(a), b)
+                yield rows(np.frombuffer(b"".join(x[:8] for x in a), np.int64), [None] * len(a), a, [None] * len(a), [False] * len(a), b)
 
     def meet(batches):
         joined = Joined()
@@ -188,13 +203,15 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
             links = [(a, b) for a, b in zip(linked["node"].to_pylist(), linked["other"].to_pylist(), strict=True) if joined.add(a, b)]
             lead = group.filter(pc.is_valid(group["mark"]))
             if lead.num_rows > 1:
-                marks = np.frombuffer(b"".join(lead["mark"].to_pylist()), np.uint8).reshape(-1, hashes)
-                links += _lead(lead["node"].to_pylist(), marks, lead["wide"].to_numpy().copy(), threshold, joined)[0]
+                marks = np.frombuffer(b"".join(lead["mark"].to_pylist()), np.uint8).reshape(-1, MARKS)
+                # What is left of the strings after the prefix that all rows of the group share.
+                deep = np.frombuffer(b"".join(lead["deep"].to_pylist()), ">u2").reshape(lead.num_rows, -1)
+                links += shorten(deep, np.arange(lead.num_rows), 0, lead["node"].to_pylist(), marks, lead["wide"].to_numpy().copy(), threshold, joined)[0]
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    sent = nodes.select("node", "signature").mapInArrow(combine, schema).repartition("key").sortWithinPartitions("key")
+    sent = nodes.select("node", "signature").mapInArrow(combine, schema).repartition("key").sortWithinPartitions("key", "deep")
     return sent.mapInArrow(meet, "a binary, b binary")
 
 
@@ -248,14 +265,15 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     (class_id, class_th) names the document that stands for the class: smallest id, then th.
     """
     prefix = prefix_length(threshold)
-    signed = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(lambda batches: _sign(batches, TREES * prefix), "doc_id long, th long, node binary, signature binary"))
+    signed = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(_sign, "doc_id long, th long, size long, node binary, signature binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th"))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(first.alias("of"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature"))
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(first.alias("of"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("signature").alias("signature"))
     nodes = saved(nodes)
     clusters = components(candidate_links(nodes, threshold, prefix).distinct())
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    member = clusters.join(sizes, "root").join(nodes.select("node", "of"), "node").select(
-        "node", F.col("root").alias("cluster"), F.ceil(F.col("m") / CELL).cast("int").alias("g"), F.col("of.doc_id").alias("doc_id"), F.col("of.th").alias("th")
+    member = clusters.join(nodes.select("node", "of", "size"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("size") / CELL_BYTES))
+    member = member.join(member.groupBy("root").agg(blocks.cast("int").alias("g")), "root").select(
+        "node", F.col("root").alias("cluster"), "g", F.col("of.doc_id").alias("doc_id"), F.col("of.th").alias("th")
     )
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("t"))
@@ -296,11 +314,13 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs``, one row for each class; texts without words stay."""
     keep = near_copies(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
-    keep = keep.select(F.col("doc_id").alias("_sw_id"), F.col("th").alias("_sw_th")).distinct()
-    marked = docs.withColumn("_sw_t", F.xxhash64("text"))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_sw_id")) & (F.col("_sw_t") == F.col("_sw_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sw_t"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = keep.select(F.col("doc_id").alias("keep_id"), F.col("th").alias("keep_th")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
+    kept = marked.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("t") == F.col("keep_th")), "left_semi")
+    return kept.dropDuplicates(["id", "t"]).select("row.*")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document of ``documents``."""
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_copies")
