@@ -1,11 +1,14 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training sums n-gram counts per (language, bucket) inside each partition and then in one Spark aggregation; the
-log-probability matrix (buckets x languages, at most ``MAX_CELLS`` cells) is broadcast, and texts are scored batch by
-batch as a sparse document-by-word product in numpy: each distinct word of a batch is scored once.
-
-Cases: null text or text without a letter -> ``und``, score 0; no labelled row at all -> every text is ``und``; repeated
-rows are scored alike; ties go to the language that sorts first; extra columns are ignored.
+log-probability matrix (buckets x languages) is broadcast, and texts are scored batch by batch as a sparse
+document-by-word product in numpy: each distinct word of a batch is scored once. A language always has the same
+``1 << BITS`` buckets, 128 KB of the matrix; a table with over ``MAX_LANGS`` languages is an error that names their number,
+since it would take a broadcast without a bound (its column holds something else than languages).
+
+Cases: null or empty text, or text without a letter -> ``und``, score 0; a very long text is scored whole; no labelled row
+at all -> every text is ``und``; repeated rows are scored alike; ties go to the language that sorts first; an empty table
+gives no row; extra columns are kept by ``identify``, but for one that has the name of a new column, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from sluicework.llm.common import crc_mod, dictionary, pieces, split_words, text_array
 
 ORDERS = (1, 2, 3, 4)
-#: Bound of the broadcast matrix: 16 M cells of 4 bytes. More languages get fewer buckets.
-MAX_CELLS, BITS = 1 << 24, 15
+#: Buckets of a language, and the most languages of a model (128 MB of matrix).
+BITS, MAX_LANGS = 15, 1000
 #: Bytes of text that are counted or scored at once.
 PIECE = 6 << 20
 UNKNOWN = "und"
@@ -68,11 +71,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     """Fit on all rows of ``docs`` that ``where`` admits and that have a text and a language."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.where(where) if where is not None else rows
-    prior = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    langs = sorted(prior)
+    prior = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MAX_LANGS + 1).collect()}
+    if len(prior) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages in column {lang}")
+    langs, bits = sorted(prior), BITS
     if not langs:
         return Model([], np.zeros(0), np.zeros((0, 2)), 1)
-    bits = max(4, min(BITS, int(np.log2(MAX_CELLS / len(langs)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -97,11 +101,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
             )
 
     parts = rows.select(text, lang).mapInArrow(count, "k int, bucket int, n long")
-    # At most languages x buckets rows, MAX_CELLS in all.
+    # At most MAX_LANGS x buckets rows.
     sums = parts.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(langs), 1 << bits))
+    counts = np.zeros((len(langs), 1 << bits), np.float32)
     counts[sums["k"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    logp = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1]))
+    logp = np.log((counts + 0.5) / (counts.sum(1, keepdims=True, dtype=np.float64) + 0.5 * counts.shape[1]))
     docs_of = np.array([prior[x] for x in langs], float)
     return Model(langs, np.log(docs_of / docs_of.sum()), logp.astype(np.float32), bits)
 
@@ -129,6 +133,7 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its posterior; all columns and rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(lang_col, score_col)
     at = docs.columns.index(text)
     names = [*docs.columns, lang_col, score_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_col}` string, `{score_col}` double"
@@ -144,6 +149,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str =
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language and posterior of every document of ``documents``; a third of them, held out, is not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     model = train(docs, where=~held_out)
