@@ -16,7 +16,7 @@ def search_blocks(rows: DataFrame, key: str, value: str, is_query: Column, k: in
 
     ``search(query_values, row_values, k)`` gets two Arrow arrays and the ids of both and returns (query index, row index,
     score), at most about k rows for each query. Every row and every query goes to a cell by hash, so no value can fill
-    one; a row is sent once per query block and a query once per row block.
+    one; a row is sent once per query block and a query once per row block. Repeated query rows are asked once.
     """
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(value).alias("value"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n, nq = rows.select(F.count(F.lit(1)), F.count_if("q")).first()
@@ -26,7 +26,7 @@ def search_blocks(rows: DataFrame, key: str, value: str, is_query: Column, k: in
     at = F.xxhash64("id", F.lit(1))
     spread = lambda other, of: F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(of)
     sides = rows.select(spread(query_blocks, "qb"), F.pmod(at, F.lit(row_blocks)).cast("int").alias("rb"), F.lit(False).alias("q"), "id", "value")
-    asked = rows.where("q").select(F.pmod(at, F.lit(query_blocks)).cast("int").alias("qb"), spread(row_blocks, "rb"), F.lit(True).alias("q"), "id", "value")
+    asked = rows.where("q").distinct().select(F.pmod(at, F.lit(query_blocks)).cast("int").alias("qb"), spread(row_blocks, "rb"), F.lit(True).alias("q"), "id", "value")
 
     def cell(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
