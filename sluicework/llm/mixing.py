@@ -5,11 +5,13 @@ certain; the fractional part is rounded with the pivotal method: two documents e
 until one of them is certain, at random in proportion so that each expectation is kept. The words of a pair stay the
 same, so a source's sum moves only by what the last undecided document weighs. Documents are dealt to small buckets by
 hash; each bucket leaves at most one undecided document, and those meet in a reduction tree of fan-in ``FAN``.
-Random numbers are hashes of the row and the level: a rerun takes the same copies.
+Random numbers are hashes of the row, its number among its repeats, and the level: a rerun takes the same copies. Repeats
+are counted first, in parts, and then dealt out one by one, so they are as spread as different rows.
 
-Cases: null text has size 0 and is copied with its expectation by a hash (it weighs nothing); a null source is a source
-of its own, ordered last; repeated rows are rounded one by one; an empty table gives no row; other columns are kept by
-``mix`` whatever their names.
+Cases: null or empty text has size 0 and is copied with its expectation by a hash (it weighs nothing); a very long text is
+one unit like any other, and may be its source's last undecided one; rows of equal size are told apart by their hash; a
+null source is a source of its own, ordered last; repeated rows, null ids included, are rounded one by one; an empty table
+gives no row; other columns are kept by ``mix`` whatever their names, but none may hold a map.
 """
 
 from __future__ import annotations
@@ -94,8 +96,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source") -> DataFram
 
 def mix_rows(rows: DataFrame) -> DataFrame:
     """As ``mix``, from (row, source, size)."""
-    rows = rows.withColumn("u", F.xxhash64("row"))
     buckets = max(1, math.ceil(rows.count() / FAN))
+    repeats = rows.groupBy("source", "row", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = repeats.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("source", "row", "size", F.xxhash64("row", "j").alias("u"))
     packed = rows.groupBy("source", F.pmod("u", F.lit(buckets)).alias("bucket")).agg(
         F.array_sort(F.collect_list(F.struct("size", "u", "row"))).alias("units"), F.sum("size").alias("size")
     )
@@ -146,6 +149,7 @@ def _tree(left: DataFrame, buckets: int) -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.struct("doc_id").alias("row"), "source", word_count(F.col("text")).alias("size"))
     out = mix_rows(rows)
