@@ -3,14 +3,17 @@
 Candidates are strings with a digit or a known prefix, values assigned to a telling name, bearer tokens, passwords of
 URLs and private key blocks, each to its end. Each has features:
 length, transitions between character classes, share of its letters that are dictionary words, path marks, and the
-words beside it. The forest learns from labelled findings: those whose format alone settles what they are. At most
-``TRAIN_ROWS`` of them (smallest hash first) are used; everything else covers all rows. The dictionary is the
-``WORDS`` most frequent words of all texts. The trained trees become one SQL expression, so texts are scanned, scored and
-redacted in one pass without a shuffle.
-
-Cases: null or empty text -> no finding; a value found twice in a text is one finding, at its first place, and redacted
-everywhere; no labelled finding of one kind -> the format rule decides alone; repeated rows give repeated findings; an
-empty table gives no finding; other columns are kept by ``redact`` whatever their names.
+words beside it (``SPAN`` characters before, 16 after). The forest learns from labelled findings: a table of them, where the
+caller has one, else those whose format and place settle what they are. That the value is assigned to a telling name is
+what such labels rest on, so it is no feature. At most ``TRAIN_ROWS`` of them (smallest hash first) are used; everything else
+covers all rows. The dictionary is the ``WORDS`` most frequent words of all texts. The trained trees become one SQL
+expression, so texts are scanned, scored and redacted in one pass without a shuffle.
+
+Cases: null or empty text -> no finding; a very long text is scanned whole; a value found twice in a text is one finding, at
+the first place where no letter or digit touches it (else at its first place), and redacted everywhere; no labelled finding
+of one kind -> the format rule decides alone; words that tie for the dictionary are taken in their order; repeated rows give
+repeated findings; an empty table gives no finding; other columns are kept by ``redact`` whatever their names, and by ``scan``
+but for one of the name ``out``, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ _BEARER = r"(?i)(?<![\p{L}0-9])bearer\s{1,3}([A-Za-z0-9._~+/=-]{8,})"
 _URL_USER = r"""(?<![\w.+%-])(?!mailto:)[\w.+%-]{0,64}+:([^\s/@"']{6,})@(?=[A-Za-z0-9])"""
 _PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)"
 FEATURES = [
-    "length", "transitions", "digit_share", "upper_share", "hex_share", "distinct_share", "dictionary", "path_marks", "path_before", "keyword_before", "assigned", "quoted", "number_words"
+    "length", "transitions", "digit_share", "upper_share", "hex_share", "distinct_share", "dictionary", "path_marks", "path_before", "keyword_before", "quoted", "number_words"
 ]
 
 
@@ -59,7 +62,8 @@ def _share(value: Column, pattern: str) -> Column:
 
 def finding(value: Column, text: Column, words: list[str]) -> Column:
     """struct<value, start, label, features...> of one candidate."""
-    start = F.position(value, text)
+    alone = F.concat(F.lit(r"(?<![\p{L}0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}0-9])"))
+    start = F.coalesce(F.nullif(F.regexp_instr(text, alone), F.lit(0)), F.position(value, text))
     first = F.greatest(start - SPAN, F.lit(1))
     before = F.substring(text, first, start - first)
     after = F.substring(text, start + F.length(value), F.lit(16))
@@ -73,7 +77,7 @@ def finding(value: Column, text: Column, words: list[str]) -> Column:
         "transitions": (F.regexp_count(value, F.lit(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / F.length(value),
         "digit_share": _share(value, "[0-9]"), "upper_share": _share(value, "[A-Z]"), "hex_share": _share(value, "[0-9a-f]"), "distinct_share": distinct,
         "dictionary": covered, "path_marks": F.regexp_count(value, F.lit(r"[/.\\-]")).cast("double"), "path_before": _flag(before, r"(?:https?:/|[/\\~])[\p{L}0-9_./\\-]*$"),
-        "keyword_before": _flag(before, r"(?i)password|passwd|passphrase|pwd|secret|token|key|credential|auth|bearer"), "assigned": assigned,
+        "keyword_before": _flag(before, r"(?i)password|passwd|passphrase|pwd|secret|token|key|credential|auth|bearer"),
         "quoted": _flag(before, r"""["']$""") * _flag(after, r"""^["']"""), "number_words": _flag(before, r"(?i)(?:\+|\(|\b(?:tel|phone|fax|no|nr|card|order|id|page|call)\b[.: ]*)[0-9 ()-]*$"),
     }
     issued = F.regexp_like(value, F.lit(r"^(?:AKIA|ASIA)[A-Z2-7]{16}$|^-----BEGIN [A-Z ]*PRIVATE KEY-----"))
@@ -126,12 +130,19 @@ def forest_score(x: Column, trees: list[str] | None) -> Column:
     return total / len(trees)
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "findings") -> DataFrame:
-    """``docs`` with an array of struct<value, start, score, is_secret>, one for each candidate."""
+def scan(docs: DataFrame, text: str = "text", out: str = "findings", labelled: DataFrame | None = None) -> DataFrame:
+    """``docs`` with an array of struct<value, start, score, is_secret>, one for each candidate.
+
+    ``labelled``: (value, text, label) of findings that someone has judged, label 1 for a secret and 0 for none."""
     words = dictionary(docs, text)
     body = F.col(f"`{text}`")
     found = F.transform(candidates(body), lambda v: finding(v, body, words))
-    trees = train(docs.select(F.explode(found).alias("x")).select("x.*"))
+    if labelled is None:
+        examples = docs.select(F.explode(found).alias("x")).select("x.*")
+    else:
+        judged_before = labelled.select(F.col("label").cast("double").alias("judged"), finding(F.col("value"), F.col("text"), words).alias("x")).where("x.value IS NOT NULL")
+        examples = judged_before.select("x.*", "judged").withColumn("label", F.col("judged")).drop("judged")
+    trees = train(examples)
 
     def judged(x: Column) -> Column:
         score = forest_score(x, trees)
