@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import uuid
@@ -124,6 +125,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
+def give_back() -> None:
+    """Return what a worker process has freed to the system: a reused worker otherwise keeps the peak of every stage before."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def round_trip(chunks: DataFrame, n_chunks: int, n_buckets: int, emit, merge, finish, schema: str) -> DataFrame:
     """Each chunk asks something of all the others: chunk -> buckets -> the same chunk again.
 
@@ -135,6 +143,7 @@ def round_trip(chunks: DataFrame, n_chunks: int, n_buckets: int, emit, merge, fi
     blob = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())])
 
     def out(key, table):
+        give_back()
         chunk = key[0].as_py()
         found = list(emit(chunk, table))
         return pa.Table.from_arrays(
@@ -142,6 +151,7 @@ def round_trip(chunks: DataFrame, n_chunks: int, n_buckets: int, emit, merge, fi
         )
 
     def met(key, table):
+        give_back()
         bucket = key[0].as_py()
         table = table.sort_by("chunk")
         found = list(merge(bucket, list(zip(table["chunk"].to_pylist(), table["data"].to_pylist(), strict=True))))
@@ -150,6 +160,7 @@ def round_trip(chunks: DataFrame, n_chunks: int, n_buckets: int, emit, merge, fi
         )
 
     def back(key, table, answers):
+        give_back()
         return finish(key[0].as_py(), table, dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist(), strict=True)))
 
     text = "bucket long, chunk int, data binary"

@@ -28,16 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import crc_mod, dictionary, hash64, in_chunks, in_order, mix64, pieces, round_trip, segment_sum, split_words, text_array
+from sluicework.llm.common import crc_mod, dictionary, give_back, hash64, in_chunks, in_order, mix64, pieces, round_trip, segment_sum, split_words, text_array
 
 DEPTH = 6
 #: Contexts of at most TOP bytes are sent to all tasks; deeper ones live in the bucket of their last TOP + 1 bytes.
 TOP = 2
 #: Whether a context reaches back over the start of its word.
 ACROSS = True
-CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 12 << 20, 2 << 20, 1 << 18
-#: Distinct words that a task of the training pass gathers before it sends them on.
-WORDS_HELD = 500_000
+CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 12 << 20, 1 << 20, 1 << 18
+#: Distinct grams and words that a task of the training pass gathers before it sends them on.
+GRAMS_HELD, WORDS_HELD = 1_000_000, 500_000
 END = 10
 
 
@@ -48,26 +48,30 @@ def lowered_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _contexts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """context << 8 | byte for each byte of ``raw``; no context reaches back over one of the (sorted) ``starts``."""
-    inside = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    grams = raw.astype(np.int64)
+    """Key of each byte of ``raw``: the bytes before it from the nearest to the farthest, then the byte itself.
+
+    No context reaches back over one of the (sorted) ``starts``. Contexts that share a suffix share a prefix of their keys."""
+    wide, keys = raw.astype(np.int64), raw.astype(np.int64)
+    near = np.zeros(0, np.int64)
     for k in range(1, DEPTH + 1):
+        near = np.concatenate([near, starts + (k - 1)])  # bytes with less than k before them; past a short text lies the start of the next
         before = np.zeros(len(raw), np.int64)
-        before[k:] = raw[:-k]
-        before[inside < k] = 0
-        grams |= before << (8 * k)
-    return grams
+        before[k:] = wide[:-k]
+        before[near[near < len(raw)]] = 0
+        before <<= 8 * (DEPTH - k + 1)
+        keys |= before
+    return keys
 
 
 def byte_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its closing space: context << 8 | byte, and the bounds of the words."""
+    """The key of each byte of each word and its closing space, and the bounds of the words."""
     raw = np.frombuffer((" ".join(words) + " ").encode() if words else b"", np.uint8)
     bounds = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
     return _contexts(raw, bounds[:-1]), bounds
 
 
 def text_grams(texts: pa.Array, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """context << 8 | byte for each byte of each text as the model reads it, and the bounds of the texts.
+    """The key of each byte of each text as the model reads it, and the bounds of the texts.
 
     With ``across`` a context reaches back to the start of the text, without it to the start of the word.
     """
@@ -87,20 +91,53 @@ def text_grams(texts: pa.Array, across: bool) -> tuple[np.ndarray, np.ndarray]:
     return _contexts(out, starts), bounds
 
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    """The bytes of a gram from the nearest one before to the farthest, then the byte itself: suffixes become prefixes."""
-    return ((grams >> 8).byteswap().view(np.uint64) >> np.uint64(8)).astype(np.int64) | (grams & 255)
+class Sums:
+    """Sorted distinct keys with the sums of their counts; what comes in waits until it outweighs what is there."""
+
+    def __init__(self, dtype: type = np.int64):
+        self.keys, self.counts = np.zeros(0, dtype), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        if sum(len(k) for k, _ in self.waiting) > len(self.keys):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self.keys, self.counts = _summed(np.concatenate([self.keys, *(k for k, _ in self.waiting)]), np.concatenate([self.counts, *(n for _, n in self.waiting)]))
+            self.waiting = []
+        return self.keys, self.counts
+
+
+@dataclass
+class Piece:
+    """A run of texts: its distinct keys, which of them each byte has, and the bounds of the texts."""
+
+    first: int
+    last: int
+    keys: np.ndarray
+    index: np.ndarray
+    ends: np.ndarray
+
+
+def gram_pieces(texts: pa.Array, across: bool):
+    for a, b in pieces(texts, PIECE):
+        grams, ends = text_grams(texts.slice(a, b - a), across)
+        keys, index = np.unique(grams, return_inverse=True)
+        yield Piece(a, b, keys, index.astype(np.int32), ends)
 
 
 def gram_counts(texts: pa.Array, trained: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of all texts, and how often each occurs in the ``trained`` ones."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = Sums()
     for a, b in pieces(texts, PIECE):
-        grams, bounds = text_grams(texts.slice(a, b - a), across)
-        new, index = np.unique(keys_of(grams), return_inverse=True)
-        n = np.bincount(index, weights=np.repeat(trained[a:b], np.diff(bounds)), minlength=len(new)).astype(np.int64)
-        keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
-    return keys, counts
+        grams, ends = text_grams(texts.slice(a, b - a), across)
+        learned = np.repeat(trained[a:b], np.diff(ends))
+        for some, weight in ((grams[learned], 1), (grams[~learned], 0)):
+            keys, counts = np.unique(some, return_counts=True)
+            sums.add(keys, counts * weight)
+    return sums.settle()
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,20 +297,27 @@ def counted(docs: DataFrame, buckets: int, across: bool) -> DataFrame:
         rows = [(buckets + b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b + 1] > bounds[b]]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([fps[r].tobytes() + _planes(counts[r]) for _, r in rows], pa.binary())], names)
 
+    def grams_out(keys, counts):
+        order, bounds = by_bucket(keys, buckets)
+        rows = [(b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b + 1] > bounds[b]]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([packed(keys[r], counts[r]) for _, r in rows], pa.binary())], names)
+
     def count(batches):
-        fps, words = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, PIECE)):
-            keys, counts = gram_counts(texts, np.ones(len(texts), bool), across)
-            order, bounds = by_bucket(keys, buckets)
-            rows = [(b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b + 1] > bounds[b]]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([packed(keys[r], counts[r]) for _, r in rows], pa.binary())], names)
-            more, n = word_counts(texts, np.ones(len(texts), bool))
-            fps, words = _summed(np.concatenate([fps, more]), np.concatenate([words, n]))
-            if len(fps) > WORDS_HELD:
-                yield words_out(fps, words)
-                fps, words = fps[:0], words[:0]
-        if len(fps):
-            yield words_out(fps, words)
+        give_back()
+        grams, words = Sums(), Sums(np.uint64)
+        for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, 2 * PIECE)):
+            all_texts = np.ones(len(texts), bool)
+            grams.add(*gram_counts(texts, all_texts, across))
+            if len(grams.keys) > GRAMS_HELD:
+                yield grams_out(*grams.settle())
+                grams = Sums()
+            words.add(*word_counts(texts, all_texts))
+            if len(words.keys) > WORDS_HELD:
+                yield words_out(*words.settle())
+                words = Sums(np.uint64)
+        for sums, out in ((grams, grams_out), (words, words_out)):
+            if len(sums.settle()[0]):
+                yield out(*sums.settle())
 
     return docs.select("text").mapInArrow(count, "bucket long, data binary")
 
@@ -293,7 +337,7 @@ class Model:
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's byte; the grams travel to the buckets of their contexts."""
-        keys, index = np.unique(keys_of(grams), return_inverse=True)
+        keys, index = np.unique(grams, return_inverse=True)
         order, bounds = by_bucket(keys, self.buckets)
         spark, top = self.counts.sparkSession, self.top
         rows = [(b, packed(k := keys[order[bounds[b] : bounds[b + 1]]], np.zeros(len(k), np.int64)), True) for b in range(self.buckets)]
@@ -317,6 +361,7 @@ def train(docs: DataFrame, across: bool = False, buckets: int = 8) -> Model:
     names = ["ctx", "node", "a", "b", "pw"]
 
     def roots(key, table):
+        give_back()
         if key[0].as_py() >= buckets:
             fps, n = zip(*map(words_of_blob, table["data"].to_pylist()), strict=True)
             _, n = _summed(np.concatenate(fps), np.concatenate(n))
@@ -347,7 +392,7 @@ def train(docs: DataFrame, across: bool = False, buckets: int = 8) -> Model:
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """docs: (doc_id, text), a stored table. Rows where ``held_out`` holds are scored but not learned from."""
     docs = docs.select("doc_id", "text")
-    chunks, n_chunks, total = in_chunks(docs, CHUNK_BYTES, floor=48)
+    chunks, n_chunks, total = in_chunks(docs, CHUNK_BYTES, floor=16)
     chunks = chunks.withColumn("held_out", held_out)
     buckets = max(32, math.ceil(total / BUCKET_BYTES))
     model = train(docs.where(~held_out), ACROSS, buckets)
@@ -367,6 +412,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         trained = ~table["held_out"].to_numpy(zero_copy_only=False)
         counts = np.bincount(index, weights=np.repeat(trained, np.diff(offsets)), minlength=len(distinct)) if distinct else np.zeros(0)
         counts = np.append(counts, trained.sum()).astype(np.int64)
+        del distinct, index, offsets
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             rows = order[bounds[b] : bounds[b + 1]]
             yield b, fp[rows].tobytes() + _planes(counts[rows])
@@ -404,11 +450,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             logp[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(answers[buckets + b], np.float32)
         total_score, coded = np.zeros(len(texts)), np.zeros(len(texts))
-        for a, b in pieces(texts, PIECE):
-            grams, ends = text_grams(texts.slice(a, b - a), ACROSS)
-            mine, at = np.unique(keys_of(grams), return_inverse=True)
-            total_score[a:b] = segment_sum(logp[np.searchsorted(keys, mine)][at], ends)
-            coded[a:b] = np.diff(ends)
+        for part in gram_pieces(texts, ACROSS):
+            total_score[part.first : part.last] = segment_sum(logp[np.searchsorted(keys, part.keys)][part.index], part.ends)
+            coded[part.first : part.last] = np.diff(part.ends)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         columns = [
             table["doc_id"], table["held_out"], pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total_score),
