@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework import model
@@ -29,8 +29,16 @@ def latest_wins(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def admitted_submissions(submissions: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(…, outcome, fairness_weight): created, existing, no_budget or suspended; the weight is the tenant's at submission."""
-    rows = submissions.join(budgets.select("tenant_id", F.col("fairness_weight").alias("fairness_weight"), "suspended"), "tenant_id", "left")
+    """(…, outcome, fairness_weight): created, existing, no_budget or suspended; the weight is the tenant's at submission.
+
+    With a column ``seq``, ``budgets`` is a history, and each submission meets the change in force when it came."""
+    if "seq" in budgets.columns:
+        until = F.lead("seq").over(Window.partitionBy("tenant_id").orderBy("seq"))
+        spans = budgets.select(F.col("tenant_id").alias("_sw_tenant"), F.col("seq").alias("_sw_from"), until.alias("_sw_until"), "fairness_weight", "suspended")
+        in_force = (F.col("tenant_id") == F.col("_sw_tenant")) & (F.col("seq") >= F.col("_sw_from")) & (F.col("_sw_until").isNull() | (F.col("seq") < F.col("_sw_until")))
+        rows = submissions.join(spans, in_force, "left").drop("_sw_tenant", "_sw_from", "_sw_until")
+    else:
+        rows = submissions.join(budgets.select("tenant_id", "fairness_weight", "suspended"), "tenant_id", "left")
     rows = rows.withColumn("_sw_open", F.col("suspended").isNotNull() & ~F.col("suspended"))
     rows = first_wins(rows, ["tenant_id", "dedupe_key", "_sw_open"], ["seq"])
     outcome = F.when(F.col("suspended").isNull(), "no_budget").when(F.col("suspended"), "suspended").when(F.col("created"), "created").otherwise("existing")

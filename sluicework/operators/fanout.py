@@ -37,6 +37,14 @@ def ready(rungs: DataFrame, landed: DataFrame) -> DataFrame:
     return rungs.join(landed, ["source", "rung"], "left_semi")
 
 
+def zip_positions(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of all tables that have the same place (``pos``) in the same key; what the shortest lacks is left out."""
+    rows = tables[0]
+    for other in tables[1:]:
+        rows = rows.join(other, [*keys, "pos"])
+    return rows
+
+
 def totals(parts: DataFrame) -> DataFrame:
     """Frames, bytes and seconds over all parts."""
     return parts.agg(F.sum("frames").alias("frames"), F.sum("bytes").alias("bytes"), F.sum("seconds").alias("seconds"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from sluicework.functions import media
 from sluicework.functions.tables import LADDER
 
 
+#: Bands of a hash in the search for near ones.
+BANDS = 4
+
+
 def ladder_plan(sources: DataFrame) -> DataFrame:
     """(source, pos, rung, width, height, max_bitrate, crf), best rung first.
 
@@ -119,17 +125,27 @@ def verdicts(renditions: DataFrame, findings: DataFrame) -> DataFrame:
 def blocklist_match(samples: DataFrame, blocklist: DataFrame, most: int = model.MATCH_DISTANCE) -> DataFrame:
     """The nearest blocklist entry within ``most`` bits of each sample; ties go to the first entry.
 
-    samples: (sample_id, phash); blocklist: (pos, known). Two hashes within ``most`` bits agree on one of ``most`` + 1 bands, so
-    bands are joined by value and the distance is checked after; no pair of unlike hashes is ever made.
+    samples: (sample_id, phash); blocklist: (pos, known). The bits that hashes differ in at all are cut into ``BANDS`` wide bands.
+    Two hashes within ``most`` bits are within most div BANDS bits in one of them, so each entry of the blocklist asks for
+    its own value of a band and all values as near; the distance is checked after. Wide bands keep the pairs few: a band
+    of w bits meets a sample by chance once in 2^w.
     """
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-
-    def banded(df: DataFrame, value: str) -> DataFrame:
-        band = lambda i: F.shiftrightunsigned(F.col(value), cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
-        return df.select("*", F.posexplode(F.array(*[band(i) for i in range(bands)])).alias("band", "slot"))
-
-    pairs = banded(samples, "phash").join(banded(blocklist, "known"), ["band", "slot"]).withColumn("distance", media.hamming(F.col("phash"), F.col("known")))
+    spans = [samples.agg(F.bit_or("phash"), F.bit_and("phash")).first(), blocklist.agg(F.bit_or("known"), F.bit_and("known")).first()]
+    ones = ((spans[0][0] or 0) | (spans[1][0] or 0)) & (1 << 64) - 1
+    always = (-1 if spans[0][1] is None else spans[0][1]) & (-1 if spans[1][1] is None else spans[1][1])
+    used = ones & ~always & (1 << 64) - 1
+    first, width = (used & -used).bit_length() - 1 if used else 0, used.bit_length()
+    cuts = [first + (width - first) * i // BANDS for i in range(BANDS + 1)]
+    part = lambda value, i: F.shiftrightunsigned(F.col(value), cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
+
+    def near(i: int) -> Column:
+        bits = range(cuts[i + 1] - cuts[i])
+        flips = [sum(1 << b for b in c) for r in range(most // BANDS + 1) for c in itertools.combinations(bits, r)]
+        return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in flips)})"), lambda x: F.struct(F.lit(i).alias("band"), part("known", i).bitwiseXOR(x).alias("slot")))
+
+    mine = samples.select("sample_id", "phash", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part("phash", i).alias("slot")) for i in range(BANDS)])).alias("x"))
+    asked = blocklist.select("pos", "known", F.explode(F.flatten(F.array(*[near(i) for i in range(BANDS)]))).alias("x"))
+    pairs = mine.select("sample_id", "phash", "x.*").join(asked.select("pos", "known", "x.*"), ["band", "slot"]).withColumn("distance", media.hamming(F.col("phash"), F.col("known")))
     best = pairs.where(F.col("distance") <= most).groupBy("sample_id").agg(F.min(F.struct("distance", "pos", "known")).alias("b"))
     return best.select("sample_id", F.col("b.known").alias("known"), F.col("b.distance").alias("distance"))
 

@@ -117,7 +117,9 @@ def fair_share(candidates: DataFrame, grants: DataFrame, credits: DataFrame) ->
 
     The floor phase is a clamped running sum in the order of tenants; the phase that gives single slots to the tenant
     that is owed most merges decreasing sequences credit - 0, credit - 1, ..., so the first ``remaining`` of all of them,
-    ranked, are the slots given. Tenants without a turn keep their credit unless more credits than eligible tenants are held.
+    ranked, are the slots given. Who still has room is owed less than one slot and lacks less than one, so these sequences run
+    level: all but the last rounds are given by the level up to which the rooms fill, and only about three units a tenant
+    are ranked. Tenants without a turn keep their credit unless more credits than eligible tenants are held.
     """
     lane = Window.partitionBy("lane")
     ceiling = F.least("headroom", "pending")
@@ -137,9 +139,18 @@ def fair_share(candidates: DataFrame, grants: DataFrame, credits: DataFrame) ->
     rows = rows.withColumn("first", F.least("up_to", slots) - F.least(F.col("up_to") - F.col("whole"), slots)).withColumn("owed", F.col("credit") - F.col("first"))
     rows = rows.withColumn("remaining", slots - F.sum("first").over(lane))
     room = F.when(F.col("turn"), F.least(F.col("ceiling") - F.col("first"), F.col("remaining"))).otherwise(F.lit(0)).cast("int")
-    units = rows.where(room > 0).select("lane", "tenant_id", "remaining", "owed", F.explode(F.sequence(F.lit(0), room - 1)).alias("j"))
+    open_ = rows.where(room > 0).select("lane", "tenant_id", "remaining", "owed", room.alias("room"))
+    by_room = lane.orderBy("room", "tenant_id")
+    smaller = F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    others = F.count(F.lit(1)).over(lane) - F.row_number().over(by_room) + 1
+    level = open_.withColumn("level", (F.col("remaining") - smaller) / others).withColumn("level", F.max("level").over(lane))
+    sure = F.least(F.col("room"), F.greatest(F.floor("level") - 1, F.lit(0))).cast("int")
+    sured = level.withColumn("sure", sure).withColumn("after", F.col("remaining") - F.sum("sure").over(lane))
+    last = F.least(F.col("room"), F.col("sure") + 3)
+    units = sured.select("lane", "tenant_id", "after", "owed", "sure", F.explode(F.sequence(F.col("sure"), last)).alias("j")).where(F.col("j") < last)
     place = F.row_number().over(lane.orderBy(F.desc("key"), "tenant_id", "j"))
-    extra = units.withColumn("key", F.col("owed") - F.col("j")).withColumn("place", place).where(F.col("place") <= F.col("remaining")).groupBy("lane", "tenant_id").agg(F.count(F.lit(1)).alias("extra"))
+    ranked = units.withColumn("key", F.col("owed") - F.col("j")).withColumn("place", place).where(F.col("place") <= F.col("after")).groupBy("lane", "tenant_id").agg(F.count(F.lit(1)).alias("more"))
+    extra = sured.join(ranked, ["lane", "tenant_id"], "left").select("lane", "tenant_id", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("extra"))
     out = rows.join(extra, ["lane", "tenant_id"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
     left = F.col("owed") - F.col("extra")
     band = F.greatest(F.least(left, F.lit(model.CREDIT_BAND)), F.lit(-model.CREDIT_BAND))

@@ -27,10 +27,19 @@ def tolerance_of(metric: Column) -> Column:
     return F.coalesce(F.try_element_at(known, metric), F.lit(float("inf")))
 
 
+def first_rungs(rows: DataFrame) -> DataFrame:
+    """The rows of the first place of each (file, rung), where rows have a place; a rung that is listed again is left out."""
+    if "pos" not in rows.columns:
+        return rows
+    first = rows.groupBy("file", "rung").agg(F.min("pos").alias("pos"))
+    return rows.join(first, ["file", "rung", "pos"], "left_semi")
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """(file, rung, metric, before, after, delta, worse, regression) of the metrics that both runs have.
 
-    before, after: (file, rung, metric, value)."""
+    before, after: (file, rung, metric, value) and, where a rung may be listed twice, pos: the first place counts."""
+    before, after = first_rungs(before), first_rungs(after)
     rows = before.select("file", "rung", "metric", F.col("value").alias("before")).join(after.select("file", "rung", "metric", F.col("value").alias("after")), ["file", "rung", "metric"])
     delta = F.col("after") - F.col("before")
     worse = F.when(F.col("metric").isin(LOWER_IS_BETTER), delta).otherwise(-delta)
@@ -53,9 +62,9 @@ def unscored(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def diff_verdict(compared: DataFrame, changes: DataFrame) -> DataFrame:
     """One row: counts, and whether the change is clean (no regression, nothing missing)."""
-    a = compared.agg(F.count_if("regression").alias("regressions"))
-    b = changes.agg(F.count_if(F.col("change") == "missing").alias("missing"), F.count_if(F.col("change") == "added").alias("added"))
-    return a.join(b).withColumn("clean", (F.col("regressions") == 0) & (F.col("missing") == 0))
+    what = compared.where("regression").select(F.lit("regression").alias("change")).unionByName(changes.select("change"))
+    counts = what.agg(*[F.count_if(F.col("change") == c).alias(n) for c, n in (("regression", "regressions"), ("missing", "missing"), ("added", "added"))])
+    return counts.withColumn("clean", (F.col("regressions") == 0) & (F.col("missing") == 0))
 
 
 def conform_findings(reports: DataFrame, body: str = "report") -> DataFrame:
@@ -75,6 +84,17 @@ def conform_findings(reports: DataFrame, body: str = "report") -> DataFrame:
     return said.select(*keys, severity.alias("severity"), "section", text.alias("message")).where(F.col("severity").isNotNull() & (F.col("message") != ""))
 
 
+def conform_verdict(reports: DataFrame, body: str = "report") -> DataFrame:
+    """(…, tests_run, errors, warnings, passed, conformant): a report conforms if it says so, tests ran and none found an error."""
+    keys = [c for c in reports.columns if c != body]
+    ran = conform_tests(reports, body).groupBy(*keys).agg(F.count(F.lit(1)).alias("tests_run"))
+    found = conform_findings(reports, body).groupBy(*keys).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    rows = reports.select(*keys, F.coalesce(F.get_json_object(body, "$.verdict") == "PASS", F.lit(False)).alias("passed")).join(ran, keys, "left").join(found, keys, "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("tests_run", "errors", "warnings")}
+    rows = rows.withColumns(counts)
+    return rows.withColumn("conformant", F.col("passed") & (F.col("tests_run") > 0) & (F.col("errors") == 0))
+
+
 def _test_entries(node) -> Iterator[dict]:
     """Entries of the ``test`` arrays below a JSON value; nothing inside such an array is looked at again."""
     if isinstance(node, dict):

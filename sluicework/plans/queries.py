@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sluicework import model
 from sluicework.functions import media
 from sluicework.functions.tables import LADDER, METRICS, TOLERANCE
-from sluicework.operators import events, fanout, queue, reports
+from sluicework.operators import commands, events, fanout, queue, reports
 from sluicework.operators import media as plan
 from sluicework.plans import tick
 from sluicework.sources import projections as p
@@ -362,12 +362,12 @@ def report_missing_added(spark, d):
     return reports.missing_and_added(before.where("file <> 'Brand#5'"), after.where("file <> 'Brand#4'"))
 
 
-@query(f"""WITH {SCORES} SELECT count(*) FILTER (WHERE worse > tolerance) AS regressions, 0 AS missing, 0 AS added, count(*) FILTER (WHERE worse > tolerance) = 0 AS clean FROM diff""")
+@query(f"""WITH {SCORES}, a AS (SELECT DISTINCT file, rung FROM bef), b AS (SELECT DISTINCT file, rung FROM aft),
+  n AS (SELECT (SELECT count(*) FROM diff WHERE worse > tolerance) AS regressions, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS added)
+  SELECT regressions, missing, added, regressions = 0 AND missing = 0 AS clean FROM n""")
 def report_verdict(spark, d):
     before, after = _before_after(spark, d)
-    common = after.select("file", "rung").distinct()
-    shared = before.join(common, ["file", "rung"], "left_semi")
-    return reports.diff_verdict(reports.compare(before, after), reports.missing_and_added(shared, after.join(before.select("file", "rung").distinct(), ["file", "rung"], "left_semi")))
+    return reports.diff_verdict(reports.compare(before, after), reports.missing_and_added(before, after))
 
 
 @query(f"WITH {SCORES} SELECT run, file, rung, round(mean, 4) AS mean, mean >= 50000 AS passed FROM po WHERE metric = 'vmaf'")
@@ -421,9 +421,9 @@ def chunk_totals(spark, d):
     return fanout.totals(rows)
 
 
-@query("""SELECT p_partkey AS source, CASE WHEN w = 0 OR h = 0 THEN 'zero-sized output ' || w || 'x' || h WHEN w % 2 <> 0 OR h % 2 <> 0 THEN w || 'x' || h || ' has an odd dimension' WHEN p_partkey % 11 = 0 THEN 'frame rate is not positive'
-  WHEN p_partkey % 13 = 0 THEN 'gop_frames must be at least 1' WHEN p_partkey % 17 = 0 THEN 'open GOP' WHEN p_partkey % 20 = 0 THEN 'threads must be at least 1' WHEN p_partkey % 20 > 16 THEN 'too many threads' WHEN p_partkey % 60 > 51 THEN 'crf is outside 0..=51'
-  WHEN p_partkey % 3 = 0 AND p_size < 10 THEN '10-bit H.264' END AS problem FROM (SELECT *, p_size * 7 AS w, p_size * 48 AS h FROM part)""")
+@query("""SELECT p_partkey AS source, CASE WHEN w = 0 OR h = 0 THEN 'size.none' WHEN w % 2 <> 0 OR h % 2 <> 0 THEN 'size.uneven' WHEN p_partkey % 11 = 0 THEN 'rate.none'
+  WHEN p_partkey % 13 = 0 THEN 'gop.none' WHEN p_partkey % 17 = 0 THEN 'gop.not_closed' WHEN p_partkey % 20 = 0 THEN 'threads.none' WHEN p_partkey % 20 > 16 THEN 'threads.over_limit' WHEN p_partkey % 60 > 51 THEN 'quality.over_scale'
+  WHEN p_partkey % 3 = 0 AND p_size < 10 THEN 'depth.not_in_codec' END AS problem FROM (SELECT *, p_size * 7 AS w, p_size * 48 AS h FROM part)""")
 def spec_validate(spark, d):
     k = F.col("p_partkey")
     spec = F.struct(
@@ -455,12 +455,103 @@ def encode_settings(spark, d):
   SELECT user_id, CASE WHEN substr(m, 1, 1) = '✗' THEN 'error' WHEN substr(m, 1, 1) = '!' THEN 'warning' ELSE 'error' END AS severity, 'S / ' || event_type AS section, trim(CASE WHEN substr(m, 1, 1) IN ('✗', '!') THEN substr(m, 2) ELSE m END) AS message
   FROM o WHERE substr(m, 1, 1) <> '✓' AND event_id % 2 = 0""")
 def conform_findings(spark, d):
+    return reports.conform_findings(_reports(spark, d)).drop("part")
+
+
+def _reports(spark, d):
+    """(user_id, part, report): reports of ten thousand events at most, so that no user makes one of any size."""
     text = F.col("event_id").cast("string")
     m = F.when(F.col("event_type") == "error", F.concat(F.lit("✗ broken "), text)).when(F.col("event_type") == "click", F.concat(F.lit("! odd "), text)).when(F.col("event_type") == "view", "✓ fine").otherwise(F.concat(F.lit(" plain "), text, F.lit(" ")))
     test = F.struct(F.lit("S").alias("spec"), F.lit("").alias("section"), F.col("event_type").alias("test"), F.when(F.col("event_id") % 2 == 0, "FAIL").otherwise("PASS").alias("state"), F.array(m).alias("messages"))
-    rows = p.table(spark, d, "events").groupBy("user_id").agg(F.collect_list(test).alias("test"))
-    built = F.to_json(F.struct(F.lit("PASS").alias("verdict"), F.struct(F.array(F.struct("test")).alias("MPD")).alias("entries")))
-    return reports.conform_findings(rows.select("user_id", built.alias("report")))
+    rows = p.table(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 10_000).alias("part")).agg(F.collect_list(test).alias("test"))
+    verdict = F.when(F.col("user_id") % 3 == 0, "FAIL").otherwise("PASS")
+    built = F.to_json(F.struct(verdict.alias("verdict"), F.struct(F.array(F.struct("test")).alias("MPD")).alias("entries")))
+    return rows.select("user_id", "part", built.alias("report"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id // 10000 AS part, count(*) AS tests_run, count(*) FILTER (WHERE event_id % 2 = 0 AND event_type NOT IN ('click', 'view')) AS errors,
+    count(*) FILTER (WHERE event_id % 2 = 0 AND event_type = 'click') AS warnings, user_id % 3 <> 0 AS passed FROM events GROUP BY ALL)
+  SELECT *, passed AND errors = 0 AS conformant FROM o""")
+def conform_verdicts(spark, d):
+    return reports.conform_verdict(_reports(spark, d)).select("user_id", "part", "tests_run", "errors", "warnings", "passed", "conformant")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'error' THEN '✗ broken ' || event_id WHEN 'click' THEN '! odd ' || event_id WHEN 'view' THEN '✓ fine' ELSE ' plain ' || event_id || ' ' END AS m FROM events)
+  SELECT user_id, 'S / ' || event_type AS section, trim(CASE WHEN substr(m, 1, 1) = '✗' THEN substr(m, 2) ELSE m END) AS message FROM o WHERE event_type NOT IN ('click', 'view') AND event_id % 2 = 0""")
+def conform_errors(spark, d):
+    return reports.worst_first(reports.at_least(conform_findings(spark, d), "error")).select("user_id", "section", "message")
+
+
+HISTORY = """hist AS (SELECT CAST(n_nationkey AS VARCHAR) AS tenant_id, 0 AS from_seq, n_nationkey % 7 = 0 AS suspended FROM nation WHERE n_nationkey % 5 <> 4
+    UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 7000, n_nationkey % 2 = 0 FROM nation),
+  spans AS (SELECT *, lead(from_seq) OVER (PARTITION BY tenant_id ORDER BY from_seq) AS until FROM hist)"""
+
+
+@query(f"""WITH {WORK}, {HISTORY}, o AS (SELECT id, seq, suspended, row_number() OVER (PARTITION BY w.tenant_id, dedupe_key, coalesce(NOT suspended, false) ORDER BY seq) AS place
+    FROM w LEFT JOIN spans b ON b.tenant_id = w.tenant_id AND seq >= from_seq AND (until IS NULL OR seq < until))
+  SELECT id, CASE WHEN suspended IS NULL THEN 'no_budget' WHEN suspended THEN 'suspended' WHEN place = 1 THEN 'created' ELSE 'existing' END AS outcome FROM o""")
+def submit_outcomes_as_of(spark, d):
+    rows = p.work(spark, d).select("id", "tenant_id", "dedupe_key", "seq")
+    now = p.budgets(spark, d).select("tenant_id", "fairness_weight", "suspended")
+    key = F.col("tenant_id").cast("int")
+    then = now.where(key % 5 != 4).withColumn("seq", F.lit(0).cast("long")).unionByName(now.withColumns({"suspended": key % 2 == 0, "seq": F.lit(7000).cast("long")}))
+    return events.admitted_submissions(rows, then).select("id", "outcome")
+
+
+@query(f"""WITH {STEPS}, a AS (SELECT source, rung AS name, CAST(row_number() OVER (PARTITION BY source ORDER BY width * height DESC, rung) - 1 AS INTEGER) AS pos FROM sized)
+  SELECT s.source, s.pos, s.rung, a.name FROM sized s JOIN a ON a.source = s.source AND a.pos = s.pos""")
+def zipped_renditions(spark, d):
+    steps = plan.ladder_plan(p.ladder_sources(spark, d))
+    placed = plan.by_area(steps.select(F.col("source").alias("asset"), F.col("rung").alias("name"), "width", "height"))
+    placed = placed.select(F.col("asset").alias("source"), (F.col("pos") - 1).alias("pos"), "name")
+    return fanout.zip_positions([steps.select("source", "pos", "rung"), placed], ["source"])
+
+
+@query(f"WITH {WORK} SELECT id, tenant_id, lane, state FROM w WHERE id = '1'")
+def work_by_id(spark, d):
+    return queue.decoded(queue.work_by_id(p.work(spark, d), "1")).select("id", "tenant_id", "lane", "state")
+
+
+@query(f"WITH {WORK} SELECT tenant_id, max_concurrent_tasks, suspended FROM budgets WHERE tenant_id = '7'")
+def budget_of(spark, d):
+    return queue.budget(p.budgets(spark, d), "7").select("tenant_id", "max_concurrent_tasks", "suspended")
+
+
+@query(f"WITH {WORK} SELECT id AS work_id, tenant_id, 'requeue' AS event FROM w WHERE state = 'admitted' AND workflow_id IS NULL AND admitted_at < {AS_OF} - INTERVAL {STALL_DAYS} DAY")
+def requeue_events(spark, d):
+    rows = queue.stalled(p.work(spark, d), p.as_of(), STALL_DAYS * 86_400)
+    return commands.requeue(rows, 10**9, p.as_of()).select("work_id", "tenant_id", "event")
+
+
+@query(f"""WITH {WORK}, a AS (SELECT CAST(seq + 1 AS VARCHAR) AS work_id FROM w WHERE seq % 3 = 0)
+  SELECT work_id, CASE WHEN state IS NULL THEN 'not_found' WHEN state IN ('done', 'failed', 'canceled') THEN state ELSE 'canceled' END AS outcome FROM a LEFT JOIN w ON w.id = work_id""")
+def cancel_answers(spark, d):
+    work = p.work(spark, d)
+    asked = work.where("seq % 3 = 0").select((F.col("seq") + 1).cast("string").alias("work_id"), (F.col("seq") * 10 + 9).alias("seq"))
+    return commands.cancel(work.withColumnRenamed("id", "work_id"), asked, p.as_of())[1]
+
+
+@query(f"""WITH {WORK}, a AS (SELECT CAST(seq + 1 AS VARCHAR) AS work_id, seq * 10 + 9 AS seq, CASE WHEN seq % 4 = 0 THEN 'done' WHEN seq % 4 = 1 THEN 'failed' ELSE 'lost' END AS ended FROM w WHERE seq % 3 = 0)
+  SELECT work_id, a.seq, CASE WHEN state IS NULL THEN 'not_found' WHEN ended = 'lost' THEN 'bad_request' WHEN state IN ('done', 'failed', 'canceled') THEN state ELSE ended END AS outcome FROM a LEFT JOIN w ON w.id = work_id""")
+def finish_answers(spark, d):
+    work = p.work(spark, d)
+    ended = F.when(F.col("seq") % 4 == 0, "done").when(F.col("seq") % 4 == 1, "failed").otherwise("lost")
+    asked = work.where("seq % 3 = 0").select((F.col("seq") + 1).cast("string").alias("work_id"), (F.col("seq") * 10 + 9).alias("seq"), ended.alias("state"), F.lit(1.0).alias("cpu_seconds"), F.lit(10).alias("bytes_written"), F.lit("m").alias("machine"))
+    return commands.finish(work.withColumnRenamed("id", "work_id"), asked, p.as_of())[2]
+
+
+@query("""SELECT event_id, CAST(round(greatest(event_id % 700 - 5, 0) * CAST(0.001 AS DOUBLE) * 1000) AS BIGINT) AS key_ms, CASE WHEN event_id % 700 < 100 THEN 'before' WHEN event_id % 700 >= 300 THEN 'after' ELSE 'inside' END AS place,
+  CAST(-(event_id % 5 - 2) * 90 AS INTEGER) % 360 AS rotation, CASE WHEN event_id % 3 <> 0 THEN 'lang' || event_id % 3 END AS language, (event_id % 7) || '/' || (event_id % 4) AS rate, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE (event_id % 7) / CAST(event_id % 4 AS DOUBLE) END AS fps,
+  ['h264', 'h265', 'av1'][event_id % 3 + 1] AS codec, event_id % 2 = 1 OR event_id % 5 = 0 AS mezzanine, 't/sources/' || user_id AS source_key FROM events""")
+def media_scalars(spark, d):
+    e = F.col("event_id")
+    name = F.element_at(F.array(F.lit("AVC"), F.lit("Libx265"), F.lit("av1")), (e % 3 + 1).cast("int"))
+    warned = F.when(e % 5 == 0, F.array(F.lit("interlaced"))).otherwise(F.array(F.lit("no_audio")))
+    return p.table(spark, d, "events").select(
+        "event_id", media.keyframe_ms(e % 700 - 5, F.lit(0.001)).alias("key_ms"), media.place_in_range(e % 700, F.lit(100), F.lit(300)).alias("place"), media.rotation_of((e % 5 - 2) * 90).alias("rotation"),
+        media.published_language(F.when(e % 3 == 0, "und").otherwise(F.concat(F.lit("lang"), (e % 3).cast("string")))).alias("language"), media.rate_text(e % 7, e % 4).alias("rate"), media.rate(e % 7, e % 4).alias("fps"),
+        media.codec_of(name).alias("codec"), media.needs_mezzanine(e % 2 + 1, warned).alias("mezzanine"), media.source_key(F.lit("t"), F.col("user_id").cast("string")).alias("source_key"),
+    )
 
 
 @query()

@@ -19,6 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
@@ -40,12 +42,20 @@ def landed(listed: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rung, metric, value) of a report file; a rung without scores has one row with nulls."""
+    """(file, rung, metric, value, pos) of a report file; a rung without scores has nulls; ``pos`` is the rung's place in the file."""
     report = spark.read.schema(REPORT).option("multiLine", True).json(path)
-    rungs = report.select(F.explode("entries").alias("e")).select("e.file", F.explode_outer("e.rungs").alias("r"))
+    rungs = report.select(F.posexplode("entries").alias("i", "e")).select("i", "e.file", F.posexplode_outer("e.rungs").alias("j", "r"))
     metrics = F.map_entries(F.create_map(*[x for m in ("vmaf", "vmaf_min", "psnr_y", "ssim", "ms_ssim", "ciede2000", "cambi") for x in (F.lit(m), F.col(f"r.scores.{m}"))]))
-    rows = rungs.where(F.col("r").isNotNull()).select("file", F.col("r.name").alias("rung"), F.explode(metrics).alias("m"))
-    return rows.select("file", "rung", F.col("m.key").alias("metric"), F.col("m.value").alias("value"))
+    place = F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")
+    rows = rungs.where(F.col("r").isNotNull()).select("file", F.col("r.name").alias("rung"), place.alias("pos"), F.explode(metrics).alias("m"))
+    return rows.select("file", "rung", F.col("m.key").alias("metric"), F.col("m.value").alias("value"), "pos")
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, finding) of all entries of a report file, each finding with its file before it."""
+    report = spark.read.schema(REPORT).option("multiLine", True).json(path)
+    rows = report.select(F.explode("entries").alias("e")).select("e.file", F.explode("e.findings").alias("finding"))
+    return rows.select("file", F.concat_ws(": ", "file", "finding").alias("finding"))
 
 
 def write_report(df: DataFrame, path: str) -> None:

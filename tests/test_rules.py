@@ -248,3 +248,31 @@ def test_ranges_and_names(spark):
     assert scalar(spark, media.rotation_of(lit(-90.2))) == 90 and scalar(spark, media.rotation_of(lit(450.0))) == -90
     assert scalar(spark, media.published_language(lit("und"))) is None and scalar(spark, media.published_language(lit("de"))) == "de"
     assert scalar(spark, media.start_name(lit("fake"), lit("7"))) == "wf-fake-7"
+
+
+def test_first_place_of_a_rung_counts(spark, tmp_path):
+    rung = lambda v: {"name": "720p", "scores": {"vmaf": v, "psnr_y": 40.0}}
+    body = {"created_unix": 1, "entries": [{"file": "f", "rungs": [rung(95.0), rung(10.0)], "findings": ["odd size", "no audio"]}, {"file": "g", "rungs": [], "findings": ["odd size"]}]}
+    (tmp_path / "r.json").write_text(json.dumps(body))
+    rows = storage.read_reports(spark, str(tmp_path / "r.json"))
+    both = reports.compare(rows, rows).where("metric = 'vmaf'").collect()
+    assert [(r.before, r.after) for r in both] == [(95.0, 95.0)]
+    assert sorted(r.finding for r in storage.read_findings(spark, str(tmp_path / "r.json")).collect()) == ["f: no audio", "f: odd size", "g: odd size"]
+
+
+def test_near_hashes_are_all_found(spark):
+    rng = random.Random(5)
+    known = [rng.getrandbits(56) for _ in range(40)]
+    near = [(i, known[i % 40] ^ sum(1 << b for b in rng.sample(range(56), i % 14))) for i in range(400)]
+    got = plan.blocklist_match(spark.createDataFrame(near, "sample_id long, phash long"), spark.createDataFrame(list(enumerate(known)), "pos long, known long")).collect()
+    want = {i: min(((h ^ k).bit_count(), p) for p, k in enumerate(known)) for i, h in near}
+    assert {r.sample_id: (r.distance, known.index(r.known)) for r in got} == {i: w for i, w in want.items() if w[0] <= 10}
+
+
+def test_positions_and_codecs(spark):
+    table = lambda rows, c: spark.createDataFrame(rows, f"asset int, pos int, {c} string")
+    rows = fanout.zip_positions([table([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "x"), table([(1, 0, "p"), (1, 1, "q")], "y"), table([(1, 1, "v"), (1, 0, "u")], "z")], ["asset"])
+    assert sorted((r.pos, r.x, r.y, r.z) for r in rows.collect()) == [(0, "a", "p", "u"), (1, "b", "q", "v")]
+    assert scalar(spark, media.codec_of(F.lit("HEVC"))) == "h265" and scalar(spark, media.rate_text(F.lit(30), F.lit(1))) == "30/1"
+    with pytest.raises(Exception, match="unknown codec"):
+        scalar(spark, media.codec_of(F.lit("theora")))
