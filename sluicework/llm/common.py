@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -21,13 +22,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the session's checkpoint folder, which driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; a session without one is an error, since a folder of the driver's own
-    machine would not reach the executors.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder; on a cluster that
+    is an error, since a folder of the driver's own machine would not reach the executors.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(base)
     # With its scheme, so that every reader takes it to be in the same store as Spark does.
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
