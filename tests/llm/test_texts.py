@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluicework.llm import context_tree, language_id, mixing, packing, repeats, token_files
-from sluicework.llm.common import crc_mod, scratch_dir
+from sluicework.llm.common import crc_mod, in_chunks, scratch_dir
 from sluicework.llm.tokens import default_tokenizer
 
 LAST = 1 << 63
@@ -301,3 +301,18 @@ def test_bayes_by_hand(spark):
 
     pred, score = language_id.score_batch(pa.array(["ab bb"]), model)
     assert pred == ["xy"[int(np.argmax(want))]] and abs(score[0] - 1 / (1 + math.exp(min(want) - max(want)))) < 1e-4
+
+
+def test_repeated_rows_are_spread(spark):
+    row = spark.range(100_000, numPartitions=4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words " * 20).alias("text"), F.lit("s").alias("source"))
+    chunks, n, _ = in_chunks(row, 1 << 20)
+    sizes = [r[0] for r in chunks.groupBy("chunk").count().select("count").collect()]
+    assert len(sizes) == n > 20 and max(sizes) < 2 * 100_000 / n
+    out = mixing.mix(row.limit(5_000)).groupBy("copies").count().collect()
+    assert {r.copies for r in out} == {1, 2} and sum(r["count"] for r in out) == 5_000
+
+
+def test_new_columns_replace_old_ones(spark, docs):
+    model = language_id.train(docs)
+    twice = language_id.identify(language_id.identify(docs, model), model)
+    assert twice.columns == [*docs.columns, "lang_pred", "lang_score"] and twice.count() == docs.count()
