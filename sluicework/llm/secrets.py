@@ -60,13 +60,30 @@ def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
 
+def findings(values: Column, text: Column, words: list[str]) -> Column:
+    """array<struct<value, start, label, features...>> of an array of candidates.
+
+    Each step is bound before the next one uses it: a text is searched once for each of its candidates."""
+    alone = lambda v: F.concat(F.lit(r"(?<![\p{L}0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}0-9])"))
+    hits = F.transform(values, lambda v: F.struct(v.alias("value"), F.regexp_instr(text, alone(v)).alias("hit")))
+    placed = F.transform(hits, lambda x: F.struct(x["value"].alias("value"), F.when(x["hit"] > 0, x["hit"]).otherwise(F.position(x["value"], text)).alias("start")))
+    spans = F.transform(placed, lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), F.greatest(x["start"] - SPAN, F.lit(1)).alias("first")))
+    around = F.transform(
+        spans,
+        lambda x: F.struct(
+            x["value"].alias("value"), x["start"].alias("start"), F.substring(text, x["first"], x["start"] - x["first"]).alias("before"),
+            F.substring(text, x["start"] + F.length(x["value"]), F.lit(16)).alias("after"),
+        ),
+    )
+    return F.transform(around, lambda x: _features(x["value"], x["start"], x["before"], x["after"], words))
+
+
 def finding(value: Column, text: Column, words: list[str]) -> Column:
     """struct<value, start, label, features...> of one candidate."""
-    alone = F.concat(F.lit(r"(?<![\p{L}0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}0-9])"))
-    start = F.coalesce(F.nullif(F.regexp_instr(text, alone), F.lit(0)), F.position(value, text))
-    first = F.greatest(start - SPAN, F.lit(1))
-    before = F.substring(text, first, start - first)
-    after = F.substring(text, start + F.length(value), F.lit(16))
+    return findings(F.array(value), text, words)[0]
+
+
+def _features(value: Column, start: Column, before: Column, after: Column, words: list[str]) -> Column:
     runs = F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}{3,}"), F.lit(0))
     known = F.filter(runs, lambda w: F.array_contains(F.array(*map(F.lit, words)).cast("array<string>"), w))
     covered = F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / F.length(value)
@@ -136,7 +153,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "findings", labelled: D
     ``labelled``: (value, text, label) of findings that someone has judged, label 1 for a secret and 0 for none."""
     words = dictionary(docs, text)
     body = F.col(f"`{text}`")
-    found = F.transform(candidates(body), lambda v: finding(v, body, words))
+    found = findings(candidates(body), body, words)
     if labelled is None:
         examples = docs.select(F.explode(found).alias("x")).select("x.*")
     else:
