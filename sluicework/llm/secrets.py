@@ -18,6 +18,8 @@ but for one of the name ``out``, which is replaced.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -44,11 +46,18 @@ FEATURES = [
 
 def candidates(text: Column) -> Column:
     """array<string> of the distinct candidates of a text."""
-    found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    none, lower = F.array().cast("array<string>"), F.lower(text)
+    has = lambda where, *parts: functools.reduce(operator.or_, (F.contains(where, F.lit(p)) for p in parts))
+    # What a text must hold for a pattern to match at all, which is quicker to look for than the pattern.
+    found = lambda needs, pattern, group: F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
     # Only strings that a digit alone makes candidates have to be longer; the other patterns state their least length.
-    all_found = F.filter(found(_WITH_DIGIT, 0), lambda x: F.length(x) >= LEAST)
-    for pattern, group in ((_ASSIGNED, 1), (_BEARER, 1), (_URL_USER, 1), (_PEM, 0)):
-        all_found = F.array_union(all_found, found(pattern, group))
+    all_found = F.filter(found(F.regexp_like(text, F.lit("[0-9]")) | has(text, "AKIA", "ASIA"), _WITH_DIGIT, 0), lambda x: F.length(x) >= LEAST)
+    others = [
+        (has(text, "=", ":") & has(lower, "passw", "passphrase", "pwd", "secret", "token", "key"), _ASSIGNED, 1),
+        (has(lower, "bearer"), _BEARER, 1), (has(text, "@") & has(text, ":"), _URL_USER, 1), (has(text, "-----BEGIN "), _PEM, 0),
+    ]
+    for needs, pattern, group in others:
+        all_found = F.array_union(all_found, found(needs, pattern, group))
     return F.coalesce(all_found, F.array().cast("array<string>"))
 
 
