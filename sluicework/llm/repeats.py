@@ -10,8 +10,9 @@ per distinct fingerprint, the one of its smallest document, so a passage that a
 leaf a chunk. Within a group, fingerprints of different windows meet with probability below 1e-6.
 
 Cases: null or empty text, or fewer words than ``width`` -> nothing removed; windows that only repeat inside one document
-stay; rows with one id never remove each other's words; a null id counts as larger than any id; an empty table gives
-no row; extra columns are ignored.
+stay; a very long text is read whole, as one row of its chunk; rows with one id, repeated rows among them, never remove
+each other's words; a null id counts as the largest id there is (2^63 - 1); an empty table gives no row; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -159,4 +160,5 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = True) ->
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words that repeats remove from every document of ``documents``, and the hash of what is kept."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
