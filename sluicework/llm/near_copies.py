@@ -324,3 +324,26 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Class, links and copies of every document of ``documents``."""
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: All pairs of sets that share a shingle: exact, so the join is compared with it on a small table only.
+ORACLE_SQL = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+starts AS (
+  SELECT r, i, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM words),
+sets AS (SELECT DISTINCT r, s FROM starts WHERE i = 1 OR i + 4 <= n),
+keyed AS MATERIALIZED (SELECT r, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM sets GROUP BY r),
+nodes AS MATERIALIZED (SELECT k, min(r) AS r, count(*) AS n, min(doc_id) AS first FROM keyed JOIN d USING (r) GROUP BY k),
+shingles AS MATERIALIZED (SELECT k, s, count(*) OVER (PARTITION BY k) AS size FROM nodes JOIN sets USING (r)),
+links AS MATERIALIZED (
+  SELECT a.k AS a, b.k AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.k <> b.k
+  GROUP BY a.k, b.k, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-6),
+reach(k, root) AS (SELECT k, k FROM nodes UNION SELECT b, root FROM reach JOIN links ON a = reach.k),
+classes AS (SELECT reach.k, min(first) AS class_id FROM reach JOIN nodes ON nodes.k = root GROUP BY reach.k),
+degree AS (SELECT a AS k, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, CASE WHEN k IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n - 1, 0) AS n_copies
+FROM d LEFT JOIN keyed USING (r) LEFT JOIN (SELECT k, n FROM nodes) USING (k) LEFT JOIN classes USING (k) LEFT JOIN degree USING (k)"""
+}

@@ -162,3 +162,20 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = True) ->
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words that repeats remove from every document of ``documents``, and the hash of what is kept."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+ORACLE_SQL = {
+    "op4_substring_dedup": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+windows AS (
+  SELECT *, count(*) OVER next AS n, string_agg(word, ' ') OVER next AS seq FROM words
+  WINDOW next AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+hits AS (SELECT r, i, word, n = 13 AND min(id) OVER (PARTITION BY n, seq) < id AS hit FROM windows),
+judged AS (SELECT *, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS removed FROM hits),
+kept AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS t
+  FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+}

@@ -8,6 +8,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 from sluicework.llm import context_tree, language_id, mixing, packing, repeats, secrets, token_files
 from sluicework.llm.common import crc_mod, in_chunks, scratch_dir
 from sluicework.llm.tokens import default_tokenizer
+from tests.compare import duck, normal
 
 LAST = 1 << 63
 
@@ -134,6 +136,20 @@ def test_repeats(docs, rows, width):
     assert mine == want and sum(r[2] for r in mine) > 0 and order
 
 
+def test_repeats_query_same_as_sql(spark):
+    d = "/root/testdata/sf0.01"
+    ours, theirs = repeats.op4_substring_dedup(spark, d).toPandas(), duck(d).sql(repeats.ORACLE_SQL["op4_substring_dedup"]).df()
+    assert ours.n_removed.sum() > 0 and normal(ours) == normal(theirs)
+
+
+def test_repeats_sql_in_all_cases(docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ours = repeats.remove_repeats(docs, with_text=False).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert normal(ours) == normal(c.sql(repeats.ORACLE_SQL["op4_substring_dedup"]).df())
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
