@@ -67,13 +67,20 @@ def _next(acc: Column, e: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(work_id, tenant_id, state, attempts, admitted_at, finished_at, ignored) from (seq, work_id, tenant_id, event, ts)."""
+    """(work_id, tenant_id, state, attempts, admitted_at, finished_at, ignored) from (seq, work_id, tenant_id, event, ts).
+
+    Endless repeats of an event cost a count, not memory."""
     ts = events.schema["ts"].dataType.simpleString()
     start = F.struct(
         F.lit(None).cast("string").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast(ts).alias("admitted_at"), F.lit(None).cast(ts).alias("finished_at"), F.lit(0).alias("ignored")
     )
-    history = events.groupBy("work_id", "tenant_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event", "ts"))).alias("h"))
-    return history.select("work_id", "tenant_id", F.aggregate("h", start, _next).alias("s")).select("work_id", "tenant_id", "s.*")
+    # An event that repeats the one before it never fits, so such runs are counted and only their first row is gathered.
+    order = Window.partitionBy("work_id", "tenant_id").orderBy("seq", "event", "ts")
+    marked = events.select("work_id", "tenant_id", "seq", "event", "ts", F.col("event").eqNullSafe(F.lag("event").over(order)).alias("again"))
+    gathered = F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("seq", "event", "ts"))))
+    history = marked.groupBy("work_id", "tenant_id").agg(gathered.alias("h"), F.count_if("again").cast("int").alias("repeats"))
+    folded = history.select("work_id", "tenant_id", "repeats", F.aggregate("h", start, _next).alias("s")).select("work_id", "tenant_id", "repeats", "s.*")
+    return folded.withColumn("ignored", F.col("ignored") + F.col("repeats")).drop("repeats")
 
 
 def billed(costs: DataFrame, events: DataFrame) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,27 +59,69 @@ def keyframe_index(keyframes: DataFrame) -> DataFrame:
 
 
 def split_plan(index: DataFrame, target_ms: int = model.SPLIT_TARGET_MS) -> DataFrame:
-    """(source, whole, chunk_index, start_ms, end_ms) from (source, keyframes, duration_ms).
+    """(source, whole, chunk_index, start_ms, end_ms) from (source, keyframes, duration_ms); see ``split_keyframes``."""
+    return split_keyframes(index.select("source", "duration_ms", F.explode_outer("keyframes").alias("ms")), target_ms)
+
+
+def split_keyframes(keyframes: DataFrame, target_ms: int = model.SPLIT_TARGET_MS) -> DataFrame:
+    """(source, whole, chunk_index, start_ms, end_ms) from a row (source, duration_ms, ms) a keyframe; a source without any
+    has one row with ms null.
 
     Cuts are a fold: the first keyframe at or past the target after the last cut. A chunk's number is given before empty
-    chunks are left out.
+    chunks are left out. Tasks read their sources in order and hold the last cut only, so a source may be of any length.
+    Order and repeats of the keyframes do not matter; a duration that is null ends no chunk, so the last one is left out.
     """
     target = max(target_ms, 1)
-
-    def cut(acc: Column, k: Column) -> Column:
-        far = (k > acc["last"]) & (k - acc["last"] >= target)
-        return F.struct(F.when(far, F.array_append(acc["cuts"], k)).otherwise(acc["cuts"]).alias("cuts"), F.when(far, k).otherwise(acc["last"]).alias("last"))
-
-    start = F.struct(F.array(F.lit(0).cast("long")).alias("cuts"), F.lit(0).cast("long").alias("last"))
-    cuts = F.aggregate("keyframes", start, cut)["cuts"]
-    rows = index.withColumn("cuts", cuts)
-    whole = F.when(F.col("duration_ms") < model.MIN_SPLITTABLE_MS, "too_short").when(F.size("keyframes") == 0, "no_keyframes").when(F.size("cuts") < 2, "keyframes_too_sparse")
-    one = F.array(F.struct(F.lit(0).alias("chunk_index"), F.lit(0).cast("long").alias("start_ms"), F.col("duration_ms").cast("long").alias("end_ms")))
-    many = F.transform(
-        "cuts", lambda b, i: F.struct(i.alias("chunk_index"), b.alias("start_ms"), F.coalesce(F.try_element_at("cuts", i + 2), F.col("duration_ms")).cast("long").alias("end_ms"))
-    )
-    chunks = F.when(whole.isNotNull(), one).otherwise(F.filter(many, lambda c: c["end_ms"] > c["start_ms"]))
-    return rows.select("source", whole.alias("whole"), F.explode(chunks).alias("c")).select("source", "whole", "c.*")
+    fields = {f.name: f.dataType.simpleString() for f in keyframes.schema.fields}
+    rows = keyframes.select("source", F.col("duration_ms").cast("long"), F.col("ms").cast("long")).repartition("source").sortWithinPartitions("source", "ms")
+    return rows.mapInArrow(lambda batches: _cut(batches, target), f"source {fields['source']}, whole string, chunk_index int, start_ms long, end_ms long")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
+    names = ["source", "whole", "chunk_index", "start_ms", "end_ms"]
+    types = None
+    out: list[tuple] = []
+    now = None  # (source, duration, whole or None if it is cut, number and start of the open chunk)
+
+    def close() -> None:
+        if now is None:
+            return
+        source, duration, whole, number, start = now
+        whole = whole or ("keyframes_too_sparse" if number == 0 else None)
+        if whole:
+            out.append((source, whole, 0, 0, duration))
+        elif duration is not None and duration > start:
+            out.append((source, None, number, start, duration))
+
+    def flushed() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * len(names)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    for batch in batches:
+        types = types or [batch.schema.field("source").type, pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        runs, at = pc.run_end_encode(batch.column("source")), 0
+        for source, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            ms = batch.column("ms").slice(at, end - at).drop_null().to_numpy()
+            if now is None or now[0] != source:
+                close()
+                duration = batch.column("duration_ms")[at].as_py()
+                short = duration is not None and duration < model.MIN_SPLITTABLE_MS
+                now = (source, duration, "too_short" if short else None if len(ms) else "no_keyframes", 0, 0)
+            elif now[2] == "no_keyframes" and len(ms):  # keyframes without a time filled the batch before
+                now = (*now[:2], None, 0, 0)
+            _, duration, whole, number, start = now
+            place = 0 if whole else int(np.searchsorted(ms, start + target))
+            while not whole and place < len(ms):
+                out.append((source, None, number, start, int(ms[place])))
+                number, start = number + 1, int(ms[place])
+                place = int(np.searchsorted(ms, start + target))
+            now, at = (source, duration, whole, number, start), end
+        if out:
+            yield flushed()
+    close()
+    if out:
+        yield flushed()
 
 
 def sparse_gaps(keyframes: DataFrame, gap_ms: int = model.SPARSE_GAP_MS) -> DataFrame:
@@ -162,9 +208,9 @@ def by_area(renditions: DataFrame) -> DataFrame:
     return renditions.withColumn("pos", F.row_number().over(order))
 
 
-def asset_plan(sources: DataFrame, index: DataFrame, target_ms: int = model.SPLIT_TARGET_MS) -> DataFrame:
-    """(source, whole, chunks, rungs, fast_rung, jobs, dedupe_key): what is submitted for each probed source."""
-    chunks = split_plan(index, target_ms).groupBy("source").agg(F.first("whole").alias("whole"), F.count(F.lit(1)).alias("chunks"))
+def asset_plan(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source, whole, chunks, rungs, fast_rung, jobs, dedupe_key): what is submitted for each probed source that has been split."""
+    chunks = chunks.groupBy("source").agg(F.first("whole").alias("whole"), F.count(F.lit(1)).alias("chunks"))
     steps = ladder_plan(sources)
     rungs = steps.groupBy("source").agg(F.count(F.lit(1)).alias("rungs"))
     fast = fast_path(steps, ["source"]).select("source", F.col("rung").alias("fast_rung"))

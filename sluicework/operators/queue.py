@@ -161,11 +161,13 @@ def no_credits(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "lane string, tenant_id string, credit double")
 
 
-def claim(work: DataFrame, takes: DataFrame, parts: int = 32) -> DataFrame:
+def claim(work: DataFrame, takes: DataFrame, parts: int | None = None) -> DataFrame:
     """The pending rows that (lane, tenant_id, take) gives a slot to, most urgent and then oldest first.
 
-    A tenant's rows are first ranked in parts, so a tenant with a third of all rows still leaves a task ``take`` rows a part at most.
+    A tenant's rows are first ranked in parts, as many as a shuffle has partitions unless given, so a tenant with a third of
+    all rows is spread like any other table and leaves ``take`` rows a part at most.
     """
+    parts = parts or int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("priority_key", "created_at", "id")
     rows = work.where(F.col("state") == "pending").join(takes.where(F.col("take") > 0).select("lane", "tenant_id", "take"), ["lane", "tenant_id"])
     rows = rows.withColumn("_sw_part", F.pmod(F.xxhash64("id"), F.lit(parts)))

@@ -247,8 +247,7 @@ CHUNKS = f"""{KEYS}, cuts AS (SELECT source, list_reduce(k, lambda a, x: CASE WH
 
 
 def _chunks(spark, d):
-    index = plan.keyframe_index(p.keyframes(spark, d)).withColumn("duration_ms", F.lit(DURATION).cast("long"))
-    return plan.split_plan(index, TARGET)
+    return plan.split_keyframes(p.keyframes(spark, d).withColumn("duration_ms", F.lit(DURATION).cast("long")), TARGET)
 
 
 @query(f"WITH {CHUNKS} SELECT * FROM chunks")
@@ -610,8 +609,7 @@ def report_build(spark, d):
     FROM (SELECT *, count(*) OVER (PARTITION BY source) // 2 AS mid FROM sized) GROUP BY source)
   SELECT c.source, chunks, rungs, fast_rung, chunks * rungs AS jobs, 'asset:' || c.source AS dedupe_key FROM c JOIN r ON r.source = c.source""")
 def asset_plan(spark, d):
-    index = plan.keyframe_index(p.keyframes(spark, d)).withColumn("duration_ms", F.lit(DURATION).cast("long"))
-    return plan.asset_plan(p.ladder_sources(spark, d), index, TARGET).drop("whole")
+    return plan.asset_plan(p.ladder_sources(spark, d), _chunks(spark, d)).drop("whole")
 
 
 @query(f"""WITH {STEPS} SELECT source AS asset, rung AS name, CAST(row_number() OVER (PARTITION BY source ORDER BY width * height DESC, rung) AS INTEGER) AS place,

@@ -80,6 +80,42 @@ def split(spark, keys, duration, target=10_000):
     return plan.split_plan(df, target).orderBy("chunk_index").collect()
 
 
+def cut_one_by_one(keys, duration, target):
+    cuts = [0]
+    for k in sorted(set(keys)):
+        if k - cuts[-1] >= target:
+            cuts.append(k)
+    return [(i, a, b) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], duration], strict=True)) if b > a] if len(cuts) > 1 else [(0, 0, duration)]
+
+
+def test_split_of_streams_of_keyframes(spark):
+    rng = random.Random(5)
+    keys = {f"s{i}": [rng.randrange(0, 900_000) for _ in range(rng.choice([1, 3, 40, 400]))] for i in range(30)} | {"long": list(range(0, 40_000_000, 997)), None: [0, 130_000, 260_000]}
+    rows = [(s, 600_000 if s != "long" else 50_000_000, k) for s, ks in keys.items() for k in ks] + [("s1", 600_000, None), ("none", 600_000, None)]
+    df = spark.createDataFrame(rows, "source string, duration_ms int, ms long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = plan.split_keyframes(df, 10_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for source, ks in keys.items():
+        mine = sorted((r.chunk_index, r.start_ms, r.end_ms) for r in got if r.source == source)
+        assert mine == cut_one_by_one(ks, 50_000_000 if source == "long" else 600_000, 10_000), source
+    assert [(r.whole, r.end_ms) for r in got if r.source == "none"] == [("no_keyframes", 600_000)]
+    index = plan.keyframe_index(df.where("ms IS NOT NULL")).join(df.select("source", "duration_ms").distinct(), "source")
+    assert sorted(map(str, plan.split_plan(index, 10_000).collect())) == sorted(str(r) for r in got if r.source not in (None, "none"))
+    assert plan.split_keyframes(df.where("false")).count() == 0
+
+
+def test_fold_counts_repeats(spark):
+    names = ["run", "submit", "submit", None, None, "admit", *["admit"] * 50, "release", "admit", "run", "run", "finish", "finish", "cancel", "submit"]
+    rows = [(i, w, "t", e, i) for w in ("a", "b") for i, e in enumerate(names)] + [(0, "c", "t", None, 0)]
+    got = {r.work_id: r for r in events.fold(spark.createDataFrame(rows, "seq long, work_id string, tenant_id string, event string, ts long")).collect()}
+    for w in "ab":
+        assert (got[w].state, got[w].attempts, got[w].admitted_at, got[w].ignored) == ("done", 2, 57, len(names) - 6)
+    assert (got["c"].state, got["c"].ignored) == (None, 1)
+
+
 def test_split(spark):
     assert len(split(spark, list(range(0, 600_000, 2000)), 600_000)) == 60
     wide = split(spark, list(range(0, 600_000, 30_000)), 600_000)
