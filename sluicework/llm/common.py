@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import math
 import re
 import tempfile
@@ -129,8 +130,23 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def give_back() -> None:
-    """Return what a worker process has freed to the system: a reused worker otherwise keeps the peak of every stage before."""
+#: What worker processes remember from one task to the next.
+_REMEMBERED: list = []
+
+
+def remembered(function):
+    """``functools.cache`` for a worker process, until a task begins that has no use for it."""
+    cached = functools.cache(function)
+    _REMEMBERED.append(cached)
+    return cached
+
+
+def give_back(keep=None) -> None:
+    """Forget what earlier stages remembered, but for ``keep``, and return what is free to the system: a reused worker
+    otherwise holds the peak of every stage before, beside what its next task takes."""
+    for cached in _REMEMBERED:
+        if cached is not keep:
+            cached.cache_clear()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import crc_mod, dictionary, pieces, split_words, text_array
+from sluicework.llm.common import crc_mod, dictionary, give_back, pieces, split_words, text_array
 
 ORDERS = (1, 2, 3, 4)
 #: Buckets of a language, and the most languages of a model (128 MB of matrix).
@@ -79,6 +79,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
         return Model([], np.zeros(0), np.zeros((0, 2)), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total: dict[int, np.ndarray] = {}
         number = {name: i for i, name in enumerate(langs)}
         parts = ((batch, texts, a, b) for batch in batches for texts in [text_array(batch.column(0))] for a, b in pieces(texts, PIECE))
@@ -139,6 +140,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_col}` string, `{score_col}` double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts = text_array(batch.column(at))
             for a, b in pieces(texts, PIECE):

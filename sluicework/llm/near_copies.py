@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import dictionary, hash64, mix64, pieces, saved, split_words, text_array
+from sluicework.llm.common import dictionary, give_back, hash64, mix64, pieces, saved, split_words, text_array
 from sluicework.llm.graph import components, sorted_groups
 from sluicework.llm.repeats import prefix_hashes, window_starts
 
@@ -90,6 +90,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) ->
 
 def _sign(batches):
     names = ["doc_id", "th", "size", "node", "signature"]
+    give_back()
     for batch in batches:
         texts = text_array(batch.column(1))
         for a, b in pieces(texts, PIECE):
@@ -195,6 +196,7 @@ def candidate_links(nodes: DataFrame, threshold: float, prefix: int) -> DataFram
                 yield rows(np.frombuffer(b"".join(x[:8] for x in a), np.int64), [None] * len(a), a, [None] * len(a), [False] * len(a), b)
 
     def meet(batches):
+        give_back()
         joined = Joined()
         for group in sorted_groups(batches, 1):
             if group.num_rows < 2 and group["mark"].null_count == 0:
@@ -284,6 +286,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ).repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "node")
 
     def verify(batches):
+        give_back()
         for group in sorted_groups(batches, 2):
             # Repeated rows of the document that stands for a node come more than once.
             names = group["node"].to_pylist()

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluicework.llm.common import in_chunks, text_array
+from sluicework.llm.common import give_back, in_chunks, text_array
 from sluicework.llm.tokens import default_tokenizer, encoder, ids_crc32
 
 GROUP_BYTES = 8 << 20
@@ -96,6 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, gro
     chunks, n, _ = in_chunks(docs, group_bytes)
 
     def apply(key: tuple, table: pa.Table) -> pa.Table:
+        give_back(keep=encoder)
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids, offsets = encoder(tokenizer).encode(text_array(table["text"]), end_id)
         doc_ids, lengths = table["doc_id"].to_pylist(), np.diff(offsets)

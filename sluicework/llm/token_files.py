@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import scratch_dir, text_array
+from sluicework.llm.common import give_back, scratch_dir, text_array
 from sluicework.llm.tokens import default_tokenizer, encoder, ids_crc32
 
 MAGIC, SAMPLE = b"SLTK0001", 256
@@ -111,6 +111,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, parts, ends, last = [], [], [], 0
+        give_back(keep=encoder)
         enc = encoder(tokenizer)
         for batch in batches:
             ids, offsets = enc.encode(text_array(batch.column(1)), end_id)

@@ -12,7 +12,6 @@ that come again stay and words that come once go.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -21,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from sluicework.llm.common import dictionary, pieces, ranges, split_words
+from sluicework.llm.common import dictionary, pieces, ranges, remembered, split_words
 
 MARK = "௰"
 #: Words of a generation that a worker process remembers; bytes of text that are encoded at once.
@@ -136,7 +135,7 @@ class WordEncoder:
         return out, np.concatenate([[0], ends])
 
 
-@functools.cache
+@remembered
 def encoder(path: str) -> WordEncoder:
     """One per worker process."""
     return WordEncoder(path)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluicework.llm import context_tree, language_id, mixing, packing, repeats, secrets, token_files
-from sluicework.llm.common import crc_mod, in_chunks, scratch_dir
-from sluicework.llm.tokens import default_tokenizer
+from sluicework.llm.common import crc_mod, give_back, in_chunks, scratch_dir
+from sluicework.llm.tokens import default_tokenizer, encoder
 from tests.compare import duck, normal
 
 LAST = 1 << 63
@@ -347,3 +347,11 @@ def test_conditions_of_patterns_lose_no_candidate(spark):
     got = rows.select("text", secrets.candidates(F.col("text")).alias("got"), F.coalesce(want, F.array().cast("array<string>")).alias("want")).collect()
     assert all(r.got == r.want for r in got), [r for r in got if r.got != r.want]
     assert sum(bool(r.got) for r in got) == 12
+
+
+def test_what_other_stages_remember_is_given_back():
+    first = encoder(default_tokenizer())
+    give_back(keep=encoder)
+    assert encoder(default_tokenizer()) is first
+    give_back()
+    assert encoder.cache_info().currsize == 0
