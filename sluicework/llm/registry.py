@@ -15,6 +15,9 @@ _NAMES = {
     "op8_mixing": "mixing",
     "op9_packing": "packing",
     "op10_language_id": "language_id",
+    "op11_bpe_tree": "bpe_tree",
+    "op12_periodic_runs": "periodic",
+    "op13_ranked_search": "ranking",
 }
 
 

@@ -203,7 +203,7 @@ def test_code_length_is_that_of_the_weighted_tree(spark):
     grams, _ = context_tree.byte_grams(["aba", "bab"])
     got = model.score(grams)
     for g, s in zip(grams.tolist(), got, strict=True):
-        ctx = (g >> 8).to_bytes(context_tree.DEPTH, "big")
+        ctx = (g >> 8).to_bytes(context_tree.DEPTH, "big")[::-1]
         assert abs(s - slow_tree(symbols, ctx, g & 255)) < 1e-4
     total = sum(10 ** model.score(np.array([(grams[1] >> 8 << 8) | b for b in range(256)])))
     assert abs(total - 1) < 1e-3
