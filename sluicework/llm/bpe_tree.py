@@ -126,11 +126,10 @@ class TreeEncoder(WordEncoder):
                 out += self.pretoken_ids(p)
         return out
 
-    def _encode_words(self, words: list[str]) -> None:
-        for w in words:
-            if len(w) > self.leaf:
-                self.young[w] = np.array(self.text_ids(w), np.uint32).tobytes()
-        super()._encode_words([w for w in words if len(w) <= self.leaf])
+    def _blobs(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes; long words are not remembered."""
+        short = iter(super()._blobs([w for w in words if len(w) <= self.leaf]))
+        return [np.array(self.text_ids(w), np.uint32).tobytes() if len(w) > self.leaf else next(short) for w in words]
 
     def lists(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's."""
