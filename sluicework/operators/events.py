@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework import model
+from sluicework.operators import scan
 
 
 def first_wins(submissions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -45,8 +46,14 @@ def admitted_submissions(submissions: DataFrame, budgets: DataFrame) -> DataFram
     return rows.withColumn("outcome", outcome).drop("suspended", "created", "_sw_open")
 
 
+#: Entering states of a map of transitions, in the order of its entries; null is an item before its first event.
+ENTERING = [None, *model.STATES]
+#: Events that are folded to one map at once.
+BLOCK = 4096
+
+
 def _next(acc: Column, e: Column) -> Column:
-    """One transition; an event that does not fit the state changes nothing."""
+    """One transition; an event that does not fit the state changes nothing but the count of ignored ones."""
     state, event = acc["state"], e["event"]
     end = F.when(event == "finish", "done").when(event == "fail", "failed").when(event == "cancel", "canceled")
     to = (
@@ -57,30 +64,55 @@ def _next(acc: Column, e: Column) -> Column:
         .when(end.isNotNull() & state.isNotNull() & ~state.isin(model.TERMINAL), end)
     )
     moved = to.isNotNull()
-    keep = lambda name, new: F.when(moved, new).otherwise(acc[name]).alias(name)
+    admits, ends = moved & to.isin("admitted", "pending"), moved & to.isin(model.TERMINAL)
+    keep = lambda name, when, new: F.when(when, new).otherwise(acc[name]).alias(name)
     return F.struct(
-        keep("state", to), keep("attempts", acc["attempts"] + F.when(to == "admitted", 1).otherwise(0)),
-        keep("admitted_at", F.when(to == "admitted", e["ts"]).when(to == "pending", F.lit(None)).otherwise(acc["admitted_at"])),
-        keep("finished_at", F.when(to.isin(model.TERMINAL), e["ts"]).otherwise(acc["finished_at"])),
-        (acc["ignored"] + F.when(moved, 0).otherwise(1)).alias("ignored"),
+        keep("state", moved, to), (acc["attempts"] + F.when(to == "admitted", 1).otherwise(0)).alias("attempts"),
+        keep("sets_admitted", admits, F.lit(True)), keep("admitted_at", admits, F.when(to == "admitted", e["ts"])),
+        keep("sets_finished", ends, F.lit(True)), keep("finished_at", ends, e["ts"]), (acc["ignored"] + F.when(moved, 0).otherwise(1)).alias("ignored"),
     )
 
 
-def fold(events: DataFrame) -> DataFrame:
+def _then(acc: Column, later: Column) -> Column:
+    """Of an entry of one map and the map after it, the entry of both; where that map has no entry for the state, the entry as it is."""
+    m = F.get(later, F.coalesce(F.array_position(F.array(*map(F.lit, model.STATES)), acc["state"]), F.lit(0)).cast("int"))
+    return F.struct(
+        m["state"].alias("state"), (acc["attempts"] + m["attempts"]).alias("attempts"),
+        (acc["sets_admitted"] | m["sets_admitted"]).alias("sets_admitted"), F.when(m["sets_admitted"], m["admitted_at"]).otherwise(acc["admitted_at"]).alias("admitted_at"),
+        (acc["sets_finished"] | m["sets_finished"]).alias("sets_finished"), F.when(m["sets_finished"], m["finished_at"]).otherwise(acc["finished_at"]).alias("finished_at"),
+        (acc["ignored"] + m["ignored"]).alias("ignored"),
+    )
+
+
+def fold(events: DataFrame, block: int = BLOCK, least: int = scan.ROWS) -> DataFrame:
     """(work_id, tenant_id, state, attempts, admitted_at, finished_at, ignored) from (seq, work_id, tenant_id, event, ts).
 
-    Endless repeats of an event cost a count, not memory."""
+    Events are maps of the states to states, and maps compose: a stretch of an item's events is one map of seven entries,
+    whatever its length, each with its attempts, times and ignored events. Items with many events are cut into ranges of
+    ``seq`` that any tasks may take; blocks of a range become maps, the maps of a range one map, those of an item its state.
+    An item that is not cut needs the one entry that it begins with. Events of equal ``seq`` are taken by name, then time.
+    """
+    keys = ["work_id", "tenant_id"]
+    events = events.select(*keys, "seq", "event", "ts")
     ts = events.schema["ts"].dataType.simpleString()
-    start = F.struct(
-        F.lit(None).cast("string").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast(ts).alias("admitted_at"), F.lit(None).cast(ts).alias("finished_at"), F.lit(0).alias("ignored")
-    )
-    # An event that repeats the one before it never fits, so such runs are counted and only their first row is gathered.
-    order = Window.partitionBy("work_id", "tenant_id").orderBy("seq", "event", "ts")
-    marked = events.select("work_id", "tenant_id", "seq", "event", "ts", F.col("event").eqNullSafe(F.lag("event").over(order)).alias("again"))
-    gathered = F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("seq", "event", "ts"))))
-    history = marked.groupBy("work_id", "tenant_id").agg(gathered.alias("h"), F.count_if("again").cast("int").alias("repeats"))
-    folded = history.select("work_id", "tenant_id", "repeats", F.aggregate("h", start, _next).alias("s")).select("work_id", "tenant_id", "repeats", "s.*")
-    return folded.withColumn("ignored", F.col("ignored") + F.col("repeats")).drop("repeats")
+    identity = lambda state: F.struct(
+        F.lit(state).cast("string").alias("state"), F.lit(0).alias("attempts"), F.lit(False).alias("sets_admitted"), F.lit(None).cast(ts).alias("admitted_at"),
+        F.lit(False).alias("sets_finished"), F.lit(None).cast(ts).alias("finished_at"), F.lit(0).cast("long").alias("ignored"),
+    )
+    every, one = F.array(*map(identity, ENTERING)), F.array(identity(None))
+    rows = scan.placed(events, keys, "seq", scan.key_ranges(events, keys, "seq", least))
+    place = F.row_number().over(Window.partitionBy(*keys, scan.PART).orderBy("seq", "event", "ts"))
+    rows = rows.withColumn("block", F.floor((place - 1) / block))
+    blocks = rows.groupBy(*keys, scan.PART, "block").agg(F.array_sort(F.collect_list(F.struct("seq", "event", "ts"))).alias("h"))
+    begins = F.col(scan.PART).isNull() & (F.col("block") == 0)
+    stepped = F.aggregate("h", F.when(begins, one).otherwise(every), lambda accs, e: F.transform(accs, lambda a: _next(a, e)))
+    maps = blocks.select(*keys, scan.PART, "block", stepped.alias("m"))
+    for level in ("block", scan.PART):
+        whole = [*keys, scan.PART] if level == "block" else keys
+        listed = maps.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct(level, "m"))).alias("l"))
+        composed = F.aggregate(F.slice("l", 2, F.size("l")), F.get("l", F.lit(0))["m"], lambda accs, later: F.transform(accs, lambda a: _then(a, later["m"])))
+        maps = listed.select(*whole, composed.alias("m"))
+    return maps.select(*keys, F.get("m", F.lit(0)).alias("s")).select(*keys, "s.state", "s.attempts", "s.admitted_at", "s.finished_at", "s.ignored")
 
 
 def billed(costs: DataFrame, events: DataFrame) -> DataFrame:

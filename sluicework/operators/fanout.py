@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework.functions import media
+from sluicework.operators import scan
 
 
 def chunk_rung_jobs(chunks: DataFrame, rungs: DataFrame) -> DataFrame:
@@ -20,10 +21,10 @@ def join_parts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("source", "rung").agg(F.transform(parts, lambda x: x["part"]).alias("parts"))
 
 
-def join_offsets(jobs: DataFrame, duration: str = "duration_ms") -> DataFrame:
+def join_offsets(jobs: DataFrame, duration: str = "duration_ms", least: int = scan.ROWS) -> DataFrame:
     """The timestamp at which each part starts in the joined rung: what the parts before it last."""
-    before = Window.partitionBy("source", "rung").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    return jobs.withColumn("offset_ms", F.coalesce(F.sum(duration).over(before), F.lit(0)))
+    rows = scan.before(jobs, ["source", "rung"], ["chunk_index"], duration, scan.SUM, "offset_ms", least)
+    return rows.withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
 
 
 def straggler_budgets(jobs: DataFrame) -> DataFrame:

@@ -7,17 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework import model
 from sluicework.functions import media
 from sluicework.functions.tables import LADDER
+from sluicework.operators import scan
 
 
-#: Bands of a hash in the search for near ones.
-BANDS = 4
+#: Bands of a hash in the search for near ones; targets of a range of keyframes.
+BANDS, SPAN = 4, 64
 
 
 def ladder_plan(sources: DataFrame) -> DataFrame:
@@ -63,78 +63,116 @@ def split_plan(index: DataFrame, target_ms: int = model.SPLIT_TARGET_MS) -> Data
     return split_keyframes(index.select("source", "duration_ms", F.explode_outer("keyframes").alias("ms")), target_ms)
 
 
-def split_keyframes(keyframes: DataFrame, target_ms: int = model.SPLIT_TARGET_MS) -> DataFrame:
+def split_keyframes(keyframes: DataFrame, target_ms: int = model.SPLIT_TARGET_MS, span: int = SPAN) -> DataFrame:
     """(source, whole, chunk_index, start_ms, end_ms) from a row (source, duration_ms, ms) a keyframe; a source without any
     has one row with ms null.
 
     Cuts are a fold: the first keyframe at or past the target after the last cut. A chunk's number is given before empty
-    chunks are left out. Tasks read their sources in order and hold the last cut only, so a source may be of any length.
-    Order and repeats of the keyframes do not matter; a duration that is null ends no chunk, so the last one is left out.
+    chunks are left out. A source is cut into ranges of ``span`` targets. A range is a map from the cut that enters it to the
+    cut that leaves it, of which only the keyframes of its first target matter; the maps of a source are chained in the order
+    of the ranges, and then every range gives its own chunks. A range has as many keyframes as milliseconds at most, and a
+    year of ten-second targets is some 50,000 ranges, so no source fills a task.
+    Order and repeats of the keyframes do not matter; a source with several durations has the longest; a duration
+    that is null ends no chunk, so the last one is left out.
     """
     target = max(target_ms, 1)
-    fields = {f.name: f.dataType.simpleString() for f in keyframes.schema.fields}
-    rows = keyframes.select("source", F.col("duration_ms").cast("long"), F.col("ms").cast("long")).repartition("source").sortWithinPartitions("source", "ms")
-    return rows.mapInArrow(lambda batches: _cut(batches, target), f"source {fields['source']}, whole string, chunk_index int, start_ms long, end_ms long")
-
-
-def _cut(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
-    names = ["source", "whole", "chunk_index", "start_ms", "end_ms"]
-    types = None
-    out: list[tuple] = []
-    now = None  # (source, duration, whole or None if it is cut, number and start of the open chunk)
-
-    def close() -> None:
-        if now is None:
-            return
-        source, duration, whole, number, start = now
-        whole = whole or ("keyframes_too_sparse" if number == 0 else None)
-        if whole:
-            out.append((source, whole, 0, 0, duration))
-        elif duration is not None and duration > start:
-            out.append((source, None, number, start, duration))
-
-    def flushed() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * len(names)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    for batch in batches:
-        types = types or [batch.schema.field("source").type, pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        runs, at = pc.run_end_encode(batch.column("source")), 0
-        for source, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
-            ms = batch.column("ms").slice(at, end - at).drop_null().to_numpy()
-            if now is None or now[0] != source:
-                close()
-                duration = batch.column("duration_ms")[at].as_py()
-                short = duration is not None and duration < model.MIN_SPLITTABLE_MS
-                now = (source, duration, "too_short" if short else None if len(ms) else "no_keyframes", 0, 0)
-            elif now[2] == "no_keyframes" and len(ms):  # keyframes without a time filled the batch before
-                now = (*now[:2], None, 0, 0)
-            _, duration, whole, number, start = now
-            place = 0 if whole else int(np.searchsorted(ms, start + target))
-            while not whole and place < len(ms):
-                out.append((source, None, number, start, int(ms[place])))
-                number, start = number + 1, int(ms[place])
-                place = int(np.searchsorted(ms, start + target))
-            now, at = (source, duration, whole, number, start), end
-        if out:
-            yield flushed()
-    close()
-    if out:
-        yield flushed()
-
-
-def sparse_gaps(keyframes: DataFrame, gap_ms: int = model.SPARSE_GAP_MS) -> DataFrame:
+    kind = keyframes.schema["source"].dataType.simpleString()
+    rows = keyframes.select("source", F.col("duration_ms").cast("long"), F.col("ms").cast("long"))
+    part = F.floor(F.col("ms") / (target * span))
+    parts = rows.where(F.col("ms") >= target).groupBy("source", part.alias("part")).agg(F.array_sort(F.collect_set("ms")).alias("keys"))
+    maps = parts.mapInArrow(_range_maps(target, span), f"source {kind}, part long, enters array<long>, leaves array<long>, cuts array<long>")
+    chained = maps.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("part", "enters", "leaves", "cuts"))).alias("l"))
+
+    def step(acc: Column, p: Column) -> Column:
+        k = F.size(F.filter(p["enters"], lambda ms: ms < acc["cut"] + target))
+        here = F.struct(p["part"].alias("part"), acc["cut"].alias("cut"), acc["number"].alias("number"))
+        return F.struct(
+            F.coalesce(F.get(p["leaves"], k), acc["cut"]).alias("cut"), (acc["number"] + F.coalesce(F.get(p["cuts"], k), F.lit(0))).alias("number"), F.concat(acc["seen"], F.array(here)).alias("seen")
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("cut"), zero.alias("number"), F.array().cast("array<struct<part: bigint, cut: bigint, number: bigint>>").alias("seen"))
+    chained = chained.select("source", F.aggregate("l", start, step).alias("c"))
+    about = rows.groupBy("source").agg(F.max("duration_ms").alias("duration_ms"), F.count("ms").alias("n")).join(chained, "source", "left")
+    short = F.col("duration_ms").isNotNull() & (F.col("duration_ms") < model.MIN_SPLITTABLE_MS)
+    number = F.coalesce(F.col("c.number"), zero)
+    whole = F.when(short, "too_short").when(F.col("n") == 0, "no_keyframes").when(number == 0, "keyframes_too_sparse")
+    about = about.select("source", "duration_ms", "c", whole.alias("whole"))
+    uncut = about.where(F.col("whole").isNotNull()).select("source", "whole", F.lit(0).alias("chunk_index"), zero.alias("start_ms"), F.col("duration_ms").alias("end_ms"))
+    cut = about.where(F.col("whole").isNull())
+    last = cut.where(F.col("duration_ms") > F.col("c.cut")).select("source", "whole", F.col("c.number").cast("int").alias("chunk_index"), F.col("c.cut").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
+    entered = cut.select("source", F.explode("c.seen").alias("p")).select("source", "p.*").join(parts, ["source", "part"])
+    inner = entered.mapInArrow(_range_chunks(target), f"source {kind}, chunk_index int, start_ms long, end_ms long")
+    return uncut.unionByName(last).unionByName(inner.select("source", F.lit(None).cast("string").alias("whole"), "chunk_index", "start_ms", "end_ms"))
+
+
+class _Ranges:
+    """Sorted keyframes of all ranges of a batch, one after the other, and of each the first one of its range a target later."""
+
+    def __init__(self, lists: pa.Array, target: int):
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        self.ms = lists.values.slice(ends[0], ends[-1] - ends[0]).to_numpy()
+        self.ends, self.target, self.row = ends - ends[0], target, np.repeat(np.arange(len(lists)), np.diff(ends))
+        self.after = self.first(self.row, self.ms + target)
+
+    def first(self, rows: np.ndarray, at_least: np.ndarray) -> np.ndarray:
+        """The first keyframe of each of ``rows`` at or past a time, the end of the row if none is: a binary search in all at once."""
+        low, high = self.ends[rows].copy(), self.ends[rows + 1].copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            smaller = open_ & (self.ms[np.minimum(middle, len(self.ms) - 1)] < at_least)
+            low, high = np.where(smaller, middle + 1, low), np.where(open_ & ~smaller, middle, high)
+        return low
+
+
+def _range_maps(target: int, span: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = _Ranges(batch.column("keys"), target)
+            n, ends = len(r.ms), r.ends[r.row + 1]
+            # Doubling: after k steps ``last`` is 2^k cuts on, or the last cut of the range, and ``cuts`` tells how many.
+            last = np.where(r.after < ends, r.after, np.arange(n))
+            cuts = (last != np.arange(n)).astype(np.int64)
+            while ((further := last[last]) != last).any():
+                cuts, last = cuts + cuts[last], further
+            # What enters was cut before the range begins, so it asks for a keyframe of the first target or the next one.
+            begins = batch.column("part").to_numpy() * target * span
+            m = np.minimum(r.first(np.arange(batch.num_rows), begins + target) + 1, r.ends[1:]) - r.ends[:-1]
+            at = np.repeat(r.ends[:-1] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (r.ms[at], r.ms[last[at]], cuts[at] + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("part"), *lists], ["source", "part", "enters", "leaves", "cuts"])
+
+    return apply
+
+
+def _range_chunks(target: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = _Ranges(batch.column("keys"), target)
+            rows, cut, number = np.arange(batch.num_rows), batch.column("cut").to_numpy(), batch.column("number").to_numpy()
+            at = r.first(rows, cut + target)
+            found = []
+            # All ranges take their next cut at once; a range has no more cuts than targets.
+            while (some := at < r.ends[rows + 1]).any():
+                rows, cut, number, at = rows[some], cut[some], number[some], at[some]
+                found.append((rows, number, cut, r.ms[at]))
+                cut, number, at = r.ms[at], number + 1, r.after[at]
+            rows, number, start, end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start), pa.array(end)], ["source", "chunk_index", "start_ms", "end_ms"])
+
+    return apply
+
+
+def sparse_gaps(keyframes: DataFrame, gap_ms: int = model.SPARSE_GAP_MS, least: int = scan.ROWS) -> DataFrame:
     """Neighbouring keyframes further apart than the gap."""
-    before = F.lag("ms").over(Window.partitionBy("source").orderBy("ms"))
-    rows = keyframes.select("source", "ms").distinct().withColumn("before_ms", before)
+    rows = scan.before(keyframes.select("source", "ms").distinct(), ["source"], ["ms"], "ms", scan.LAST, "before_ms", least)
     return rows.where(F.col("ms") - F.col("before_ms") > gap_ms).select("source", "before_ms", "ms", (F.col("ms") - F.col("before_ms")).alias("gap_ms"))
 
 
-def backward_timestamps(packets: DataFrame, keys: list[str], order: list[str], dts: str = "dts") -> DataFrame:
+def backward_timestamps(packets: DataFrame, keys: list[str], order: list[str], dts: str = "dts", least: int = scan.ROWS) -> DataFrame:
     """Packets whose timestamp is before the last known one."""
-    last = F.last(dts, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return packets.withColumn("previous", last).where(F.col(dts) < F.col("previous"))
+    return scan.before(packets, keys, order, dts, scan.LAST, "previous", least).where(F.col(dts) < F.col("previous"))
 
 
 def verify(renditions: DataFrame) -> DataFrame:

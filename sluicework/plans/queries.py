@@ -188,10 +188,11 @@ def tenant_scope(spark, d):
 @query(f"""WITH {WORK}, fin AS (SELECT id, seq % 4 = 1 AS released, state IN ('running', 'done', 'failed') OR seq % 11 = 0 AS run, state IN ('done', 'failed') AS ended, state <> 'pending' AS admitted, created_at, seq FROM w),
   s AS (SELECT id, created_at, CASE WHEN ended THEN CASE WHEN seq % 10 = 0 THEN 'failed' WHEN seq % 17 = 0 THEN 'canceled' ELSE 'done' END
       WHEN NOT admitted OR released THEN 'pending' WHEN run THEN 'running' ELSE 'admitted' END AS state,
-    CASE WHEN admitted THEN 1 ELSE 0 END AS attempts, CASE WHEN admitted AND NOT released THEN created_at + INTERVAL 1 HOUR END AS admitted_at, CASE WHEN ended THEN created_at + INTERVAL 4 HOUR END AS finished_at FROM fin)
-  SELECT id AS work_id, state, attempts, admitted_at, finished_at FROM s""")
+    CASE WHEN admitted THEN 1 ELSE 0 END AS attempts, CASE WHEN admitted AND NOT released THEN created_at + INTERVAL 1 HOUR END AS admitted_at, CASE WHEN ended THEN created_at + INTERVAL 4 HOUR END AS finished_at,
+    CAST(run AND (NOT admitted OR released) AS BIGINT) + CAST(ended AND seq % 3 = 0 AS BIGINT) + CAST(seq % 13 = 0 AS BIGINT) AS ignored FROM fin)
+  SELECT id AS work_id, state, attempts, admitted_at, finished_at, ignored FROM s""")
 def state_fold(spark, d):
-    return events.fold(p.work_events(spark, d)).select("work_id", "state", "attempts", "admitted_at", "finished_at")
+    return events.fold(p.work_events(spark, d)).select("work_id", "state", "attempts", "admitted_at", "finished_at", "ignored")
 
 
 @query(f"WITH {WORK} SELECT tenant_id, count(*) AS recent FROM w WHERE admitted_at > {AS_OF} - INTERVAL {RECENT} GROUP BY tenant_id")
