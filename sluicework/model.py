@@ -26,6 +26,7 @@ SAMPLES = 60
 GATE_VMAF = 93.0
 CREDIT_BAND = 1.0
 TOTAL_SLOTS, TICK_MS, STALL_SECONDS, MAX_ATTEMPTS, SWEEP_EVERY_TICKS = 64, 250, 300, 5, 240
+CHUNK_ATTEMPTS = 4
 MAX_THREADS = 16
 SEGMENT_SECONDS = 2
 CODEC_NAMES = {"h264": "h264", "avc": "h264", "x264": "h264", "libx264": "h264", "h265": "h265", "hevc": "h265", "x265": "h265", "libx265": "h265", "av1": "av1"}

@@ -154,6 +154,8 @@ def fair_share(candidates: DataFrame, grants: DataFrame, credits: DataFrame) ->
     out = rows.join(extra, ["lane", "tenant_id"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
     left = F.col("owed") - F.col("extra")
     band = F.greatest(F.least(left, F.lit(model.CREDIT_BAND)), F.lit(-model.CREDIT_BAND))
+    # Who has neither had a turn nor a credit is not remembered.
+    out = out.where(F.col("turn") | F.col("had").isNotNull())
     return out.select("lane", "tenant_id", (F.col("first") + F.col("extra")).alias("take"), F.when(F.col("turn"), band).otherwise(left).alias("credit"))
 
 
