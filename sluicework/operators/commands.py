@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework import model
+from sluicework.operators.events import admitted_submissions
 
 #: What a caller is told for each kind of failure.
-STATUS = {"created": 201, "existing": 200, "not_found": 404, "no_budget": 422, "suspended": 403, "bad_request": 400}
+STATUS = {"created": 201, "existing": 200, "found": 200, "stored": 204, "not_found": 404, "no_budget": 422, "suspended": 403, "bad_request": 400}
+#: Fields of the bodies that callers send.
+BODY = "tenant_id string, dedupe_key string, lane string, state string, max_concurrent_tasks int, rate_limit_per_min int"
 
 
 def _events(rows: DataFrame, event: Column | str, seq: Column, ts: Column) -> DataFrame:
@@ -55,3 +58,27 @@ def set_budgets(changes: DataFrame) -> DataFrame:
     """Budget changes (tenant_id, seq, …) that are valid; limits below zero are an error."""
     bad = (F.col("max_concurrent_tasks") < 0) | (F.col("rate_limit_per_min") < 0)
     return changes.withColumn("max_concurrent_tasks", F.when(bad, F.raise_error(F.concat(F.lit("bad budget of "), "tenant_id"))).otherwise(F.col("max_concurrent_tasks")))
+
+
+def answered(requests: DataFrame, state: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(seq, outcome, status) for requests (seq, verb, target, body): what each is answered, in the order of ``seq``.
+
+    Verbs: submit, budget (target a tenant), get, cancel and finish (target an item). A body that is no JSON or lacks a field, a lane or
+    final state that is none, a limit below zero and an unknown verb are bad requests; they change nothing for those after
+    them. state: (work_id, state) before the requests; budgets as for ``events.admitted_submissions``.
+    """
+    rows = requests.select("seq", "verb", "target", F.from_json("body", BODY).alias("b"))
+    submit = rows.where(F.col("verb") == "submit").select("seq", "b.tenant_id", "b.dedupe_key", "b.lane")
+    good = F.coalesce(F.col("tenant_id").isNotNull() & F.col("dedupe_key").isNotNull() & F.col("lane").isin(model.LANES), F.lit(False))
+    submitted = admitted_submissions(submit.where(good), budgets).select("seq", "outcome")
+    refused = submit.where(~good).select("seq", F.lit("bad_request").alias("outcome"))
+    found = rows.where(F.col("verb").isin("get", "cancel", "finish")).join(state.select(F.col("work_id").alias("target"), F.col("state").alias("was")), "target", "left")
+    ends = F.coalesce(F.col("b.state").isin("done", "failed"), F.lit(False)) | (F.col("verb") != "finish")
+    outcome = F.when(~ends, "bad_request").when(F.col("was").isNull(), "not_found").otherwise("found")
+    limits = [F.coalesce(F.col(f"b.{c}") >= 0, F.lit(False)) for c in ("max_concurrent_tasks", "rate_limit_per_min")]
+    stored = rows.where(F.col("verb") == "budget").select("seq", F.when(limits[0] & limits[1], "stored").otherwise("bad_request").alias("outcome"))
+    known = F.coalesce(F.col("verb").isin("submit", "get", "cancel", "finish", "budget"), F.lit(False))
+    others = rows.where(~known).select("seq", F.lit("bad_request").alias("outcome"))
+    all_rows = submitted.unionByName(refused).unionByName(found.select("seq", outcome.alias("outcome"))).unionByName(stored).unionByName(others)
+    status = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return all_rows.withColumn("status", F.element_at(status, F.col("outcome")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,8 @@ from sluicework.functions.tables import LADDER
 from sluicework.operators import scan
 
 
-#: Bands of a hash in the search for near ones; targets of a range of keyframes.
-BANDS, SPAN = 4, 64
+#: Values of a band that one hash asks for, at most; entries of a list that are sent at once; targets of a range of keyframes.
+ASKED, BLOCK, SPAN = 4096, 250_000, 64
 
 
 def ladder_plan(sources: DataFrame) -> DataFrame:
@@ -206,31 +208,64 @@ def verdicts(renditions: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.withColumn("ok", F.col("findings") == 0)
 
 
+def bands_of(width: int, most: int, n: int) -> list[tuple[int, int]]:
+    """``n`` bands (bits, radius) of ``width`` bits: hashes within ``most`` bits of each other are within the radius in one of
+    them, since they would differ in most + 1 bits otherwise."""
+    cuts = [width * i // n for i in range(n + 1)]
+    return [(b - a, (most + 1) // n - 1 + (i < (most + 1) % n)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _near(bits: int, radius: int) -> int:
+    """How many values lie within a radius of one."""
+    return sum(math.comb(bits, r) for r in range(radius + 1))
+
+
+def pair_share(bands: list[tuple[int, int]]) -> float:
+    """The share of all pairs of random hashes that meet in a band."""
+    return sum(_near(*b) / 2 ** b[0] for b in bands)
+
+
+def band_plan(width: int, most: int, samples: int, known: int) -> list[tuple[int, int]] | None:
+    """The bands that make the fewest rows for so many samples and known hashes; None where comparing all pairs in
+    blocks is less work, a comparison being a tenth of a row that is shuffled."""
+    options = [bands_of(width, most, n) for n in range(1, min(width, most + 1) + 1)]
+    options = [b for b in options if max(_near(*x) for x in b) <= ASKED]
+    cost = lambda b: samples * len(b) + known * sum(_near(*x) for x in b) + samples * known * pair_share(b)
+    best = min(options, key=cost, default=None)
+    return best if best and cost(best) < samples * known / 10 else None
+
+
 def blocklist_match(samples: DataFrame, blocklist: DataFrame, most: int = model.MATCH_DISTANCE) -> DataFrame:
     """The nearest blocklist entry within ``most`` bits of each sample; ties go to the first entry.
 
-    samples: (sample_id, phash); blocklist: (pos, known). The bits that hashes differ in at all are cut into ``BANDS`` wide bands.
-    Two hashes within ``most`` bits are within most div BANDS bits in one of them, so each entry of the blocklist asks for
-    its own value of a band and all values as near; the distance is checked after. Wide bands keep the pairs few: a band
-    of w bits meets a sample by chance once in 2^w.
+    samples: (sample_id, phash); blocklist: (pos, known). The bits that hashes differ in at all are cut into bands, chosen by
+    ``band_plan``: each entry asks for its own value of a band and all values within its radius, and the distance is
+    checked after. Where no bands prune enough (far distances, short lists) all samples are compared with the list, of which
+    blocks of ``BLOCK`` entries are sent to them.
     """
-    spans = [samples.agg(F.bit_or("phash"), F.bit_and("phash")).first(), blocklist.agg(F.bit_or("known"), F.bit_and("known")).first()]
-    ones = ((spans[0][0] or 0) | (spans[1][0] or 0)) & (1 << 64) - 1
-    always = (-1 if spans[0][1] is None else spans[0][1]) & (-1 if spans[1][1] is None else spans[1][1])
-    used = ones & ~always & (1 << 64) - 1
-    first, width = (used & -used).bit_length() - 1 if used else 0, used.bit_length()
-    cuts = [first + (width - first) * i // BANDS for i in range(BANDS + 1)]
-    part = lambda value, i: F.shiftrightunsigned(F.col(value), cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
-
-    def near(i: int) -> Column:
-        bits = range(cuts[i + 1] - cuts[i])
-        flips = [sum(1 << b for b in c) for r in range(most // BANDS + 1) for c in itertools.combinations(bits, r)]
-        return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in flips)})"), lambda x: F.struct(F.lit(i).alias("band"), part("known", i).bitwiseXOR(x).alias("slot")))
-
-    mine = samples.select("sample_id", "phash", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part("phash", i).alias("slot")) for i in range(BANDS)])).alias("x"))
-    asked = blocklist.select("pos", "known", F.explode(F.flatten(F.array(*[near(i) for i in range(BANDS)]))).alias("x"))
-    pairs = mine.select("sample_id", "phash", "x.*").join(asked.select("pos", "known", "x.*"), ["band", "slot"]).withColumn("distance", media.hamming(F.col("phash"), F.col("known")))
-    best = pairs.where(F.col("distance") <= most).groupBy("sample_id").agg(F.min(F.struct("distance", "pos", "known")).alias("b"))
+    about = lambda df, c: df.agg(F.bit_or(c), F.bit_and(c), F.count(F.lit(1))).first()
+    (any_a, all_a, n_a), (any_b, all_b, n_b) = about(samples, "phash"), about(blocklist, "known")
+    used = ((any_a or 0) | (any_b or 0)) & ~((-1 if all_a is None else all_a) & (-1 if all_b is None else all_b)) & (1 << 64) - 1
+    first = (used & -used).bit_length() - 1 if used else 0
+    bands = band_plan(used.bit_length() - first, most, n_a, n_b) if used else None
+    near = media.hamming(F.col("phash"), F.col("known")) <= most
+    if bands is None:
+        blocks = max(1, math.ceil(n_b / BLOCK))
+        of_block = lambda i: blocklist.where(F.pmod(F.xxhash64("pos"), F.lit(blocks)) == i) if blocks > 1 else blocklist
+        pairs = functools.reduce(DataFrame.unionByName, [samples.join(F.broadcast(of_block(i).select("pos", "known")), near) for i in range(blocks)])
+    else:
+        cuts = list(itertools.accumulate((w for w, _ in bands), initial=first))
+        part = lambda value, i: F.shiftrightunsigned(F.col(value), cuts[i]).bitwiseAND((1 << bands[i][0]) - 1)
+
+        def asks(i: int) -> Column:
+            width, radius = bands[i]
+            flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(width), r)]
+            return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in flips)})"), lambda x: F.struct(F.lit(i).alias("band"), part("known", i).bitwiseXOR(x).alias("slot")))
+
+        mine = samples.select("sample_id", "phash", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part("phash", i).alias("slot")) for i in range(len(bands))])).alias("x"))
+        asked = blocklist.select("pos", "known", F.explode(F.flatten(F.array(*map(asks, range(len(bands)))))).alias("x"))
+        pairs = mine.select("sample_id", "phash", "x.*").join(asked.select("pos", "known", "x.*"), ["band", "slot"]).where(near)
+    best = pairs.withColumn("distance", media.hamming(F.col("phash"), F.col("known"))).groupBy("sample_id").agg(F.min(F.struct("distance", "pos", "known")).alias("b"))
     return best.select("sample_id", F.col("b.known").alias("known"), F.col("b.distance").alias("distance"))
 
 

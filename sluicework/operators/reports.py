@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicework import model
-from sluicework.functions.tables import LOWER_IS_BETTER, TOLERANCE
+from sluicework.functions.tables import LOWER_IS_BETTER, METRICS, TOLERANCE
 
 
 def pooled(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,3 +163,23 @@ def build(files: DataFrame, probes: DataFrame, scores: DataFrame) -> DataFrame:
     whole = entries.where(F.col("finding").isNull()).select("file", "finding").join(rungs, "file", "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
     bad = entries.where(F.col("finding").isNotNull()).select("file", "finding", F.lit(None).cast("string").alias("rung"), F.lit(False).alias("scored"))
     return whole.unionByName(bad)
+
+
+def assemble(runs: DataFrame, files: DataFrame, rungs: DataFrame, scores: DataFrame) -> DataFrame:
+    """(run, report): a nested report for each run, its files and their rungs in the order of ``pos``.
+
+    runs: (run, created_unix, ffmpeg, preset, subsample); files: (run, file, pos, duration_ms, warnings, findings, encode_seconds);
+    rungs: (run, file, rung, pos, width, height, frames, bytes); scores: (run, file, rung, metric, value). A rung without scores has
+    null for them, a file without rungs none, a run without files no entries.
+    """
+    kept = F.struct(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in METRICS])
+    scored = scores.groupBy("run", "file", "rung").agg(kept.alias("scores"))
+    in_order = lambda what: F.transform(F.array_sort(F.collect_list(F.struct("pos", what.alias("x")))), lambda r: r["x"])
+    as_int = lambda c, kind="long": F.col(c).cast(kind).alias(c)
+    rung = F.struct(F.col("rung").alias("name"), as_int("width", "int"), as_int("height", "int"), as_int("frames"), as_int("bytes"), "scores")
+    by_file = rungs.join(scored, ["run", "file", "rung"], "left").groupBy("run", "file").agg(in_order(rung).alias("rungs"))
+    listed = files.join(by_file, ["run", "file"], "left").withColumn("rungs", F.coalesce("rungs", F.array().cast(by_file.schema["rungs"].dataType)))
+    entry = F.struct("file", as_int("duration_ms"), "warnings", as_int("encode_seconds", "double"), "rungs", "findings")
+    entries = listed.groupBy("run").agg(in_order(entry).alias("entries"))
+    rows = runs.join(entries, "run", "left").withColumn("entries", F.coalesce("entries", F.array().cast(entries.schema["entries"].dataType)))
+    return rows.select("run", F.struct("created_unix", "ffmpeg", "preset", "subsample", "entries").alias("report"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from sluicework.operators import commands, events, fanout, queue, reports
 from sluicework.operators import media as plan
 from sluicework.plans import tick
 from sluicework.sources import projections as p
+from sluicework.sources import scopes, storage
 from sluicework.sources.storage import cut
 
 SLOTS, RECENT, STALL_DAYS = 8000, "30 DAY", 365
@@ -178,11 +180,19 @@ def budget_latest(spark, d):
     return events.latest_wins(p.work(spark, d).select("tenant_id", "seq", "lane", "priority_key"), ["tenant_id"], "seq")
 
 
-@query(f"""WITH {WORK} SELECT 'service' AS scope, count(*) AS n FROM w UNION ALL SELECT 'tenant', count(*) FROM w WHERE tenant_id = '7' UNION ALL SELECT 'none', 0""")
+@query(f"""WITH {WORK}, t AS (SELECT 'work' AS name, tenant_id FROM w UNION ALL SELECT 'tenant_budgets', tenant_id FROM budgets UNION ALL SELECT 'work_cost', tenant_id FROM lineitem JOIN w ON id = CAST(l_orderkey AS VARCHAR)),
+  n AS (SELECT DISTINCT name FROM t) SELECT 'service' AS scope, name, count(*) AS n FROM t GROUP BY name UNION ALL SELECT 'tenant', name, count(*) FROM t WHERE tenant_id = '7' GROUP BY name UNION ALL SELECT 'none', name, 0 FROM n""")
 def tenant_scope(spark, d):
     work = p.work(spark, d)
-    seen = [queue.scoped(work, s, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s or "none").alias("scope"), "n") for s, t in (("service", None), ("tenant", "7"), (None, None))]
-    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+    costs = p.cost_events(spark, d).drop("seq").join(work.select(F.col("id").alias("work_id"), "tenant_id"), "work_id")
+    scopes.open_views(spark, work=work, tenant_budgets=p.budgets(spark, d), work_cost=costs)
+    seen = []
+    for scope, tenant in (("service", None), (None, "7"), (None, None)):
+        scopes.set_scope(spark, scope, tenant)
+        shown = F.lit(scope or ("tenant" if tenant else "none"))
+        seen += [spark.table(f"scoped_{t}").agg(F.count(F.lit(1)).alias("n")).select(shown.alias("scope"), F.lit(t).alias("name"), "n") for t in scopes.TABLES]
+    scopes.set_scope(spark)
+    return functools.reduce(DataFrame.unionByName, seen)
 
 
 @query(f"""WITH {WORK}, fin AS (SELECT id, seq % 4 = 1 AS released, state IN ('running', 'done', 'failed') OR seq % 11 = 0 AS run, state IN ('done', 'failed') AS ended, state <> 'pending' AS admitted, created_at, seq FROM w),
@@ -619,3 +629,71 @@ def renditions_by_area(spark, d):
     rows = plan.ladder_plan(p.ladder_sources(spark, d)).select(F.col("source").alias("asset"), F.col("rung").alias("name"), "width", "height")
     tenant = F.concat(F.lit("t"), (F.col("asset") % 7).cast("string"))
     return plan.by_area(rows).select("asset", "name", F.col("pos").alias("place"), media.rendition_prefix(tenant, F.col("asset").cast("string"), F.col("name")).alias("prefix"))
+
+
+@query(f"""WITH {WORK}, v AS (SELECT seq, id, tenant_id, dedupe_key, seq % 5 AS verb FROM w), sub AS (SELECT *, row_number() OVER (PARTITION BY v.tenant_id, dedupe_key ORDER BY seq) AS place FROM v WHERE verb = 0 AND seq % 35 <> 0 AND seq % 25 <> 0),
+  o AS (SELECT seq, CASE WHEN suspended IS NULL THEN 'no_budget' WHEN suspended THEN 'suspended' WHEN place = 1 THEN 'created' ELSE 'existing' END AS outcome FROM sub LEFT JOIN budgets b ON b.tenant_id = sub.tenant_id AND b.tenant_id <> '3'
+    UNION ALL SELECT seq, 'bad_request' FROM v WHERE verb = 0 AND (seq % 35 = 0 OR seq % 25 = 0)
+    UNION ALL SELECT v.seq, CASE WHEN verb = 2 AND v.seq % 3 = 0 THEN 'bad_request' WHEN w.id IS NULL THEN 'not_found' ELSE 'found' END FROM v LEFT JOIN w ON w.seq = v.seq + 1 WHERE verb IN (1, 2, 4)
+    UNION ALL SELECT seq, CASE WHEN seq % 4 = 0 THEN 'bad_request' ELSE 'stored' END FROM v WHERE verb = 3)
+  SELECT seq, outcome, CASE outcome WHEN 'created' THEN 201 WHEN 'existing' THEN 200 WHEN 'found' THEN 200 WHEN 'stored' THEN 204 WHEN 'not_found' THEN 404 WHEN 'no_budget' THEN 422 WHEN 'suspended' THEN 403 ELSE 400 END AS status FROM o""")
+def request_statuses(spark, d):
+    work, k = p.work(spark, d), F.col("seq")
+    verb = F.element_at(F.array(*map(F.lit, ("submit", "get", "finish", "budget", "cancel"))), (k % 5 + 1).cast("int"))
+    body = F.to_json(F.struct(
+        "tenant_id", "dedupe_key", F.when(k % 25 == 0, "slow").otherwise(F.col("lane")).alias("lane"), F.when(k % 3 == 0, "lost").otherwise("done").alias("state"),
+        F.when(k % 4 == 0, -1).otherwise(5).alias("max_concurrent_tasks"), F.lit(7).alias("rate_limit_per_min"),
+    ))
+    asked = work.select("seq", verb.alias("verb"), (k + 1).cast("string").alias("target"), F.when(k % 35 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    return commands.answered(asked, work.select(F.col("id").alias("work_id"), "state"), p.budgets(spark, d).where("tenant_id <> '3'"))
+
+
+@query(f"""WITH {WORK} SELECT tenant_id, max(seq) AS seq, CAST(max(seq) % 50 AS INTEGER) AS max_concurrent_tasks, CAST(max(seq) % 9 AS INTEGER) AS rate_limit_per_min FROM w GROUP BY tenant_id""")
+def budgets_put(spark, d):
+    changes = p.work(spark, d).select("tenant_id", "seq", (F.col("seq") % 50).cast("int").alias("max_concurrent_tasks"), (F.col("seq") % 9).cast("int").alias("rate_limit_per_min"))
+    return events.latest_wins(commands.set_budgets(changes), ["tenant_id"], "seq")
+
+
+@query("""SELECT user_id, count(*) AS frames, round(avg(value), 4) AS vmaf, min(value) AS vmaf_min, max(value) AS psnr_max, CASE WHEN user_id % 3 = 0 THEN round(avg(value), 4) END AS cambi FROM events GROUP BY user_id""")
+def vmaf_metrics(spark, d):
+    stat = F.struct(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    rows = p.table(spark, d, "events").groupBy("user_id").agg(stat.alias("s"), F.transform(F.collect_list("event_id"), lambda e: F.struct(e.alias("frameNum"))).alias("frames"))
+    pooled = F.struct(F.col("s").alias("vmaf"), F.col("s").alias("psnr_y"), F.when(F.col("user_id") % 3 == 0, F.col("s")).alias("cambi"))
+    found = reports.vmaf_metrics(rows.select("user_id", F.to_json(F.struct("frames", pooled.alias("pooled_metrics"))).alias("report")))
+    return found.select("user_id", F.col("frames").cast("long").alias("frames"), F.round("vmaf.mean", 4).alias("vmaf"), F.col("vmaf.min").alias("vmaf_min"), F.col("psnr_y.max").alias("psnr_max"), F.round("cambi.mean", 4).alias("cambi"))
+
+
+@query("SELECT DISTINCT 't' || user_id % 7 AS tenant, 'a' || user_id AS asset, event_type AS rendition FROM events WHERE event_id % 4 <> 0")
+def landed_renditions(spark, d):
+    tail = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("/other/"), "event_type")).otherwise(F.concat(F.lit("/assets/a"), "user_id", F.lit("/"), "event_type", F.lit("/"), "event_id", F.lit(".mp4")))
+    return storage.landed(p.table(spark, d, "events").select(F.concat(F.lit("s3://bucket/t"), F.col("user_id") % 7, tail).alias("path")))
+
+
+@query("""SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM (SELECT event_id, md5('/in/' || event_type || '/' || event_id) AS h FROM events)""")
+def path_ids(spark, d):
+    return p.table(spark, d, "events").select("event_id", media.path_id(F.concat(F.lit("/in/"), "event_type", F.lit("/"), "event_id")).alias("id"))
+
+
+@query(f"""WITH {SCORES}, f AS (SELECT run, file, CAST(substr(file, 7) AS INTEGER) AS b, sum(frames) AS n FROM po GROUP BY ALL), g AS (SELECT run, file, rung, CAST(sum(frames) AS BIGINT) AS frames, {', '.join(f"round(max(mean) FILTER (WHERE metric = '{m}'), 4) AS {m}" for m in METRICS)} FROM po GROUP BY ALL)
+  SELECT f.run, 1700000000 AS created_unix, 'n7' AS ffmpeg, 5 AS subsample, dense_rank() OVER (PARTITION BY f.run ORDER BY b, f.file) - 1 AS entry, f.file, CAST(n * 40 AS BIGINT) AS duration_ms, n / 10.0 AS encode_seconds, CASE WHEN b % 2 = 1 THEN 'no_audio' ELSE '' END AS warnings,
+    CASE WHEN b % 5 = 0 THEN 'odd size' ELSE '' END AS findings, rung, 1280 AS width, frames, {', '.join(METRICS)} FROM f JOIN g ON g.run = f.run AND g.file = f.file""")
+def report_documents(spark, d):
+    """Reports put together, written out as JSON text, read again and taken apart."""
+    pooled = _pooled(spark, d)
+    rungs = pooled.groupBy("run", "file", "rung").agg(F.sum("frames").alias("frames"))
+    placed = rungs.select("*", F.col("rung").alias("pos"), F.lit(1280).alias("width"), F.lit(720).alias("height"), (F.col("frames") * 1000).alias("bytes"))
+    b = F.substring("file", 7, 10).cast("int")
+    files = pooled.groupBy("run", "file").agg(F.sum("frames").alias("n")).select(
+        "run", "file", F.struct(b, "file").alias("pos"), (F.col("n") * 40).alias("duration_ms"), (F.col("n") / 10).alias("encode_seconds"),
+        F.when(b % 2 == 1, F.array(F.lit("no_audio"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.when(b % 5 == 0, F.array(F.lit("odd size"))).otherwise(F.array().cast("array<string>")).alias("findings"),
+    )
+    runs = pooled.select("run").distinct().select("run", F.lit(1_700_000_000).cast("long").alias("created_unix"), F.lit("n7").alias("ffmpeg"), F.lit("slow").alias("preset"), F.lit(5).alias("subsample"))
+    whole = reports.assemble(runs, files, placed, pooled.select("run", "file", "rung", "metric", F.col("mean").alias("value")))
+    again = whole.select("run", F.from_json(F.to_json("report", {"pretty": "true"}), storage.REPORT).alias("r"))
+    rows = again.select("run", "r.created_unix", "r.ffmpeg", "r.subsample", F.posexplode("r.entries").alias("entry", "e"))
+    rows = rows.select("*", F.explode("e.rungs").alias("x"))
+    listed = lambda c: F.array_join(f"e.{c}", ",").alias(c)
+    return rows.select(
+        "run", "created_unix", "ffmpeg", "subsample", F.col("entry").cast("long").alias("entry"), "e.file", "e.duration_ms", "e.encode_seconds", listed("warnings"), listed("findings"), F.col("x.name").alias("rung"), "x.width", "x.frames",
+        *[F.round(f"x.scores.{m}", 4).alias(m) for m in METRICS],
+    )

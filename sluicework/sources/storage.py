@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPORT = """created_unix long, preset string, entries array<struct<file: string, duration_ms: long, warnings: array<string>, encode_seconds: double,
+REPORT = """created_unix long, ffmpeg string, preset string, subsample int, entries array<struct<file: string, duration_ms: long, warnings: array<string>, encode_seconds: double,
   rungs: array<struct<name: string, width: int, height: int, frames: long, bytes: long,
     scores: struct<vmaf: double, vmaf_min: double, psnr_y: double, ssim: double, ms_ssim: double, ciede2000: double, cambi: double>>>,
   findings: array<string>>>"""
@@ -58,8 +58,15 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.concat_ws(": ", "file", "finding").alias("finding"))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(created_unix, ffmpeg, preset, subsample, entries): a row a report file, whole."""
+    return spark.read.schema(REPORT).option("multiLine", True).json(path)
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One indented file for each row (run, report), in the folder run=... of ``path``; fields without a value are null."""
+    text = F.to_json("report", {"pretty": "true", "ignoreNullFields": "false"})
+    reports.select("run", text.alias("value")).write.mode("overwrite").partitionBy("run").text(path)
 
 
 def required(options: dict[str, str | None], name: str) -> str:

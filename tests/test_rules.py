@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicework.functions import media
-from sluicework.operators import events, fanout, queue, reports
+from sluicework.operators import commands, events, fanout, queue, reports
 from sluicework.operators import media as plan
 from sluicework.plans import tick
 from sluicework.sources import storage
@@ -312,3 +312,95 @@ def test_positions_and_codecs(spark):
     assert scalar(spark, media.codec_of(F.lit("HEVC"))) == "h265" and scalar(spark, media.rate_text(F.lit(30), F.lit(1))) == "30/1"
     with pytest.raises(Exception, match="unknown codec"):
         scalar(spark, media.codec_of(F.lit("theora")))
+
+
+def test_reports_are_written_and_read_again(spark, tmp_path):
+    runs = spark.createDataFrame([("a", 7, "n7.1", "slow", 5), ("b", 8, "n7.1", "fast", 1)], "run string, created_unix long, ffmpeg string, preset string, subsample int")
+    files = spark.createDataFrame(
+        [("a", "g.mp4", 2, 100, ["no_audio"], ["odd size"], 1.5), ("a", "f.mp4", 1, 200, [], [], 2.5)],
+        "run string, file string, pos int, duration_ms long, warnings array<string>, findings array<string>, encode_seconds double",
+    )
+    rungs = spark.createDataFrame([("a", "f.mp4", "360p", 1, 640, 360, 10, 100), ("a", "f.mp4", "720p", 0, 1280, 720, 10, 400)], "run string, file string, rung string, pos int, width int, height int, frames long, bytes long")
+    scores = spark.createDataFrame([("a", "f.mp4", "720p", m, v) for m, v in (("vmaf", 95.5), ("vmaf_min", 80.0), ("psnr_y", 41.0))], "run string, file string, rung string, metric string, value double")
+    storage.write_reports(reports.assemble(runs, files, rungs, scores), str(tmp_path / "r"))
+    text = next((tmp_path / "r/run=a").glob("*.txt")).read_text()
+    assert text.count("\n") > 30 and json.loads(text) == {
+        "created_unix": 7, "ffmpeg": "n7.1", "preset": "slow", "subsample": 5,
+        "entries": [
+            {"file": "f.mp4", "duration_ms": 200, "warnings": [], "encode_seconds": 2.5, "findings": [], "rungs": [
+                {"name": "720p", "width": 1280, "height": 720, "frames": 10, "bytes": 400, "scores": {"vmaf": 95.5, "vmaf_min": 80.0, "psnr_y": 41.0, "ssim": None, "ms_ssim": None, "ciede2000": None, "cambi": None}},
+                {"name": "360p", "width": 640, "height": 360, "frames": 10, "bytes": 100, "scores": None},
+            ]},
+            {"file": "g.mp4", "duration_ms": 100, "warnings": ["no_audio"], "encode_seconds": 1.5, "findings": ["odd size"], "rungs": []},
+        ],
+    }
+    rows = storage.read_reports(spark, str(tmp_path / "r/run=a"))
+    changes = reports.missing_and_added(rows, rows)
+    assert reports.diff_verdict(reports.compare(rows, rows), changes).first() == (0, 0, 0, True)
+    assert reports.compare(rows, rows).where("delta = 0").count() == 3 and [r.rung for r in reports.unscored(rows, rows).collect()] == ["360p"]
+    kept = {r.created_unix: (r.ffmpeg, r.preset, r.subsample, len(r.entries)) for r in storage.read_runs(spark, str(tmp_path / "r")).collect()}
+    assert kept == {7: ("n7.1", "slow", 5, 2), 8: ("n7.1", "fast", 1, 0)}
+    assert [r.finding for r in storage.read_findings(spark, str(tmp_path / "r/run=a")).collect()] == ["g.mp4: odd size"]
+
+
+def test_what_is_not_permitted_is_not_seen(spark):
+    from sluicework.sources import scopes
+
+    of = lambda *tenants: spark.createDataFrame([(t, i) for i, t in enumerate(tenants)], "tenant_id string, n int")
+    scopes.open_views(spark, work=of("a", "b", "b", None, ""), tenant_budgets=of("a", "b"), work_cost=of("b"))
+    counts = lambda: [spark.table(f"scoped_{t}").count() for t in scopes.TABLES]
+    assert counts() == [0, 0, 0]  # unset
+    scopes.set_scope(spark, "service")
+    assert counts() == [5, 2, 1]
+    scopes.set_scope(spark, tenant="b")
+    assert counts() == [2, 1, 1]
+    scopes.set_scope(spark, "service", "b")  # either rule permits
+    assert counts() == [5, 2, 1]
+    scopes.set_scope(spark, "tenant", "' OR '1' = '1")
+    assert counts() == [0, 0, 0]
+    scopes.set_scope(spark)
+    assert counts() == [0, 0, 0]
+    with pytest.raises(ValueError):
+        scopes.open_views(spark, other=of("a"))
+
+
+def test_requests_that_cannot_be_read(spark):
+    body = lambda **x: json.dumps(x)
+    asked = [
+        (1, "submit", None, body(tenant_id="t", dedupe_key="k", lane="bulk")), (2, "submit", None, body(tenant_id="t", dedupe_key="k", lane="bulk")), (3, "submit", None, "{"), (4, "submit", None, None),
+        (5, "submit", None, body(tenant_id="t", dedupe_key="k", lane="fast")), (6, "submit", None, body(tenant_id="u", dedupe_key="k", lane="bulk")), (7, "submit", None, body(tenant_id="s", dedupe_key="k", lane="bulk")),
+        (8, "get", "1", None), (9, "get", "2", None), (10, "finish", "1", body(state="done")), (11, "finish", "1", body(state="gone")), (12, "finish", "2", "no"), (13, "cancel", "1", None), (14, "drop", "1", None), (15, None, None, None),
+        (16, "budget", "t", body(max_concurrent_tasks=1, rate_limit_per_min=0)), (17, "budget", "t", body(max_concurrent_tasks=-1, rate_limit_per_min=0)), (18, "budget", "t", body(max_concurrent_tasks="many", rate_limit_per_min=0)),
+    ]
+    requests = spark.createDataFrame(asked, "seq long, verb string, target string, body string")
+    budgets = spark.createDataFrame([("t", 1.0, False), ("s", 1.0, True)], "tenant_id string, fairness_weight double, suspended boolean")
+    got = {r.seq: r.status for r in commands.answered(requests, spark.createDataFrame([("1", "running")], "work_id string, state string"), budgets).collect()}
+    assert got == {1: 201, 2: 200, 3: 400, 4: 400, 5: 400, 6: 422, 7: 403, 8: 200, 9: 404, 10: 200, 11: 400, 12: 400, 13: 200, 14: 400, 15: 400, 16: 204, 17: 400, 18: 400}
+
+
+@pytest.mark.parametrize(("most", "n", "known", "kind"), [(3, 50_000, 20_000, "bands"), (16, 300, 200, "blocks"), (10, 10**9, 10**5, "bands"), (40, 10**9, 10**6, "blocks")])
+def test_bands_follow_distance_and_size(most, n, known, kind):
+    bands = plan.band_plan(64, most, n, known)
+    assert (bands is None) == (kind == "blocks")
+    if bands:
+        widths, radii = zip(*bands, strict=True)
+        # Two hashes that differ in ``most`` bits cannot differ in more than the radius in every band.
+        assert sum(widths) == 64 and sum(r + 1 for r in radii) == most + 1 and plan.pair_share(bands) < 0.02
+
+
+@pytest.mark.parametrize("plan_of", ["bands", "blocks", "small blocks"])
+def test_every_plan_finds_the_same_matches(spark, monkeypatch, plan_of):
+    rng = random.Random(11)
+    known = [rng.getrandbits(56) for _ in range(60)]
+    samples = [k ^ sum(1 << b for b in rng.sample(range(56), rng.randint(0, 14))) for k in known for _ in range(4)] + [rng.getrandbits(56) for _ in range(100)]
+    a = spark.createDataFrame(list(enumerate(samples)), "sample_id long, phash long")
+    b = spark.createDataFrame([*enumerate(known), (60, known[5])], "pos long, known long")
+    monkeypatch.setattr(plan, "band_plan", (lambda width, most, *_: plan.bands_of(width, most, 4)) if plan_of == "bands" else lambda *_: None)
+    monkeypatch.setattr(plan, "BLOCK", 7 if plan_of == "small blocks" else plan.BLOCK)
+    got = {r.sample_id: (r.distance, r.known) for r in plan.blocklist_match(a, b, 10).collect()}
+    want = {}
+    for i, x in enumerate(samples):
+        d, at = min(((x ^ k).bit_count(), pos) for pos, k in enumerate(known))
+        if d <= 10:
+            want[i] = (d, known[at])
+    assert got == want and len(got) > 100
