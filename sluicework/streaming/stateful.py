@@ -220,3 +220,48 @@ def recent_admissions(admissions: DataFrame, window_seconds: float = 60, late_se
     processor = _Recent(round(window_seconds * 1e6), round(late_seconds * 1e6))
     counted = rows.groupBy("tenant_id").transformWithStateInPandas(processor, "tenant_id string, at long, recent long", "Update", "None")
     return counted.select("tenant_id", F.timestamp_micros("at").cast(admissions.schema["admitted_at"].dataType).alias("admitted_at"), "recent")
+
+
+class _Publish(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.version = handle.getValueState("version", "n long")
+        self.parts = handle.getMapState("parts", "rung string, chunk_index int", "part string")
+        self.landed = handle.getMapState("landed", "rung string", "n int, complete boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        version, out = (self.version.get()[0] if self.version.exists() else 0), []
+        for rung, mine in pd.concat(rows).groupby("rung", sort=True):
+            n, complete = self.landed.getValue((rung,)) if self.landed.containsKey((rung,)) else (0, False)
+            if complete:  # parts that land again
+                continue
+            for r in mine.itertuples(index=False):
+                place = (rung, int(r.chunk_index))
+                if not self.parts.containsKey(place):
+                    self.parts.updateValue(place, (r.part,))
+                    n += 1
+            complete = n >= int(mine["chunks"].max())
+            self.landed.updateValue((rung,), (n, complete))
+            if complete:
+                found = sorted((k[1], v[0]) for k, v in self.parts.iterator() if k[0] == rung)
+                version += 1
+                out.append((key[0], version, rung, [part for _, part in found]))
+                for chunk, _ in found:
+                    self.parts.removeKey((rung, chunk))
+        self.version.update((version,))
+        yield pd.DataFrame(out, columns=["source", "version", "rung", "parts"])
+
+
+def publish(expected: DataFrame, landed: DataFrame, late: str = "10 minutes", horizon: str = "1 day") -> DataFrame:
+    """(source, version, rung, parts): an asset's manifest as it grows, a version for each rung whose last part has landed.
+
+    Streams: expected (source, rung, chunk_index, part, chunks, planned_at), ``chunks`` being how many a rung has, and landed
+    (source, rung, chunk_index, landed_at). A part counts that lands within ``horizon`` of its plan, in whichever order the two
+    come; parts that land twice count once. After the last part the versions hold what ``fanout.join_parts`` gives.
+    """
+    kind = expected.schema["source"].dataType.simpleString()
+    plans = expected.withColumn("planned_at", F.col("planned_at").cast("timestamp")).withWatermark("planned_at", late).alias("e")
+    parts = landed.withColumn("landed_at", F.col("landed_at").cast("timestamp")).withWatermark("landed_at", late).alias("l")
+    keys = [F.col(f"e.{c}") == F.col(f"l.{c}") for c in ("source", "rung", "chunk_index")]
+    in_time = (F.col("landed_at") >= F.col("planned_at")) & (F.col("landed_at") <= F.col("planned_at") + F.expr(f"INTERVAL {horizon}"))
+    met = plans.join(parts, keys[0] & keys[1] & keys[2] & in_time).select("e.source", "e.rung", F.col("e.chunk_index").cast("int").alias("chunk_index"), "e.part", F.col("e.chunks").cast("int").alias("chunks"))
+    return met.groupBy("source").transformWithStateInPandas(_Publish(), f"source {kind}, version long, rung string, parts array<string>", "Append", "None")

@@ -183,3 +183,42 @@ def test_ticks_of_the_queue(spark, sf_dir, tmp_path):
     grants = spark.createDataFrame([(lane, 40) for lane in {r[0] for r in rows}], "lane string, grant long")
     want = {(r.lane, r.tenant_id): r["take"] for r in queue.fair_share(found, grants, queue.no_credits(found)).collect()}
     assert {(r.lane, r.tenant_id): r["take"] for r in feed.rows().collect()} == want and sum(want.values()) > 0
+
+
+def test_a_manifest_grows_with_each_rung(spark, sf_dir, tmp_path):
+    from sluicework.operators import fanout
+    from sluicework.plans.queries import QUERIES
+
+    jobs = QUERIES["chunk_rung_jobs"](spark, sf_dir).where("source < 25")
+    want = {(r.source, r.rung): r.parts for r in fanout.join_parts(jobs).collect()}
+    rows = [(r.source, r.rung, r.chunk_index, r.part, len(want[r.source, r.rung]), START) for r in jobs.collect()]
+    rng = random.Random(3)
+    landed = [(s, rung, i, at(rng.randrange(1, 3000))) for s, rung, i, *_ in rows]
+    rng.shuffle(landed)
+    (tmp_path / "landed").mkdir()
+    other = Feed(spark, tmp_path / "landed", "source long, rung string, chunk_index int, landed_at timestamp", None)
+
+    def operator(stream):
+        parts = spark.readStream.schema(other.schema).parquet(str(other.path / "in"))
+        return stateful.publish(stream, parts, late="1 hour")
+
+    feed = Feed(spark, tmp_path, "source long, rung string, chunk_index int, part string, chunks int, planned_at timestamp", operator)
+    feed.run = lambda: _append(feed)
+    feed.add(rows[: len(rows) // 2])
+    for k in range(2):
+        other.add(landed[k::2][: len(landed) // 3] if k == 0 else [*landed[k::2], *landed[0::2][len(landed) // 3 :], *landed[:9]])
+        if k:
+            feed.add(rows[len(rows) // 2 :])
+        feed.run()
+    got = feed.rows().collect()
+    assert {(r.source, r.rung): r.parts for r in got} == want and len(got) == len(want) > 20
+    for s in {r.source for r in got}:
+        versions = sorted(r.version for r in got if r.source == s)
+        assert versions == list(range(1, len(versions) + 1))
+
+
+def _append(feed):
+    stream = feed.spark.readStream.schema(feed.schema).parquet(str(feed.path / "in"))
+    writer = feed.operator(stream).writeStream.outputMode("append").option("checkpointLocation", str(feed.path / "checkpoint")).trigger(availableNow=True)
+    q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(feed.path / "out" / f"n={n}"))).start()
+    assert q.awaitTermination(200) and q.exception() is None
