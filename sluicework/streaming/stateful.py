@@ -7,7 +7,9 @@ never stopped. Late and repeated rows are told by their number or time.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import json
 import math
 from collections.abc import Iterator
 
@@ -265,3 +267,63 @@ def publish(expected: DataFrame, landed: DataFrame, late: str = "10 minutes", ho
     in_time = (F.col("landed_at") >= F.col("planned_at")) & (F.col("landed_at") <= F.col("planned_at") + F.expr(f"INTERVAL {horizon}"))
     met = plans.join(parts, keys[0] & keys[1] & keys[2] & in_time).select("e.source", "e.rung", F.col("e.chunk_index").cast("int").alias("chunk_index"), "e.part", F.col("e.chunks").cast("int").alias("chunks"))
     return met.groupBy("source").transformWithStateInPandas(_Publish(), f"source {kind}, version long, rung string, parts array<string>", "Append", "None")
+
+
+class _Submissions(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.version = handle.getValueState("version", "n long, last long")
+        self.budgets = handle.getMapState("budgets", "seq long", "suspended boolean")
+        self.items = handle.getMapState("items", "dedupe_key string", "items string")
+
+    @staticmethod
+    def outcomes(items: list, seqs: list, suspended: list) -> list:
+        """Items (seq, id, outcome) of one key with the outcome that each has by the budgets in force."""
+        first, out = True, []
+        for seq, name, _ in sorted(items):
+            at = bisect.bisect_right(seqs, seq) - 1
+            if at < 0 or suspended[at]:
+                outcome = "no_budget" if at < 0 else "suspended"
+            else:
+                outcome, first = "created" if first else "existing", False
+            out.append([seq, name, outcome])
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(rows)
+        version, last = self.version.get() if self.version.exists() else (0, -1)
+        changes, new = frame[frame["id"].isna()], frame[frame["id"].notna()]
+        for r in changes.itertuples(index=False):
+            self.budgets.updateValue((int(r.seq),), (bool(r.suspended),))
+        held = sorted((int(k[0]), v[0]) for k, v in self.budgets.iterator())
+        seqs, suspended = [s for s, _ in held], [x for _, x in held]
+        touched = {k: [[int(x), i, None] for x, i in zip(g["seq"], g["id"], strict=True)] for k, g in new.groupby("dedupe_key")}
+        if len(changes) and changes["seq"].min() <= last:  # a change that comes after submissions it holds for
+            touched |= {k[0]: [] for k in self.items.keys() if k[0] not in touched}
+        out = []
+        for k, more in touched.items():
+            before = json.loads(self.items.getValue((k,))[0]) if self.items.containsKey((k,)) else []
+            known = {(seq, name) for seq, name, _ in before}
+            now = self.outcomes(before + [x for x in more if (x[0], x[1]) not in known], seqs, suspended)
+            if now != before:
+                self.items.updateValue((k,), (json.dumps(now),))
+                told = {(seq, name): outcome for seq, name, outcome in before}
+                out += [(key[0], name, seq, outcome, version + 1) for seq, name, outcome in now if told.get((seq, name)) != outcome]
+        self.version.update((version + 1, max(last, int(new["seq"].max())) if len(new) else last))
+        yield pd.DataFrame(out, columns=["tenant_id", "id", "seq", "outcome", "version"])
+
+
+def submit_outcomes(submissions: DataFrame, budgets: DataFrame, buckets: int = 64) -> DataFrame:
+    """(tenant_id, id, seq, outcome, version): what each submission of a stream (id, tenant_id, dedupe_key, seq) comes to by the changes
+    of a stream (tenant_id, seq, suspended), as in ``events.admitted_submissions``.
+
+    Rows come in any order and any batches. A row that changes what was told before, such as a late change of a budget, gives a
+    new row with a larger version; the last one of each submission holds. A submission that comes again changes nothing. The keys of a tenant
+    are dealt to ``buckets``, each with the tenant's changes, so a large tenant is many tasks; a late change costs
+    a pass over the keys of its tenant.
+    """
+    word = F.coalesce(F.concat(F.lit("="), "dedupe_key"), F.lit(""))
+    rows = submissions.select("tenant_id", F.pmod(F.xxhash64("dedupe_key"), F.lit(buckets)).cast("int").alias("bucket"), "seq", "id", word.alias("dedupe_key"), F.lit(None).cast("boolean").alias("suspended"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    changes = budgets.select("tenant_id", spread.alias("bucket"), "seq", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("dedupe_key"), "suspended")
+    schema = "tenant_id string, id string, seq long, outcome string, version long"
+    return rows.unionByName(changes).groupBy("tenant_id", "bucket").transformWithStateInPandas(_Submissions(), schema, "Update", "None")

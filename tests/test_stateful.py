@@ -217,6 +217,33 @@ def test_a_manifest_grows_with_each_rung(spark, sf_dir, tmp_path):
         assert versions == list(range(1, len(versions) + 1))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_submissions_in_any_batches(spark, tmp_path, seed):
+    """Rows and budget changes in any order, some twice, restarted between batches: the last answers are those of the table."""
+    from sluicework.operators import events
+
+    rng = random.Random(seed)
+    schema = "kind string, id string, tenant_id string, dedupe_key string, seq long, suspended boolean"
+    subs = [("s", f"i{n}", f"t{rng.randrange(4)}", rng.choice([None, "", *"abcdefgh"]), n * 10, None) for n in range(120)]
+    changes = [("b", None, f"t{t}", None, seq, rng.random() < 0.4) for t in range(3) for seq in [5 if t else 333, *rng.sample(range(7, 1200, 10), 3)]]
+    rows = subs + changes
+    rng.shuffle(rows)
+
+    def operator(stream):
+        return stateful.submit_outcomes(stream.where("kind = 's'").select("id", "tenant_id", "dedupe_key", "seq"), stream.where("kind = 'b'").select("tenant_id", "seq", "suspended"), 3)
+
+    feed = Feed(spark, tmp_path, schema, operator)
+    for a, b in ((0, 20), (20, 90), (80, len(rows))):
+        feed.add(rows[a:b])
+        feed.run()
+    told = events.latest_wins(feed.rows().select("id", "outcome", "version"), ["id"], "version")
+    table = spark.createDataFrame(rows, schema)
+    history = table.where("kind = 'b'").select("tenant_id", "seq", "suspended", F.lit(1.0).alias("fairness_weight"))
+    want = events.admitted_submissions(table.where("kind = 's'").select("id", "tenant_id", "dedupe_key", "seq"), history)
+    assert {r.id: r.outcome for r in told.collect()} == {r.id: r.outcome for r in want.collect()}
+    assert len({r.outcome for r in want.select("outcome").collect()}) == 4
+
+
 def _append(feed):
     stream = feed.spark.readStream.schema(feed.schema).parquet(str(feed.path / "in"))
     writer = feed.operator(stream).writeStream.outputMode("append").option("checkpointLocation", str(feed.path / "checkpoint")).trigger(availableNow=True)
