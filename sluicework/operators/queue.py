@@ -176,7 +176,8 @@ def claim(work: DataFrame, takes: DataFrame, parts: int | None = None) -> DataFr
     for keys in (("lane", "tenant_id", "_sw_part"), ("lane", "tenant_id")):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         rows = rows.withColumn("claim_rank", place).where(F.col("claim_rank") <= F.col("take"))
-    return rows.drop("take", "_sw_part")
+    # Slots bound these rows, so their order costs little.
+    return rows.drop("take", "_sw_part").orderBy(*order)
 
 
 def stalled(work: DataFrame, as_of: Column, older_than_seconds: float) -> DataFrame:

@@ -68,7 +68,7 @@ def diff_verdict(compared: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def conform_findings(reports: DataFrame, body: str = "report") -> DataFrame:
-    """(…, severity, section, message) from reports in JSON: every ``test`` array at any depth, worst first in each report.
+    """(…, severity, section, message, place) from reports in JSON: every ``test`` array at any depth; ``place`` tells their order.
 
     Only the walk for those arrays is Python, on Arrow batches: depth is open, and a recursive query has a limit of rows.
     """
@@ -77,11 +77,11 @@ def conform_findings(reports: DataFrame, body: str = "report") -> DataFrame:
     failed = tests.where(~F.coalesce(F.col("state") == "PASS", F.lit(False)))
     section = F.array_join(F.filter(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("spec", "section", "test")]), lambda x: x != ""), " / ")
     # An entry without messages is one error.
-    said = failed.select(*keys, section.alias("section"), F.explode(F.coalesce("messages", F.array(F.lit("failed")))).alias("m")).where(F.col("m").isNotNull())
+    said = failed.select(*keys, "place", section.alias("section"), F.posexplode(F.coalesce("messages", F.array(F.lit("failed")))).alias("i", "m")).where(F.col("m").isNotNull())
     mark = F.substring("m", 1, 1)
     severity = F.when(mark == "✗", "error").when(mark == "!", "warning").when(mark == "✓", None).otherwise("error")
     text = F.trim(F.when(mark.isin("✗", "!"), F.expr("substring(m, 2)")).otherwise(F.col("m")))
-    return said.select(*keys, severity.alias("severity"), "section", text.alias("message")).where(F.col("severity").isNotNull() & (F.col("message") != ""))
+    return said.select(*keys, severity.alias("severity"), "section", text.alias("message"), (F.shiftleft("place", 32) + F.col("i")).alias("place")).where(F.col("severity").isNotNull() & (F.col("message") != ""))
 
 
 def conform_verdict(reports: DataFrame, body: str = "report") -> DataFrame:
@@ -96,20 +96,28 @@ def conform_verdict(reports: DataFrame, body: str = "report") -> DataFrame:
 
 
 def _test_entries(node) -> Iterator[dict]:
-    """Entries of the ``test`` arrays below a JSON value; nothing inside such an array is looked at again."""
-    if isinstance(node, dict):
-        for key, child in node.items():
-            if key == "test" and isinstance(child, list):
-                yield from (x if isinstance(x, dict) else {} for x in child)
-            else:
-                yield from _test_entries(child)
-    elif isinstance(node, list):
-        for child in node:
-            yield from _test_entries(child)
+    """Entries of the ``test`` arrays below a JSON value, in their order; nothing inside such an array is looked at again."""
+    waiting = [(None, node)]
+    while waiting:
+        key, node = waiting.pop()
+        if key == "test" and isinstance(node, list):
+            yield from (x if isinstance(x, dict) else {} for x in node)
+        elif isinstance(node, dict):
+            waiting += reversed(node.items())
+        elif isinstance(node, list):
+            waiting += ((None, child) for child in reversed(node))
+
+
+def _parsed(report: str):
+    try:
+        return json.loads(report)
+    except RecursionError:
+        raise ValueError("a report is nested too deeply to be read") from None
 
 
 def conform_tests(reports: DataFrame, body: str = "report") -> DataFrame:
-    """The entries of all ``test`` arrays: (…, spec, section, test, state, messages). A report that is not JSON is an error."""
+    """The entries of all ``test`` arrays: (…, spec, section, test, state, messages, place). A report that is not JSON, or
+    is nested deeper than the parser reads (thousands of levels), is an error that says so."""
     keys = [f for f in reports.schema if f.name != body]
     text = lambda x: x if isinstance(x, str) else None
 
@@ -117,16 +125,16 @@ def conform_tests(reports: DataFrame, body: str = "report") -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, report in enumerate(batch.column(len(keys)).to_pylist()):
-                for t in _test_entries(json.loads(report)) if report is not None else ():
+                for place, t in enumerate(_test_entries(_parsed(report)) if report is not None else ()):
                     said = t.get("messages")
                     at.append(i)
-                    rows.append([*(text(t.get(c)) for c in ("spec", "section", "test", "state")), [m for m in said if isinstance(m, str)] if isinstance(said, list) else None])
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                    rows.append([*(text(t.get(c)) for c in ("spec", "section", "test", "state")), [m for m in said if isinstance(m, str)] if isinstance(said, list) else None, place])
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
             kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(keys))]
-            values = [*(pa.array(c, pa.string()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*kept, *values], [*(f.name for f in keys), "spec", "section", "test", "state", "messages"])
+            values = [*(pa.array(c, pa.string()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.string())), pa.array(columns[5], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept, *values], [*(f.name for f in keys), "spec", "section", "test", "state", "messages", "place"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "spec string, section string, test string, state string, messages array<string>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "spec string, section string, test string, state string, messages array<string>, place long"])
     return reports.select(*[F.col(f.name) for f in keys], body).mapInArrow(read, schema)
 
 
@@ -135,7 +143,8 @@ def at_least(findings: DataFrame, severity: str) -> DataFrame:
 
 
 def worst_first(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(model.rank(F.col("severity"), model.SEVERITIES), "section", "message")
+    """The worst first, then by section, and what is left equal in the order of its report."""
+    return findings.orderBy(model.rank(F.col("severity"), model.SEVERITIES), "section", "place")
 
 
 def vmaf_metrics(reports: DataFrame, body: str = "report") -> DataFrame:

@@ -120,6 +120,21 @@ def fair_share_tick(spark, d):
     return _shared(spark, d).where(F.col("take") >= 0).join(_grants(spark, d).where(F.col("grant") > 0).select("lane"), "lane", "left_semi").withColumn("credit", F.round("credit", 6))
 
 
+CARRIED = FAIR.replace("AS slots FROM candidates c JOIN grants g ON g.lane = c.lane WHERE", "AS slots, CASE WHEN CAST(tenant_id AS INTEGER) % 3 <> 0 THEN (CAST(tenant_id AS INTEGER) % 5 - 2) / CAST(4 AS DOUBLE) ELSE 0 END AS had FROM candidates c JOIN grants g ON g.lane = c.lane WHERE")
+CARRIED = CARRIED.replace("slots * weight / sum(weight)", "had + slots * weight / sum(weight)").replace("least(CAST(floor(credit) AS BIGINT), ceiling)", "least(greatest(CAST(floor(credit) AS BIGINT), 0), ceiling)")
+
+
+@query(f"WITH {WORK}, {CANDIDATES}, {FLEET}, {GRANTS}, {CARRIED} SELECT lane, tenant_id, take, round(credit, 6) AS credit FROM shared")
+def fair_share_carried(spark, d):
+    """A tick whose lanes carry credits, some below zero, from those before."""
+    key = F.col("tenant_id").cast("int")
+    lanes = F.explode(F.array(*map(F.lit, model.LANES)))
+    had = p.budgets(spark, d).where(key % 3 != 0).select(lanes.alias("lane"), "tenant_id", ((key % 5 - 2) / 4).alias("credit"))
+    waiting, grants = _candidates(spark, d), _grants(spark, d)
+    turns = waiting.join(grants.where(F.col("grant") > 0).select("lane"), "lane", "left_semi").select("lane", "tenant_id")
+    return queue.fair_share(waiting, grants, had).join(turns, ["lane", "tenant_id"], "left_semi").withColumn("credit", F.round("credit", 6))
+
+
 @query(f"""WITH {WORK}, {CANDIDATES}, {FLEET}, {GRANTS}, {FAIR}, r AS (
   SELECT w.*, take, row_number() OVER (PARTITION BY w.lane, w.tenant_id ORDER BY priority_key, created_at, id) AS claim_rank
   FROM w JOIN shared s ON s.lane = w.lane AND s.tenant_id = w.tenant_id WHERE state = 'pending' AND take > 0)
@@ -465,7 +480,7 @@ def encode_settings(spark, d):
   SELECT user_id, CASE WHEN substr(m, 1, 1) = '✗' THEN 'error' WHEN substr(m, 1, 1) = '!' THEN 'warning' ELSE 'error' END AS severity, 'S / ' || event_type AS section, trim(CASE WHEN substr(m, 1, 1) IN ('✗', '!') THEN substr(m, 2) ELSE m END) AS message
   FROM o WHERE substr(m, 1, 1) <> '✓' AND event_id % 2 = 0""")
 def conform_findings(spark, d):
-    return reports.conform_findings(_reports(spark, d)).drop("part")
+    return reports.conform_findings(_reports(spark, d)).drop("part", "place")
 
 
 def _reports(spark, d):
@@ -489,7 +504,7 @@ def conform_verdicts(spark, d):
 @query("""WITH o AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'error' THEN '✗ broken ' || event_id WHEN 'click' THEN '! odd ' || event_id WHEN 'view' THEN '✓ fine' ELSE ' plain ' || event_id || ' ' END AS m FROM events)
   SELECT user_id, 'S / ' || event_type AS section, trim(CASE WHEN substr(m, 1, 1) = '✗' THEN substr(m, 2) ELSE m END) AS message FROM o WHERE event_type NOT IN ('click', 'view') AND event_id % 2 = 0""")
 def conform_errors(spark, d):
-    return reports.worst_first(reports.at_least(conform_findings(spark, d), "error")).select("user_id", "section", "message")
+    return reports.worst_first(reports.at_least(reports.conform_findings(_reports(spark, d)), "error")).select("user_id", "section", "message")
 
 
 HISTORY = """hist AS (SELECT CAST(n_nationkey AS VARCHAR) AS tenant_id, 0 AS from_seq, n_nationkey % 7 = 0 AS suspended FROM nation WHERE n_nationkey % 5 <> 4

@@ -28,11 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length, modified) of the files of a folder, without hidden ones."""
+def listing(spark: SparkSession, root: str, pattern: str = "*", extensions: list[str] | None = None) -> DataFrame:
+    """(path, name, length, modified) of the files of a folder in the order of their paths, without hidden ones; with ``extensions``
+    only those that have one of them, as it is spelled."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
-    named = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return named.where(~F.startswith("name", F.lit("."))).select("path", "name", "length", "modified")
+    named = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(~F.startswith("name", F.lit(".")))
+    if extensions is not None:
+        named = named.where(F.regexp_extract("name", r".\.([^.]+)$", 1).isin([e.lstrip(".") for e in extensions]))
+    return named.select("path", "name", "length", "modified").orderBy("path")
 
 
 def landed(listed: DataFrame) -> DataFrame:

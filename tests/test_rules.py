@@ -404,3 +404,25 @@ def test_every_plan_finds_the_same_matches(spark, monkeypatch, plan_of):
         if d <= 10:
             want[i] = (d, known[at])
     assert got == want and len(got) > 100
+
+
+def test_deep_reports(spark):
+    test = {"test": [{"spec": "S", "test": f"t{i}", "state": "FAIL", "messages": [f"✗ {i}"]} for i in range(2)], "x": [{"test": [{"test": "later"}]}]}
+    deep = "[" * 900 + json.dumps(test) + "]" * 900
+    rows = spark.createDataFrame([(1, deep)], "id int, report string")
+    assert [r.test for r in reports.conform_tests(rows).collect()] == ["t0", "t1", "later"]
+    with pytest.raises(Exception, match="nested too deeply"):
+        reports.conform_tests(spark.createDataFrame([(1, "[" * 100_000 + "]" * 100_000)], "id int, report string")).collect()
+
+
+def test_findings_keep_the_order_of_their_report(spark):
+    tests = [{"spec": "Z", "state": "FAIL", "messages": ["! later", "✗ b", "✗ a"]}, {"spec": "A", "state": "FAIL", "messages": ["✗ c"]}]
+    rows = spark.createDataFrame([(json.dumps({"test": tests}),)], "report string")
+    assert [(r.severity, r.message) for r in reports.worst_first(reports.conform_findings(rows)).collect()] == [("error", "c"), ("error", "b"), ("error", "a"), ("warning", "later")]
+
+
+def test_listings_are_in_order(spark, tmp_path):
+    for name in ("b.MP4", "a.mkv", "c.txt", ".d.mp4", "mp4", "e.tar.mov"):
+        (tmp_path / name).write_text("x")
+    assert [r.name for r in storage.listing(spark, str(tmp_path), extensions=["mp4", ".mkv", "mov"]).collect()] == ["a.mkv", "e.tar.mov"]
+    assert [r.name for r in storage.listing(spark, str(tmp_path)).collect()] == ["a.mkv", "b.MP4", "c.txt", "e.tar.mov", "mp4"]
