@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*", extensions: list[str] | None = None) -> DataFrame:
     """(path, name, length, modified) of the files of a folder in the order of their paths, without hidden ones; with ``extensions``
     only those that have one of them, as it is spelled."""

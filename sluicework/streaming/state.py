@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sluicework import model
 from sluicework.operators import queue
 from sluicework.plans import tick
+from sluicework.sources import storage
 
 #: event -> (states it fits, state it leads to); None is the state before the first event.
 MOVES = {
@@ -52,13 +53,31 @@ def lane_counts(submissions: DataFrame, window: str = "1 minute", late: str = "1
 
 
 class Admission:
-    """A single writer that ticks once per micro-batch: new submissions join the table, then slots are given out."""
+    """A single writer that ticks once per micro-batch: new submissions join the table, then slots are given out.
 
-    def __init__(self, budgets: DataFrame, as_of: Callable[[int], Column], config: tick.Config, cut: Callable[[DataFrame], DataFrame]):
-        self.budgets, self.as_of, self.config, self.cut = budgets, as_of, config, cut
+    With ``path``, a folder that driver and executors share, every batch leaves a version of the work and the credits there, and then
+    a mark that the version is whole. An admission that is made anew goes on from the last whole version: a batch that it finished is not
+    done twice, and one that was cut off is done again from the version before. Versions before the last two are removed.
+    """
+
+    def __init__(self, budgets: DataFrame, as_of: Callable[[int], Column], config: tick.Config, cut: Callable[[DataFrame], DataFrame], path: str | None = None):
+        self.budgets, self.as_of, self.config, self.cut, self.path = budgets, as_of, config, cut, path
         self.work: DataFrame | None = None
         self.credits: DataFrame | None = None
         self.done = -1
+        spark = budgets.sparkSession
+        if path and storage.exists(spark, f"{path}/whole"):
+            self.done = spark.read.parquet(f"{path}/whole").agg(F.max("number")).first()[0]
+            self.work, self.credits = (spark.read.parquet(self._place(self.done, t)) for t in ("work", "credits"))
+
+    def _place(self, number: int, table: str) -> str:
+        return f"{self.path}/{number:010d}/{table}"
+
+    def _kept(self, df: DataFrame, number: int, table: str) -> DataFrame:
+        if self.path is None:
+            return self.cut(df)
+        df.write.mode("overwrite").parquet(self._place(number, table))
+        return df.sparkSession.read.schema(df.schema).parquet(self._place(number, table))
 
     def batch(self, new: DataFrame, number: int) -> None:
         if number <= self.done:  # a batch that is delivered again
@@ -66,7 +85,12 @@ class Admission:
         work = self.cut(new if self.work is None else self.work.unionByName(new))
         credits = queue.no_credits(work) if self.credits is None else self.credits
         work, credits = tick.tick(work, self.budgets, credits, self.as_of(number), number + 1, self.config, self.cut)
-        self.work, self.credits, self.done = work, self.cut(credits), number
+        self.work, self.credits = self._kept(work, number, "work"), self._kept(credits, number, "credits")
+        self.done = number
+        if self.path is not None:
+            spark = work.sparkSession
+            spark.range(1).select(F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("append").parquet(f"{self.path}/whole")
+            storage.remove(spark, f"{self.path}/{number - 2:010d}")
 
     def start(self, submissions: DataFrame) -> DataStreamWriter:
         return submissions.writeStream.foreachBatch(self.batch)

@@ -34,3 +34,26 @@ def test_admission_stream_and_windows(spark, sf_dir, tmp_path):
     assert writer.work.where(F.col("state") == "running").count() == 20 and writer.work.count() == 200
     drained(lane_counts(stream, "365 days").writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "lanes"))), tmp_path, "lanes")
     assert spark.read.parquet(str(tmp_path / "lanes")).agg(F.sum("submitted")).first()[0] == 200
+
+
+def test_admission_goes_on_after_a_restart(spark, sf_dir, tmp_path):
+    rows = p.work(spark, sf_dir).where("state = 'pending'").limit(120).repartition(3).cache()
+    budgets, config = p.budgets(spark, sf_dir), tick.Config(total_slots=15, rate_window="1 DAY")
+    parts = [rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i) for i in range(3)]
+    at = lambda n: p.as_of() + F.make_interval(days=F.lit(2 * n))
+    unbroken = Admission(budgets, at, config, cut)
+    for i, part in enumerate(parts):
+        unbroken.batch(part, i)
+    path = f"file://{tmp_path}/state"
+    for i, part in enumerate(parts):
+        broken = Admission(budgets, at, config, cut, path)  # a new process each time
+        assert broken.done == i - 1
+        if i == 1:  # cut off in the middle of a batch: a version without its mark
+            part.write.parquet(f"{path}/{1:010d}/work")
+        broken.batch(part, i)
+        broken.batch(part, i)
+    got, want = (sorted((r.id, r.state, r.attempts) for r in x.work.collect()) for x in (broken, unbroken))
+    assert got == want and len(got) == 120 and sum(s == "running" for _, s, _ in got) >= 15
+    credits = [sorted((r.lane, r.tenant_id, round(r.credit, 9)) for r in x.credits.collect()) for x in (broken, unbroken)]
+    assert credits[0] == credits[1]
+    assert not (tmp_path / f"state/{0:010d}").exists() and (tmp_path / f"state/{1:010d}").exists()
