@@ -1,4 +1,6 @@
-"""python -m sluicework: query NAME SF_DIR | compare BEFORE AFTER | conform REPORT | list. Exit code 1: a check failed."""
+"""python -m sluicework: list | query NAME SF_DIR | ladder PROBES | split KEYFRAMES | verify RENDITIONS | answer REQUESTS STATE BUDGETS | compare BEFORE AFTER | conform REPORT.
+
+ladder, split, verify and answer read files of JSON lines. Exit code 1: a check failed."""
 
 from __future__ import annotations
 
@@ -8,10 +10,22 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.operators import reports
+from sluicework.operators import commands, media, reports
 from sluicework.plans.queries import QUERIES
 from sluicework.sources.storage import read_reports
 
+#: Columns of the files that commands read.
+FILES = {
+    "probes": "source string, width long, height long, bit_rate long, rotation int, sar_num long, sar_den long",
+    "keyframes": "source string, duration_ms long, ms long",
+    "renditions": "asset string, pos int, name string, frame_count long, duration_ms long, keyframes array<long>, warnings array<string>, fps double",
+    "requests": "seq long, verb string, target string, body string", "state": "work_id string, state string", "budgets": "tenant_id string, fairness_weight double, suspended boolean",
+}
+COMMANDS = {
+    "list": [], "query": ["name", "sf_dir"], "ladder": ["probes"], "split": ["keyframes"], "verify": ["renditions"], "answer": ["requests", "state", "budgets"],
+    "compare": ["before", "after"], "conform": ["report"],
+}
+
 
 def _show(df: DataFrame, as_json: bool) -> None:
     """All rows, one a line, as they come in."""
@@ -24,9 +38,9 @@ def _show(df: DataFrame, as_json: bool) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sluicework", description=__doc__)
     parser.add_argument("--json", action="store_true")
-    commands = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"query": ["name", "sf_dir"], "compare": ["before", "after"], "conform": ["report"], "list": []}.items():
-        one = commands.add_parser(name)
+    parsers = parser.add_subparsers(dest="command", required=True)
+    for name, args in COMMANDS.items():
+        one = parsers.add_parser(name)
         for a in args:
             one.add_argument(a)
     asked = parser.parse_args(argv)
@@ -37,6 +51,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if asked.command == "query":
         _show(QUERIES[asked.name](spark, asked.sf_dir), asked.json)
         return 0
+    read = {name: spark.read.schema(FILES[name]).json(getattr(asked, name)) for name in COMMANDS[asked.command] if name in FILES}
+    if asked.command == "ladder":
+        _show(media.ladder_plan(read["probes"]).orderBy("source", "pos"), asked.json)
+        return 0
+    if asked.command == "split":
+        _show(media.split_keyframes(read["keyframes"]).orderBy("source", "chunk_index"), asked.json)
+        return 0
+    if asked.command == "answer":
+        _show(commands.answered(read["requests"], read["state"], read["budgets"]).orderBy("seq"), asked.json)
+        return 0
+    if asked.command == "verify":
+        findings = media.verify(read["renditions"])
+        _show(findings.orderBy("asset", "name", "problem"), asked.json)
+        return int(not findings.isEmpty())
     if asked.command == "compare":
         before, after = read_reports(spark, asked.before), read_reports(spark, asked.after)
         diff, changes = reports.compare(before, after), reports.missing_and_added(before, after)

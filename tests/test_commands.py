@@ -60,3 +60,25 @@ def test_command_line(spark, tmp_path, sf_dir, capsys):
     assert main(["conform", path("pass")], spark) == 0 and main(["conform", path("none")], spark) == 1
     assert main(["--json", "query", "lane_grants", sf_dir], spark) == 0 and main(["list"], spark) == 0
     assert "realtime" in capsys.readouterr().out
+
+
+def test_commands_on_files(spark, tmp_path, capsys):
+    def file(name, *rows):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+        return str(tmp_path / name)
+
+    def said(*argv):
+        code = main(["--json", *argv], spark)
+        return code, [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+
+    code, rows = said("ladder", file("p", {"source": "a", "width": 1920, "height": 1080, "rotation": 0, "sar_num": 1, "sar_den": 1}))
+    assert code == 0 and [(r["rung"], r["width"], r["height"]) for r in rows][:2] == [("1080p", 1920, 1080), ("720p", 1280, 720)] and len(rows) == 4
+    code, rows = said("split", file("k", *({"source": "a", "duration_ms": 600_000, "ms": i * 2000} for i in range(300))))
+    assert code == 0 and len(rows) == 60 and rows[-1]["end_ms"] == 600_000
+    good = {"asset": "x", "pos": 1, "name": "720p", "frame_count": 240, "duration_ms": 8000, "keyframes": [0], "warnings": [], "fps": 30.0}
+    assert said("verify", file("v", good, good | {"pos": 2, "name": "480p"})) == (0, [])
+    code, rows = said("verify", file("v", good, good | {"pos": 2, "name": "480p", "frame_count": 210}))
+    assert code == 1 and [(r["name"], r["problem"], r["expected"], r["actual"]) for r in rows] == [("480p", "frame_count", "240", "210")]
+    asked = file("r", {"seq": 2, "verb": "get", "target": "1"}, {"seq": 1, "verb": "submit", "body": json.dumps({"tenant_id": "t", "dedupe_key": "k", "lane": "bulk"})})
+    code, rows = said("answer", asked, file("s", {"work_id": "1", "state": "running"}), file("b", {"tenant_id": "t", "fairness_weight": 1.0, "suspended": False}))
+    assert code == 0 and [r["status"] for r in rows] == [201, 200]
