@@ -94,8 +94,10 @@ def split_keyframes(keyframes: DataFrame, target_ms: int = model.SPLIT_TARGET_MS
 
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("cut"), zero.alias("number"), F.array().cast("array<struct<part: bigint, cut: bigint, number: bigint>>").alias("seen"))
-    chained = chained.select("source", F.aggregate("l", start, step).alias("c"))
-    about = rows.groupBy("source").agg(F.max("duration_ms").alias("duration_ms"), F.count("ms").alias("n")).join(chained, "source", "left")
+    # A source may be null, which joins as a value of its own.
+    chained = chained.select(F.col("source").alias("_sw_source"), F.aggregate("l", start, step).alias("c"))
+    about = rows.groupBy("source").agg(F.max("duration_ms").alias("duration_ms"), F.count("ms").alias("n"))
+    about = about.join(chained, F.col("source").eqNullSafe(F.col("_sw_source")), "left")
     short = F.col("duration_ms").isNotNull() & (F.col("duration_ms") < model.MIN_SPLITTABLE_MS)
     number = F.coalesce(F.col("c.number"), zero)
     whole = F.when(short, "too_short").when(F.col("n") == 0, "no_keyframes").when(number == 0, "keyframes_too_sparse")
@@ -103,8 +105,9 @@ def split_keyframes(keyframes: DataFrame, target_ms: int = model.SPLIT_TARGET_MS
     uncut = about.where(F.col("whole").isNotNull()).select("source", "whole", F.lit(0).alias("chunk_index"), zero.alias("start_ms"), F.col("duration_ms").alias("end_ms"))
     cut = about.where(F.col("whole").isNull())
     last = cut.where(F.col("duration_ms") > F.col("c.cut")).select("source", "whole", F.col("c.number").cast("int").alias("chunk_index"), F.col("c.cut").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
-    entered = cut.select("source", F.explode("c.seen").alias("p")).select("source", "p.*").join(parts, ["source", "part"])
-    inner = entered.mapInArrow(_range_chunks(target), f"source {kind}, chunk_index int, start_ms long, end_ms long")
+    entered = cut.select(F.col("source").alias("_sw_source"), F.explode("c.seen").alias("p")).select("_sw_source", F.col("p.part").alias("_sw_part"), "p.cut", "p.number")
+    entered = entered.join(parts, F.col("source").eqNullSafe(F.col("_sw_source")) & (F.col("part") == F.col("_sw_part")))
+    inner = entered.select("source", "cut", "number", "keys").mapInArrow(_range_chunks(target), f"source {kind}, chunk_index int, start_ms long, end_ms long")
     return uncut.unionByName(last).unionByName(inner.select("source", F.lit(None).cast("string").alias("whole"), "chunk_index", "start_ms", "end_ms"))
 
 
