@@ -46,10 +46,8 @@ def admitted_submissions(submissions: DataFrame, budgets: DataFrame) -> DataFram
     return rows.withColumn("outcome", outcome).drop("suspended", "created", "_sw_open")
 
 
-#: Entering states of a map of transitions, in the order of its entries; null is an item before its first event.
-ENTERING = [None, *model.STATES]
-#: Events that are folded to one map at once.
-BLOCK = 4096
+#: Events that are folded to one map at once, and the most events of an item that is folded as a whole.
+BLOCK, FEW = 4096, 500_000
 
 
 def _next(acc: Column, e: Column) -> Column:
@@ -84,35 +82,44 @@ def _then(acc: Column, later: Column) -> Column:
     )
 
 
-def fold(events: DataFrame, block: int = BLOCK, least: int = scan.ROWS) -> DataFrame:
+def fold(events: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(work_id, tenant_id, state, attempts, admitted_at, finished_at, ignored) from (seq, work_id, tenant_id, event, ts).
 
     Events are maps of the states to states, and maps compose: a stretch of an item's events is one map of seven entries,
-    whatever its length, each with its attempts, times and ignored events. Items with many events are cut into ranges of
-    ``seq`` that any tasks may take; blocks of a range become maps, the maps of a range one map, those of an item its state.
-    An item that is not cut needs the one entry that it begins with. Events of equal ``seq`` are taken by name, then time.
+    whatever its length, each with its attempts, times and ignored events. Items with over ``few`` events are cut into ranges
+    of ``seq`` that any tasks may take; blocks of a range become maps, the maps of a range one map, those of an item its
+    state. All other items need the one entry that they begin with, and are folded where their events meet. Events of equal
+    ``seq`` are taken by name, then time.
     """
     keys = ["work_id", "tenant_id"]
-    events = events.select(*keys, "seq", "event", "ts")
+    events = events.select(F.struct(*keys).alias("_sw_key"), "seq", "event", "ts")
     ts = events.schema["ts"].dataType.simpleString()
     identity = lambda state: F.struct(
         F.lit(state).cast("string").alias("state"), F.lit(0).alias("attempts"), F.lit(False).alias("sets_admitted"), F.lit(None).cast(ts).alias("admitted_at"),
         F.lit(False).alias("sets_finished"), F.lit(None).cast(ts).alias("finished_at"), F.lit(0).cast("long").alias("ignored"),
     )
-    every, one = F.array(*map(identity, ENTERING)), F.array(identity(None))
-    rows = scan.placed(events, keys, "seq", scan.key_ranges(events, keys, "seq", least))
+    # A row for ``few`` events at most.
+    long = events.groupBy("_sw_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select(F.col("_sw_key").alias("_sw_long"))
+    is_long = F.col("_sw_key") == F.col("_sw_long")
+    history = F.collect_list(F.struct("seq", "event", "ts"))
+    short = events.join(F.broadcast(long), is_long, "left_anti").groupBy("_sw_key").agg(F.sort_array(history).alias("h"))
+    # From every entry that is asked for; one expression serves both ways.
+    stepped = F.aggregate("h", F.col("from"), lambda accs, e: F.transform(accs, lambda a: _next(a, e))).alias("m")
+    none = identity(None)
+    short = short.select("_sw_key.*", "h", F.array(none).alias("from")).select(*keys, stepped)
+    rows = events.join(F.broadcast(long), is_long).select("_sw_key.*", "seq", "event", "ts")
+    rows = scan.placed(rows, keys, "seq", scan.key_ranges(rows, keys, "seq", min(few, scan.ROWS)))
     place = F.row_number().over(Window.partitionBy(*keys, scan.PART).orderBy("seq", "event", "ts"))
     rows = rows.withColumn("block", F.floor((place - 1) / block))
-    blocks = rows.groupBy(*keys, scan.PART, "block").agg(F.array_sort(F.collect_list(F.struct("seq", "event", "ts"))).alias("h"))
-    begins = F.col(scan.PART).isNull() & (F.col("block") == 0)
-    stepped = F.aggregate("h", F.when(begins, one).otherwise(every), lambda accs, e: F.transform(accs, lambda a: _next(a, e)))
-    maps = blocks.select(*keys, scan.PART, "block", stepped.alias("m"))
+    blocks = rows.groupBy(*keys, scan.PART, "block").agg(F.sort_array(history).alias("h"))
+    every = F.array(none, *map(identity, model.STATES))
+    maps = blocks.withColumn("from", every).select(*keys, scan.PART, "block", stepped)
+    composed = F.aggregate(F.slice("l", 2, F.size("l")), F.get("l", F.lit(0))["m"], lambda accs, later: F.transform(accs, lambda a: _then(a, later["m"]))).alias("m")
     for level in ("block", scan.PART):
         whole = [*keys, scan.PART] if level == "block" else keys
         listed = maps.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct(level, "m"))).alias("l"))
-        composed = F.aggregate(F.slice("l", 2, F.size("l")), F.get("l", F.lit(0))["m"], lambda accs, later: F.transform(accs, lambda a: _then(a, later["m"])))
-        maps = listed.select(*whole, composed.alias("m"))
-    return maps.select(*keys, F.get("m", F.lit(0)).alias("s")).select(*keys, "s.state", "s.attempts", "s.admitted_at", "s.finished_at", "s.ignored")
+        maps = listed.select(*whole, composed)
+    return short.unionByName(maps).select(*keys, F.get("m", F.lit(0)).alias("s")).select(*keys, "s.state", "s.attempts", "s.admitted_at", "s.finished_at", "s.ignored")
 
 
 def billed(costs: DataFrame, events: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def join_parts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("source", "rung").agg(F.transform(parts, lambda x: x["part"]).alias("parts"))
 
 
-def join_offsets(jobs: DataFrame, duration: str = "duration_ms", least: int = scan.ROWS) -> DataFrame:
+def join_offsets(jobs: DataFrame, duration: str = "duration_ms", width: int = scan.WIDTH) -> DataFrame:
     """The timestamp at which each part starts in the joined rung: what the parts before it last."""
-    rows = scan.before(jobs, ["source", "rung"], ["chunk_index"], duration, scan.SUM, "offset_ms", least)
+    rows = scan.before(jobs, ["source", "rung"], ["chunk_index"], duration, scan.SUM, "offset_ms", width)
     return rows.withColumn("offset_ms", F.coalesce("offset_ms", F.lit(0)))
 
 

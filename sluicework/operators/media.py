@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +102,21 @@ def split_keyframes(keyframes: DataFrame, target_ms: int = model.SPLIT_TARGET_MS
     short = F.col("duration_ms").isNotNull() & (F.col("duration_ms") < model.MIN_SPLITTABLE_MS)
     number = F.coalesce(F.col("c.number"), zero)
     whole = F.when(short, "too_short").when(F.col("n") == 0, "no_keyframes").when(number == 0, "keyframes_too_sparse")
-    about = about.select("source", "duration_ms", "c", whole.alias("whole"))
-    uncut = about.where(F.col("whole").isNotNull()).select("source", "whole", F.lit(0).alias("chunk_index"), zero.alias("start_ms"), F.col("duration_ms").alias("end_ms"))
-    cut = about.where(F.col("whole").isNull())
-    last = cut.where(F.col("duration_ms") > F.col("c.cut")).select("source", "whole", F.col("c.number").cast("int").alias("chunk_index"), F.col("c.cut").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
-    entered = cut.select(F.col("source").alias("_sw_source"), F.explode("c.seen").alias("p")).select("_sw_source", F.col("p.part").alias("_sw_part"), "p.cut", "p.number")
-    entered = entered.join(parts, F.col("source").eqNullSafe(F.col("_sw_source")) & (F.col("part") == F.col("_sw_part")))
-    inner = entered.select("source", "cut", "number", "keys").mapInArrow(_range_chunks(target), f"source {kind}, chunk_index int, start_ms long, end_ms long")
-    return uncut.unionByName(last).unionByName(inner.select("source", F.lit(None).cast("string").alias("whole"), "chunk_index", "start_ms", "end_ms"))
+    none = F.lit(None)
+
+    def entry(part: Column, whole: Column, number: Column, start: Column, end: Column) -> Column:
+        return F.struct(part.cast("long").alias("part"), whole.cast("string").alias("whole"), number.alias("number"), start.alias("start_ms"), end.cast("long").alias("end_ms"))
+
+    nothing = F.array().cast("array<struct<part: bigint, whole: string, number: bigint, start_ms: bigint, end_ms: bigint>>")
+    cut, duration = F.col("c.cut"), F.col("duration_ms")
+    last = F.when(duration > cut, F.array(entry(none, none, number, cut, duration))).otherwise(nothing)
+    inner = F.transform("c.seen", lambda p: entry(p["part"], none, p["number"], p["cut"], none))
+    entries = F.when(whole.isNotNull(), F.array(entry(none, whole, zero, zero, duration))).otherwise(F.concat(last, inner))
+    # What is known of a source goes through as it is, and what enters a range meets its keyframes: one pass gives all chunks.
+    about = about.select(F.col("source").alias("_sw_source"), F.explode(entries).alias("e")).select("_sw_source", "e.whole", "e.number", "e.start_ms", "e.end_ms", F.col("e.part").alias("_sw_part"))
+    met = about.join(parts, F.col("source").eqNullSafe(F.col("_sw_source")) & (F.col("part") == F.col("_sw_part")), "left")
+    met = met.select(F.col("_sw_source").alias("source"), "whole", "number", "start_ms", "end_ms", "keys")
+    return met.mapInArrow(_range_chunks(target), f"source {kind}, whole string, chunk_index int, start_ms long, end_ms long")
 
 
 class _Ranges:
@@ -152,10 +160,18 @@ def _range_maps(target: int, span: int):
 
 
 def _range_chunks(target: int):
+    names = ["source", "whole", "chunk_index", "start_ms", "end_ms"]
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            known = pc.is_null(batch.column("keys"))
+            whole = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([whole.column("source"), whole.column("whole"), whole.column("number").cast(pa.int32()), whole.column("start_ms"), whole.column("end_ms")], names)
+            batch = batch.filter(pc.invert(known))
+            if not batch.num_rows:
+                continue
             r = _Ranges(batch.column("keys"), target)
-            rows, cut, number = np.arange(batch.num_rows), batch.column("cut").to_numpy(), batch.column("number").to_numpy()
+            rows, cut, number = np.arange(batch.num_rows), batch.column("start_ms").to_numpy(), batch.column("number").to_numpy()
             at = r.first(rows, cut + target)
             found = []
             # All ranges take their next cut at once; a range has no more cuts than targets.
@@ -164,20 +180,20 @@ def _range_chunks(target: int):
                 found.append((rows, number, cut, r.ms[at]))
                 cut, number, at = r.ms[at], number + 1, r.after[at]
             rows, number, start, end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start), pa.array(end)], ["source", "chunk_index", "start_ms", "end_ms"])
+            yield pa.RecordBatch.from_arrays([batch.column("source").take(pa.array(rows)), pa.nulls(len(rows), pa.string()), pa.array(number, pa.int32()), pa.array(start), pa.array(end)], names)
 
     return apply
 
 
-def sparse_gaps(keyframes: DataFrame, gap_ms: int = model.SPARSE_GAP_MS, least: int = scan.ROWS) -> DataFrame:
+def sparse_gaps(keyframes: DataFrame, gap_ms: int = model.SPARSE_GAP_MS, width: int = scan.WIDTH) -> DataFrame:
     """Neighbouring keyframes further apart than the gap."""
-    rows = scan.before(keyframes.select("source", "ms").distinct(), ["source"], ["ms"], "ms", scan.LAST, "before_ms", least)
+    rows = scan.before(keyframes.select("source", "ms").distinct(), ["source"], ["ms"], "ms", scan.LAST, "before_ms", width)
     return rows.where(F.col("ms") - F.col("before_ms") > gap_ms).select("source", "before_ms", "ms", (F.col("ms") - F.col("before_ms")).alias("gap_ms"))
 
 
-def backward_timestamps(packets: DataFrame, keys: list[str], order: list[str], dts: str = "dts", least: int = scan.ROWS) -> DataFrame:
+def backward_timestamps(packets: DataFrame, keys: list[str], order: list[str], dts: str = "dts", width: int = scan.WIDTH) -> DataFrame:
     """Packets whose timestamp is before the last known one."""
-    return scan.before(packets, keys, order, dts, scan.LAST, "previous", least).where(F.col(dts) < F.col("previous"))
+    return scan.before(packets, keys, order, dts, scan.LAST, "previous", width).where(F.col(dts) < F.col("previous"))
 
 
 def verify(renditions: DataFrame) -> DataFrame:

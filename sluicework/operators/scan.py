@@ -1,8 +1,9 @@
 """Running values along an order of rows, where one key may hold any share of the rows.
 
-Keys with more than a task's share of the rows are cut into ranges of the order. Rows are worked on by key and range, each
-range is summed up in one row, and what the ranges before it come to is carried into each. Where a row belongs depends on the
-row and the ranges alone, so a task that runs again finds the same rows.
+Every key is cut into ranges of the order. Rows are worked on by key and range, each range is summed up in one row, and what
+the ranges before it come to is carried into each. Where a row belongs depends on the row and the ranges alone, so a task
+that runs again finds the same rows. ``before`` takes ranges of a fixed width, for which nothing has to be counted first;
+``key_ranges`` gives ranges with about as many rows each, for orders that are spread thinly over a key.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: A key is cut if it holds over 1/SHARES of all rows and over ROWS rows; there are at most 2 * SHARES ranges in all.
-SHARES, ROWS = 1024, 100_000
+#: Rows up to which a key is not cut by ``key_ranges``, and the most ranges of a key.
+ROWS, SHARES = 100_000, 1024
+#: Width of the ranges of ``before``. Where no two rows of a key have the same place, a range has as many rows at most.
+WIDTH = 1 << 22
 PART = "_sw_part"
 
 
@@ -30,13 +33,12 @@ def _renamed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def key_ranges(rows: DataFrame, keys: list[str], order: str, least: int = ROWS) -> DataFrame:
-    """(keys, part, lo, hi): the ranges lo < ``order`` <= hi of the keys that are cut; the first and last are open. A null
-    belongs to the first."""
+    """(keys, part, lo, hi): the ranges lo < ``order`` <= hi of the keys with over ``least`` rows; the first and last are open.
+    A null belongs to the first."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sw_n"))
-    share = F.greatest(F.lit(least), F.ceil(counts.agg(F.sum("_sw_n")).scalar() / SHARES))
-    hot = counts.withColumn("_sw_pieces", F.ceil(F.col("_sw_n") / share).cast("int")).where(F.col("_sw_pieces") > 1)
+    hot = counts.withColumn("_sw_pieces", F.least(F.lit(SHARES), F.ceil(F.col("_sw_n") / least)).cast("int")).where(F.col("_sw_pieces") > 1)
     hot = _renamed(hot.drop("_sw_n"), keys, "_sw_hot_")
-    # At most SHARES keys are cut, so this side has a bound.
+    # A row for ``least`` rows at most.
     theirs = rows.select(*keys, F.col(order).alias("_sw_order")).join(F.broadcast(hot), _same(keys, "_sw_hot_"))
     at = [i / SHARES for i in range(1, SHARES)]
     found = theirs.groupBy(*keys).agg(F.percentile_approx("_sw_order", at, 10 * SHARES).alias("b"), F.max("_sw_pieces").alias("pieces"))
@@ -69,15 +71,19 @@ LAST = Carry(
 )
 
 
-def before(rows: DataFrame, keys: list[str], order: list[str], value: str, carry: Carry, into: str, least: int = ROWS) -> DataFrame:
+def before(rows: DataFrame, keys: list[str], order: list[str], value: str, carry: Carry, into: str, width: int = WIDTH) -> DataFrame:
     """``rows`` with the column ``into``: what ``value`` comes to over the rows of the same key before it in ``order``, null
-    for the first. The first column of ``order`` is a number or a time; ``order`` should leave no ties."""
-    rows = placed(rows, keys, order[0], key_ranges(rows, keys, order[0], least))
+    for the first. The first column of ``order`` is a whole number, null before all others; ``order`` should leave no ties.
+
+    Rows are shuffled once, by key and range, and meet what is carried into their range where they are. The sums are made in
+    parts before they move; a key within one range carries nothing.
+    """
+    # One value for key and range: a struct is never null, so keys that are null meet by plain equality.
+    rows = rows.withColumn("_sw_at", F.struct(*keys, F.floor(F.col(order[0]) / width).alias(PART)))
     all_before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.where(F.col(PART).isNotNull()).groupBy(*keys, PART).agg(carry.summary(F.col(value), F.struct(*order)).alias("_sw_sum"))
-    sums = sums.withColumn("_sw_carry", carry.across(F.col("_sw_sum"), all_before(Window.partitionBy(*keys).orderBy(PART)))).drop("_sw_sum")
-    sums = _renamed(sums, [*keys, PART], "_sw_of_")
-    local = carry.local(F.col(value), all_before(Window.partitionBy(*keys, PART).orderBy(*order)))
-    # A row a range, of which there are 2 * SHARES at most.
-    both = rows.withColumn("_sw_local", local).join(F.broadcast(sums), _same(keys, "_sw_of_") & (F.col(PART) == F.col(f"_sw_of_{PART}")), "left")
-    return both.withColumn(into, carry.joined(F.col("_sw_carry"), F.col("_sw_local"))).drop("_sw_local", "_sw_carry", PART, f"_sw_of_{PART}", *[f"_sw_of_{k}" for k in keys])
+    ranges_before = all_before(Window.partitionBy(*[F.col("_sw_at")[k] for k in keys]).orderBy(F.col("_sw_at")[PART]))
+    sums = rows.groupBy("_sw_at").agg(carry.summary(F.col(value), F.struct(*order)).alias("_sw_sum"))
+    sums = sums.select(F.col("_sw_at").alias("_sw_of"), carry.across(F.col("_sw_sum"), ranges_before).alias("_sw_carry")).where(F.col("_sw_carry").isNotNull())
+    local = carry.local(F.col(value), all_before(Window.partitionBy("_sw_at").orderBy(*order)))
+    both = rows.withColumn("_sw_local", local).join(sums, F.col("_sw_at") == F.col("_sw_of"), "left")
+    return both.withColumn(into, carry.joined(F.col("_sw_carry"), F.col("_sw_local"))).drop("_sw_local", "_sw_carry", "_sw_at", "_sw_of")

@@ -31,10 +31,10 @@ def by_key(rows):
     return out
 
 
-@pytest.mark.parametrize("least", [7, 100, 1000, 10**9])
-def test_running_values(rows, least):
-    sums = {(r.key, r.at): r.x for r in scan.before(rows, ["key"], ["at"], "v", scan.SUM, "x", least).collect()}
-    lasts = {(r.key, r.at): r.x for r in scan.before(rows, ["key"], ["at"], "v", scan.LAST, "x", least).collect()}
+@pytest.mark.parametrize("width", [7, 100, 1000, 10**9])
+def test_running_values(rows, width):
+    sums = {(r.key, r.at): r.x for r in scan.before(rows, ["key"], ["at"], "v", scan.SUM, "x", width).collect()}
+    lasts = {(r.key, r.at): r.x for r in scan.before(rows, ["key"], ["at"], "v", scan.LAST, "x", width).collect()}
     n = 0
     for key, pairs in by_key(rows).items():
         total = last = None
@@ -91,7 +91,7 @@ def history(spark):
     return rows, spark.createDataFrame(rows, "seq long, work_id string, tenant_id string, event string, ts long").repartition(4).cache()
 
 
-@pytest.mark.parametrize(("block", "least"), [(4096, 10**9), (5, 10**9), (4, 30), (100, 150)])
+@pytest.mark.parametrize(("block", "least"), [(4096, 10**9), (5, 10**9), (4, 30), (5, 10), (100, 150)])
 def test_fold_of_any_blocks_and_ranges(history, block, least):
     rows, frame = history
     want = {}
@@ -154,8 +154,8 @@ def test_one_source_is_many_ranges(spark):
 def test_gaps_and_offsets_of_hot_keys(spark):
     ms = sorted(random.Random(1).sample(range(10**6), 3000))
     frame = spark.createDataFrame([("a", m) for m in ms] + [("b", 5), ("b", 400_000)], "source string, ms long")
-    got = sorted((r.source, r.before_ms, r.ms, r.gap_ms) for r in media.sparse_gaps(frame, 900, least=40).collect())
+    got = sorted((r.source, r.before_ms, r.ms, r.gap_ms) for r in media.sparse_gaps(frame, 900, width=40).collect())
     assert got == sorted([("a", a, b, b - a) for a, b in zip(ms, ms[1:], strict=False) if b - a > 900] + [("b", 5, 400_000, 399_995)])
     jobs = spark.createDataFrame([("a", "r", i, i % 5 + 1) for i in range(1000)], "source string, rung string, chunk_index int, duration_ms long")
-    offsets = [r.offset_ms for r in fanout.join_offsets(jobs, least=30).orderBy("chunk_index").collect()]
+    offsets = [r.offset_ms for r in fanout.join_offsets(jobs, width=30).orderBy("chunk_index").collect()]
     assert offsets == [sum(i % 5 + 1 for i in range(n)) for n in range(1000)]
