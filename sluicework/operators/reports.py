@@ -27,30 +27,34 @@ def tolerance_of(metric: Column) -> Column:
     return F.coalesce(F.try_element_at(known, metric), F.lit(float("inf")))
 
 
-def first_rungs(rows: DataFrame) -> DataFrame:
-    """The rows of the first place of each (file, rung), where rows have a place; a rung that is listed again is left out."""
+def first_rungs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the first place of each rung, where rows have a place; a rung that is listed again is left out."""
     if "pos" not in rows.columns:
         return rows
-    first = rows.groupBy("file", "rung").agg(F.min("pos").alias("pos"))
-    return rows.join(first, ["file", "rung", "pos"], "left_semi")
+    first = rows.groupBy(*by).agg(F.min("pos").alias("pos"))
+    return rows.join(first, [*by, "pos"], "left_semi")
 
 
-def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(file, rung, metric, before, after, delta, worse, regression) of the metrics that both runs have.
+def compare(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., file, rung, metric, before, after, delta, worse, regression) of the metrics that both runs have.
 
-    before, after: (file, rung, metric, value) and, where a rung may be listed twice, pos: the first place counts."""
-    before, after = first_rungs(before), first_rungs(after)
-    rows = before.select("file", "rung", "metric", F.col("value").alias("before")).join(after.select("file", "rung", "metric", F.col("value").alias("after")), ["file", "rung", "metric"])
+    before, after: (by..., file, rung, metric, value) and, where a rung may be listed twice, pos: the first place counts.
+    ``by`` tells several comparisons apart, which are made at once."""
+    keys = [*(by or []), "file", "rung"]
+    before, after = first_rungs(before, keys), first_rungs(after, keys)
+    keys = [*keys, "metric"]
+    rows = before.select(*keys, F.col("value").alias("before")).join(after.select(*keys, F.col("value").alias("after")), keys)
     delta = F.col("after") - F.col("before")
     worse = F.when(F.col("metric").isin(LOWER_IS_BETTER), delta).otherwise(-delta)
     return rows.select("*", delta.alias("delta"), worse.alias("worse"), (worse > tolerance_of(F.col("metric"))).alias("regression"))
 
 
-def missing_and_added(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(file, rung, change): rungs that only one of the runs has."""
-    a, b = (x.select("file", "rung").distinct() for x in (before, after))
-    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), ["file", "rung"], "full")
-    return both.where(F.col("a").isNull() | F.col("b").isNull()).select("file", "rung", F.when(F.col("b").isNull(), "missing").otherwise("added").alias("change"))
+def missing_and_added(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., file, rung, change): rungs that only one of the runs has."""
+    keys = [*(by or []), "file", "rung"]
+    a, b = (x.select(*keys).distinct() for x in (before, after))
+    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), keys, "full")
+    return both.where(F.col("a").isNull() | F.col("b").isNull()).select(*keys, F.when(F.col("b").isNull(), "missing").otherwise("added").alias("change"))
 
 
 def unscored(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -60,10 +64,12 @@ def unscored(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where((F.col("n_before") == 0) | (F.col("n_after") == 0))
 
 
-def diff_verdict(compared: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row: counts, and whether the change is clean (no regression, nothing missing)."""
-    what = compared.where("regression").select(F.lit("regression").alias("change")).unionByName(changes.select("change"))
-    counts = what.agg(*[F.count_if(F.col("change") == c).alias(n) for c, n in (("regression", "regressions"), ("missing", "missing"), ("added", "added"))])
+def diff_verdict(compared: DataFrame, changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts, and whether the change is clean (no regression, nothing missing): one row, or with ``by`` one for each comparison
+    that found anything to compare or to list."""
+    keys = by or []
+    what = compared.select(*keys, F.when(F.col("regression"), "regression").alias("change")).unionByName(changes.select(*keys, "change"))
+    counts = what.groupBy(*keys).agg(*[F.count_if(F.col("change") == c).alias(n) for c, n in (("regression", "regressions"), ("missing", "missing"), ("added", "added"))])
     return counts.withColumn("clean", (F.col("regressions") == 0) & (F.col("missing") == 0))
 
 

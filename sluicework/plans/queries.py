@@ -351,13 +351,15 @@ def sample_times(spark, d):
     return p.table(spark, d, "events").select("user_id", "event_id", F.explode(media.sample_times_ms(F.floor(F.col("value") * 1000))).alias("sample_ms"))
 
 
-SCORES = f"""sc AS (SELECT l_returnflag AS run, p_brand AS file, p_type || '-' || CAST(l_suppkey % 3 AS VARCHAR) AS rung, [{', '.join(f"'{m}'" for m in METRICS)}][l_linenumber % {len(METRICS)} + 1] AS metric, round(l_extendedprice, 0) AS value
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R')),
+SCORES = f"""sc AS (SELECT l_returnflag AS run, 'part' || p_partkey AS file, p_brand AS brand, p_type || '-' || CAST(l_suppkey % 3 AS VARCHAR) AS rung, [{', '.join(f"'{m}'" for m in METRICS)}][l_linenumber % {len(METRICS)} + 1] AS metric, round(l_extendedprice, 0) AS value
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
   po AS (SELECT run, file, rung, metric, avg(value) AS mean, min(value) AS lo, max(value) AS hi, count(*) AS frames FROM sc GROUP BY ALL),
-  bef AS (SELECT * FROM po WHERE run = 'A'), aft AS (SELECT * FROM po WHERE run = 'R' AND NOT (file = 'Brand#3' AND metric = 'vmaf')),
+  bef AS (SELECT CASE run WHEN 'A' THEN 1 ELSE 2 END AS step, * FROM po WHERE run IN ('A', 'R')), aft AS (SELECT CASE run WHEN 'R' THEN 1 ELSE 2 END AS step, * FROM po WHERE run IN ('R', 'N')),
   tol AS (SELECT * FROM (VALUES {', '.join(f"('{m}', CAST({t} AS DOUBLE))" for m, t in TOLERANCE.items())}) t(metric, tolerance)),
-  diff AS (SELECT b.file, b.rung, b.metric, b.mean AS "before", a.mean AS "after", a.mean - b.mean AS delta, CASE WHEN b.metric = 'cambi' THEN a.mean - b.mean ELSE b.mean - a.mean END AS worse, tolerance
-    FROM bef b JOIN aft a ON a.file = b.file AND a.rung = b.rung AND a.metric = b.metric JOIN tol ON tol.metric = b.metric)"""
+  diff AS (SELECT b.step, b.file, b.rung, b.metric, b.mean AS "before", a.mean AS "after", a.mean - b.mean AS delta, CASE WHEN b.metric = 'cambi' THEN a.mean - b.mean ELSE b.mean - a.mean END AS worse, tolerance
+    FROM bef b JOIN aft a ON a.step = b.step AND a.file = b.file AND a.rung = b.rung AND a.metric = b.metric JOIN tol ON tol.metric = b.metric),
+  changed AS (SELECT coalesce(a.step, b.step) AS step, coalesce(a.file, b.file) AS file, coalesce(a.rung, b.rung) AS rung, CASE WHEN b.file IS NULL THEN 'missing' ELSE 'added' END AS change
+    FROM (SELECT DISTINCT step, file, rung FROM bef) a FULL JOIN (SELECT DISTINCT step, file, rung FROM aft) b ON a.step = b.step AND a.file = b.file AND a.rung = b.rung WHERE a.file IS NULL OR b.file IS NULL)"""
 
 
 def _pooled(spark, d):
@@ -365,8 +367,10 @@ def _pooled(spark, d):
 
 
 def _before_after(spark, d):
+    """Two comparisons: step 1 of run A with R, step 2 of R with N."""
     rows = _pooled(spark, d).withColumn("value", F.col("mean"))
-    return rows.where("run = 'A'"), rows.where("run = 'R' AND NOT (file = 'Brand#3' AND metric = 'vmaf')")
+    step = lambda first: F.when(F.col("run") == first, 1).otherwise(2).alias("step")
+    return rows.where("run IN ('A', 'R')").select(step("A"), "*"), rows.where("run IN ('R', 'N')").select(step("R"), "*")
 
 
 @query(f"WITH {SCORES} SELECT run, file, rung, metric, round(mean, 4) AS mean, lo AS min, hi AS max, frames FROM po")
@@ -374,25 +378,23 @@ def pooled_metrics(spark, d):
     return _pooled(spark, d).withColumn("mean", F.round("mean", 4))
 
 
-@query(f"""WITH {SCORES} SELECT file, rung, metric, round("before", 4) AS "before", round("after", 4) AS "after", round(delta, 4) AS delta, round(worse, 4) AS worse, worse > tolerance AS regression FROM diff""")
+@query(f"""WITH {SCORES} SELECT step, file, rung, metric, round("before", 4) AS "before", round("after", 4) AS "after", round(delta, 4) AS delta, round(worse, 4) AS worse, worse > tolerance AS regression FROM diff""")
 def report_diff(spark, d):
-    rows = reports.compare(*_before_after(spark, d))
+    rows = reports.compare(*_before_after(spark, d), by=["step"])
     return rows.withColumns({c: F.round(c, 4) for c in ("before", "after", "delta", "worse")})
 
 
-@query(f"""WITH {SCORES}, a AS (SELECT DISTINCT file, rung FROM bef WHERE file <> 'Brand#5'), b AS (SELECT DISTINCT file, rung FROM aft WHERE file <> 'Brand#4')
-  SELECT file, rung, 'missing' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT file, rung, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+@query(f"WITH {SCORES} SELECT * FROM changed")
 def report_missing_added(spark, d):
-    before, after = _before_after(spark, d)
-    return reports.missing_and_added(before.where("file <> 'Brand#5'"), after.where("file <> 'Brand#4'"))
+    return reports.missing_and_added(*_before_after(spark, d), by=["step"])
 
 
-@query(f"""WITH {SCORES}, a AS (SELECT DISTINCT file, rung FROM bef), b AS (SELECT DISTINCT file, rung FROM aft),
-  n AS (SELECT (SELECT count(*) FROM diff WHERE worse > tolerance) AS regressions, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS added)
-  SELECT regressions, missing, added, regressions = 0 AND missing = 0 AS clean FROM n""")
+@query(f"""WITH {SCORES}, n AS (SELECT step, CASE WHEN worse > tolerance THEN 'regression' END AS change FROM diff UNION ALL SELECT step, change FROM changed)
+  SELECT step, count(*) FILTER (WHERE change = 'regression') AS regressions, count(*) FILTER (WHERE change = 'missing') AS missing, count(*) FILTER (WHERE change = 'added') AS added,
+    count(*) FILTER (WHERE change IN ('regression', 'missing')) = 0 AS clean FROM n GROUP BY step""")
 def report_verdict(spark, d):
     before, after = _before_after(spark, d)
-    return reports.diff_verdict(reports.compare(before, after), reports.missing_and_added(before, after))
+    return reports.diff_verdict(reports.compare(before, after, by=["step"]), reports.missing_and_added(before, after, by=["step"]), by=["step"])
 
 
 @query(f"WITH {SCORES} SELECT run, file, rung, round(mean, 4) AS mean, mean >= 50000 AS passed FROM po WHERE metric = 'vmaf'")
@@ -622,13 +624,12 @@ def encoder_options(spark, d):
     return p.table(spark, d, "part").select(k.alias("source"), F.array_join(F.array_sort(entries), ";").alias("options"))
 
 
-@query(f"""WITH {SCORES}, f AS (SELECT DISTINCT p_brand AS file, CAST(substr(p_brand, 7) AS INTEGER) AS b FROM part), e AS (SELECT file, CASE WHEN b % 4 = 0 THEN 'unreadable' WHEN b % 5 = 0 THEN 'no video' END AS finding FROM f)
-  SELECT e.file, finding, rung, coalesce(scored, false) AS scored FROM e LEFT JOIN (SELECT DISTINCT file, rung, true AS scored FROM bef) s ON s.file = e.file AND finding IS NULL""")
+@query(f"""WITH {SCORES}, f AS (SELECT 'part' || p_partkey AS file, p_partkey AS b FROM part), e AS (SELECT file, CASE WHEN b % 4 = 0 THEN 'unreadable' WHEN b % 5 = 0 THEN 'no video' END AS finding FROM f)
+  SELECT e.file, finding, rung, coalesce(scored, false) AS scored FROM e LEFT JOIN (SELECT DISTINCT file, rung, true AS scored FROM po) s ON s.file = e.file AND finding IS NULL""")
 def report_build(spark, d):
-    brand = F.substring("p_brand", 7, 10).cast("int")
-    files = p.table(spark, d, "part").select(F.col("p_brand").alias("file"), brand.alias("b")).distinct()
-    before, _ = _before_after(spark, d)
-    return reports.build(files.select("file"), files.where("b % 4 <> 0").select("file", (F.col("b") % 5).alias("n_video")), before)
+    files = p.table(spark, d, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("file"), F.col("p_partkey").alias("b"))
+    scores = _pooled(spark, d).withColumn("value", F.col("mean"))
+    return reports.build(files.select("file"), files.where("b % 4 <> 0").select("file", (F.col("b") % 5).alias("n_video")), scores)
 
 
 @query(f"""WITH {CHUNKS}, {STEPS}, c AS (SELECT source, count(*) AS chunks FROM chunks GROUP BY source), r AS (SELECT source, count(*) AS rungs, max(CASE WHEN pos = mid THEN rung END) AS fast_rung
@@ -689,12 +690,13 @@ def path_ids(spark, d):
     return p.table(spark, d, "events").select("event_id", media.path_id(F.concat(F.lit("/in/"), "event_type", F.lit("/"), "event_id")).alias("id"))
 
 
-@query(f"""WITH {SCORES}, f AS (SELECT run, file, CAST(substr(file, 7) AS INTEGER) AS b, sum(frames) AS n FROM po GROUP BY ALL), g AS (SELECT run, file, rung, CAST(sum(frames) AS BIGINT) AS frames, {', '.join(f"round(max(mean) FILTER (WHERE metric = '{m}'), 4) AS {m}" for m in METRICS)} FROM po GROUP BY ALL)
+@query(f"""WITH {SCORES}, pb AS (SELECT run, brand AS file, rung, metric, avg(value) AS mean, count(*) AS frames FROM sc GROUP BY ALL), f AS (SELECT run, file, CAST(substr(file, 7) AS INTEGER) AS b, sum(frames) AS n FROM pb GROUP BY ALL), g AS (SELECT run, file, rung, CAST(sum(frames) AS BIGINT) AS frames, {', '.join(f"round(max(mean) FILTER (WHERE metric = '{m}'), 4) AS {m}" for m in METRICS)} FROM pb GROUP BY ALL)
   SELECT f.run, 1700000000 AS created_unix, 'n7' AS ffmpeg, 5 AS subsample, dense_rank() OVER (PARTITION BY f.run ORDER BY b, f.file) - 1 AS entry, f.file, CAST(n * 40 AS BIGINT) AS duration_ms, n / 10.0 AS encode_seconds, CASE WHEN b % 2 = 1 THEN 'no_audio' ELSE '' END AS warnings,
     CASE WHEN b % 5 = 0 THEN 'odd size' ELSE '' END AS findings, rung, 1280 AS width, frames, {', '.join(METRICS)} FROM f JOIN g ON g.run = f.run AND g.file = f.file""")
 def report_documents(spark, d):
     """Reports put together, written out as JSON text, read again and taken apart."""
-    pooled = _pooled(spark, d)
+    # A report is one row, so its files are the brands, whose number does not grow with the tables.
+    pooled = reports.pooled(p.frame_scores(spark, d).drop("file").withColumnRenamed("brand", "file"), ["run", "file", "rung"])
     rungs = pooled.groupBy("run", "file", "rung").agg(F.sum("frames").alias("frames"))
     placed = rungs.select("*", F.col("rung").alias("pos"), F.lit(1280).alias("width"), F.lit(720).alias("height"), (F.col("frames") * 1000).alias("bytes"))
     b = F.substring("file", 7, 10).cast("int")

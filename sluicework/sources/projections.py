@@ -104,12 +104,12 @@ def renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, file, rung, metric, value): per-frame scores; run A is the baseline and R the one compared with it."""
+    """(run, file, brand, rung, metric, value): per-frame scores of the runs A, R and N, each compared with the one before it."""
     from sluicework.functions.tables import METRICS
 
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     metric = F.element_at(F.array(*[F.lit(m) for m in METRICS]), (F.col("l_linenumber") % len(METRICS) + 1).cast("int"))
-    return rows.where(F.col("l_returnflag").isin("A", "R")).select(
-        F.col("l_returnflag").alias("run"), F.col("p_brand").alias("file"), F.concat(F.col("p_type"), F.lit("-"), (F.col("l_suppkey") % 3).cast("string")).alias("rung"), metric.alias("metric"),
-        F.round(F.col("l_extendedprice"), 0).alias("value"),
+    return rows.select(
+        F.col("l_returnflag").alias("run"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("file"), F.col("p_brand").alias("brand"),
+        F.concat(F.col("p_type"), F.lit("-"), (F.col("l_suppkey") % 3).cast("string")).alias("rung"), metric.alias("metric"), F.round(F.col("l_extendedprice"), 0).alias("value"),
     )
