@@ -5,6 +5,8 @@ Every operator takes DataFrames and parameters and returns a DataFrame; the pres
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,46 +114,75 @@ def candidates(work: DataFrame, budgets: DataFrame, as_of: Column, window: str =
     return rows.where(F.col("headroom") > 0).select("lane", "tenant_id", "weight", "headroom", "pending")
 
 
-def fair_share(candidates: DataFrame, grants: DataFrame, credits: DataFrame) -> DataFrame:
+def leading(rows: DataFrame, keys: list[str], order: list, most: str, spread: str, into: str, parts: int | None = None) -> DataFrame:
+    """The first ``most`` (a column) rows of each key in ``order``, with their place in ``into``.
+
+    Rows are first ranked in parts by the hash of ``spread``, as many as a shuffle has partitions unless given, so a key with
+    any share of the rows is spread like any other table and leaves ``most`` rows a part at most.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_sw_part", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    for by in ([*keys, "_sw_part"], keys):
+        rows = rows.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(into) <= F.col(most))
+    return rows.drop("_sw_part")
+
+
+def fair_share(candidates: DataFrame, grants: DataFrame, credits: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(lane, tenant_id, take, credit) after one tick, from candidates, (lane, grant) and carried (lane, tenant_id, credit).
 
-    The floor phase is a clamped running sum in the order of tenants; the phase that gives single slots to the tenant
-    that is owed most merges decreasing sequences credit - 0, credit - 1, ..., so the first ``remaining`` of all of them,
-    ranked, are the slots given. Who still has room is owed less than one slot and lacks less than one, so these sequences run
-    level: all but the last rounds are given by the level up to which the rooms fill, and only about three units a tenant
-    are ranked. Tenants without a turn keep their credit unless more credits than eligible tenants are held.
+    The floor phase is a clamped running sum in the order of tenants. Who takes part in it takes a slot at least, so it is over
+    after as many tenants as the lane has slots, and no more are sorted. The phase that gives single slots to the tenant that
+    is owed most merges decreasing sequences credit - 0, credit - 1, ..., so the first ``remaining`` of all of them, ranked,
+    are the slots given. Who still has room is owed less than one slot and lacks less than one, so these sequences run level:
+    all but the last rounds are given by the level up to which the rooms fill, which the number of tenants for each room
+    tells, and only about three units a tenant are ranked. What a lane sums up is made in parts and sent back as one row a
+    lane; no window holds more rows than the lane has slots, times the parts of a ranking. Tenants without a turn keep their
+    credit unless more credits than eligible tenants are held. ``cut`` ends the lineage of the tenants' rows, which are read
+    several times.
     """
-    lane = Window.partitionBy("lane")
+    # One row for each lane.
+    beside = lambda df, lanes, how="inner": df.join(F.broadcast(lanes), "lane", how)
     ceiling = F.least("headroom", "pending")
     eligible = candidates.where((ceiling > 0) & (F.col("weight") > 0)).select("lane", "tenant_id", "weight", ceiling.alias("ceiling"), F.lit(True).alias("eligible"))
-    rows = eligible.join(credits.withColumnRenamed("credit", "had"), ["lane", "tenant_id"], "full").join(grants.withColumnRenamed("grant", "slots"), "lane", "left")
-    rows = rows.withColumn("eligible", F.coalesce("eligible", F.lit(False)))
-    crowded = F.count("had").over(lane) > F.count_if("eligible").over(lane)
-    rows = rows.withColumn("crowded", crowded).where(F.col("eligible") | ~F.col("crowded"))
-    slots = F.coalesce("slots", F.lit(0))
-    turn = F.col("eligible") & (slots > 0)
-    total = F.sum(F.when(F.col("eligible"), F.col("weight"))).over(lane)
-    credit = F.coalesce("had", F.lit(0.0)) + F.when(turn, slots * F.col("weight") / total).otherwise(0.0)
-    rows = rows.withColumn("turn", turn).withColumn("credit", credit)
+    rows = eligible.join(credits.withColumnRenamed("credit", "had"), ["lane", "tenant_id"], "full").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    lanes = rows.groupBy("lane").agg(F.sum(F.when(F.col("eligible"), F.col("weight"))).alias("total"), (F.count("had") > F.count_if("eligible")).alias("crowded"))
+    lanes = lanes.join(F.broadcast(grants), "lane", "left").select("lane", "total", "crowded", F.coalesce("grant", F.lit(0)).alias("slots"))
+    rows = beside(rows, lanes).where(F.col("eligible") | ~F.col("crowded"))
+    turn = F.col("eligible") & (F.col("slots") > 0)
+    credit = F.coalesce("had", F.lit(0.0)) + F.when(turn, F.col("slots") * F.col("weight") / F.col("total")).otherwise(0.0)
+    rows = cut(rows.withColumn("turn", turn).withColumn("credit", credit).select("lane", "tenant_id", "ceiling", "had", "slots", "turn", "credit"))
     whole = F.when(F.col("turn"), F.least(F.greatest(F.floor("credit"), F.lit(0)), F.col("ceiling"))).otherwise(F.lit(0)).cast("long")
-    up_to = F.sum("whole").over(lane.orderBy("tenant_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("whole", whole).withColumn("up_to", up_to)
-    rows = rows.withColumn("first", F.least("up_to", slots) - F.least(F.col("up_to") - F.col("whole"), slots)).withColumn("owed", F.col("credit") - F.col("first"))
-    rows = rows.withColumn("remaining", slots - F.sum("first").over(lane))
-    room = F.when(F.col("turn"), F.least(F.col("ceiling") - F.col("first"), F.col("remaining"))).otherwise(F.lit(0)).cast("int")
-    open_ = rows.where(room > 0).select("lane", "tenant_id", "remaining", "owed", room.alias("room"))
-    by_room = lane.orderBy("room", "tenant_id")
-    smaller = F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    others = F.count(F.lit(1)).over(lane) - F.row_number().over(by_room) + 1
-    level = open_.withColumn("level", (F.col("remaining") - smaller) / others).withColumn("level", F.max("level").over(lane))
+
+    early = leading(rows.select("lane", "tenant_id", "slots", whole.alias("whole")).where(F.col("whole") > 0), ["lane"], ["tenant_id"], "slots", "tenant_id", "place")
+    up_to = F.sum("whole").over(Window.partitionBy("lane").orderBy("tenant_id").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.least("up_to", "slots") - F.least(F.col("up_to") - F.col("whole"), F.col("slots"))
+    early = early.withColumn("up_to", up_to).select("lane", "tenant_id", first.alias("first")).where(F.col("first") > 0)
+    rows = rows.join(early, ["lane", "tenant_id"], "left").withColumn("first", F.coalesce("first", F.lit(0)))
+    rows = rows.withColumn("owed", F.col("credit") - F.col("first"))
+    rows = rows.withColumn("gap", F.when(F.col("turn"), F.least(F.col("ceiling") - F.col("first"), F.col("slots"))).otherwise(F.lit(0)).cast("int"))
+
+    # Gaps are at most the lane's slots, so there are no more of them than that.
+    rooms = rows.groupBy("lane", "slots", "gap").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("first"))
+    rooms = rooms.withColumn("remaining", F.col("slots") - F.sum("first").over(Window.partitionBy("lane")))
+    room = F.least("gap", "remaining").cast("int")
+    rooms = rooms.withColumn("room", room).where(F.col("room") > 0)
+    lane = Window.partitionBy("lane")
+    before = lane.orderBy("room", "gap").rowsBetween(Window.unboundedPreceding, -1)
+    filled, passed = (F.coalesce(F.sum(x).over(before), F.lit(0)) for x in (F.col("n") * F.col("room"), F.col("n")))
+    rooms = rooms.withColumns({"left": F.col("remaining") - filled, "others": F.sum("n").over(lane) - passed})
+    # Among tenants of equal room the level runs one way, so it is highest at the first or the last.
+    level = F.greatest(F.col("left") / F.col("others"), (F.col("left") - (F.col("n") - 1) * F.col("room")) / (F.col("others") - F.col("n") + 1))
     sure = F.least(F.col("room"), F.greatest(F.floor("level") - 1, F.lit(0))).cast("int")
-    sured = level.withColumn("sure", sure).withColumn("after", F.col("remaining") - F.sum("sure").over(lane))
+    rooms = rooms.withColumn("level", level).withColumn("level", F.max("level").over(lane))
+    levels = rooms.groupBy("lane").agg(F.max("level").alias("level"), F.max("remaining").alias("remaining"), (F.max("remaining") - F.sum(F.col("n") * sure)).alias("after"))
+    rows = beside(rows, levels, "left").withColumn("room", F.coalesce(room, F.lit(0)))
+    rows = rows.withColumn("sure", F.when((F.col("room") > 0) & F.col("level").isNotNull(), sure).otherwise(F.lit(0)))
+
     last = F.least(F.col("room"), F.col("sure") + 3)
-    units = sured.select("lane", "tenant_id", "after", "owed", "sure", F.explode(F.sequence(F.col("sure"), last)).alias("j")).where(F.col("j") < last)
-    place = F.row_number().over(lane.orderBy(F.desc("key"), "tenant_id", "j"))
-    ranked = units.withColumn("key", F.col("owed") - F.col("j")).withColumn("place", place).where(F.col("place") <= F.col("after")).groupBy("lane", "tenant_id").agg(F.count(F.lit(1)).alias("more"))
-    extra = sured.join(ranked, ["lane", "tenant_id"], "left").select("lane", "tenant_id", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("extra"))
-    out = rows.join(extra, ["lane", "tenant_id"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+    units = rows.where(F.col("room") > F.col("sure")).select("lane", "tenant_id", "after", "owed", F.explode(F.sequence(F.col("sure"), last - 1)).alias("j"))
+    units = units.where(F.col("after") > 0).withColumn("key", F.col("owed") - F.col("j"))
+    ranked = leading(units, ["lane"], [F.desc("key"), "tenant_id", "j"], "after", "tenant_id", "place").groupBy("lane", "tenant_id").agg(F.count(F.lit(1)).alias("more"))
+    out = rows.join(ranked, ["lane", "tenant_id"], "left").withColumn("extra", F.col("sure") + F.coalesce("more", F.lit(0)))
     left = F.col("owed") - F.col("extra")
     band = F.greatest(F.least(left, F.lit(model.CREDIT_BAND)), F.lit(-model.CREDIT_BAND))
     # Who has neither had a turn nor a credit is not remembered.
@@ -166,18 +197,12 @@ def no_credits(df: DataFrame) -> DataFrame:
 def claim(work: DataFrame, takes: DataFrame, parts: int | None = None) -> DataFrame:
     """The pending rows that (lane, tenant_id, take) gives a slot to, most urgent and then oldest first.
 
-    A tenant's rows are first ranked in parts, as many as a shuffle has partitions unless given, so a tenant with a third of
-    all rows is spread like any other table and leaves ``take`` rows a part at most.
+    A tenant's rows are ranked in ``parts`` first, so a tenant with a third of all rows is spread like any other table.
     """
-    parts = parts or int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("priority_key", "created_at", "id")
+    order = ["priority_key", "created_at", "id"]
     rows = work.where(F.col("state") == "pending").join(takes.where(F.col("take") > 0).select("lane", "tenant_id", "take"), ["lane", "tenant_id"])
-    rows = rows.withColumn("_sw_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    for keys in (("lane", "tenant_id", "_sw_part"), ("lane", "tenant_id")):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        rows = rows.withColumn("claim_rank", place).where(F.col("claim_rank") <= F.col("take"))
     # Slots bound these rows, so their order costs little.
-    return rows.drop("take", "_sw_part").orderBy(*order)
+    return leading(rows, ["lane", "tenant_id"], order, "take", "id", "claim_rank", parts).drop("take").orderBy(*order)
 
 
 def stalled(work: DataFrame, as_of: Column, older_than_seconds: float) -> DataFrame:

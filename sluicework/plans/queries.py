@@ -82,7 +82,7 @@ def _grants(spark, d):
 
 
 def _shared(spark, d):
-    return queue.fair_share(_candidates(spark, d), _grants(spark, d), queue.no_credits(p.budgets(spark, d)))
+    return queue.fair_share(_candidates(spark, d), _grants(spark, d), queue.no_credits(p.budgets(spark, d)), cut)
 
 
 @query(f"WITH {WORK}, {FLEET} SELECT * FROM fleet")
@@ -132,7 +132,7 @@ def fair_share_carried(spark, d):
     had = p.budgets(spark, d).where(key % 3 != 0).select(lanes.alias("lane"), "tenant_id", ((key % 5 - 2) / 4).alias("credit"))
     waiting, grants = _candidates(spark, d), _grants(spark, d)
     turns = waiting.join(grants.where(F.col("grant") > 0).select("lane"), "lane", "left_semi").select("lane", "tenant_id")
-    return queue.fair_share(waiting, grants, had).join(turns, ["lane", "tenant_id"], "left_semi").withColumn("credit", F.round("credit", 6))
+    return queue.fair_share(waiting, grants, had, cut).join(turns, ["lane", "tenant_id"], "left_semi").withColumn("credit", F.round("credit", 6))
 
 
 @query(f"""WITH {WORK}, {CANDIDATES}, {FLEET}, {GRANTS}, {FAIR}, r AS (

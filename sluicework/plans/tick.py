@@ -41,7 +41,7 @@ def tick(work: DataFrame, budgets: DataFrame, credits: DataFrame, as_of: Column,
     for lane in model.LANES:
         # A lane without a grant or a candidate keeps its credits as they are.
         waiting = queue.candidates(work, budgets, as_of, config.rate_window).where(F.col("lane") == lane)
-        shared = cut(queue.fair_share(waiting, grants.where(F.col("lane") == lane), credits.where(F.col("lane") == lane)))
+        shared = cut(queue.fair_share(waiting, grants.where(F.col("lane") == lane), credits.where(F.col("lane") == lane), cut))
         kept.append(shared.select("lane", "tenant_id", "credit"))
         took = queue.claim(work, shared).select(F.col("id").alias("_sw_id"), F.lit(True).alias("_sw_took"))
         rows = work.join(took, work["id"] == took["_sw_id"], "left").drop("_sw_id")
