@@ -373,7 +373,8 @@ def train(docs: DataFrame, across: bool = False, buckets: int = 8) -> Model:
 
     found = counts.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(roots, "ctx long, node long, a long, b long, pw double")
     rows = found.groupBy("ctx", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toArrow()
-    tokens, distinct = (int(x) for x in next(((a, b) for c, a, b in zip(*(rows[c].to_pylist() for c in ("ctx", "a", "b")), strict=True) if c < 0), (0, 0)))
+    words = rows.filter(pc.less(rows["ctx"], 0))
+    tokens, distinct = (int(pc.sum(words[c]).as_py() or 0) for c in ("a", "b"))
     rows = rows.filter(pc.greater_equal(rows["ctx"], 0))
     node = (rows["ctx"].to_numpy() << 8) | rows["node"].to_numpy()
     order = np.argsort(node)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import crc_mod, dictionary, give_back, pieces, split_words, text_array
+from sluicework.llm.common import crc_mod, dictionary, give_back, pieces, quoted, split_words, text_array
 
 ORDERS = (1, 2, 3, 4)
 #: Buckets of a language, and the most languages of a model (128 MB of matrix).
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str =
     docs = docs.drop(lang_col, score_col)
     at = docs.columns.index(text)
     names = [*docs.columns, lang_col, score_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_col}` string, `{score_col}` double"
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema) + f", {quoted(lang_col)} string, {quoted(score_col)} double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -147,7 +147,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str =
                 pred, score = score_batch(texts.slice(a, b - a), shared.value)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(pred, pa.string()), pa.array(score)], names)
 
-    return docs.mapInArrow(apply, schema)
+    # By place, since mapInArrow looks its columns up by unquoted names.
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(apply, schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ are counted first, in parts, and then dealt out one by one, so they are as sprea
 Cases: null or empty text has size 0 and is copied with its expectation by a hash (it weighs nothing); a very long text is
 one unit like any other, and may be its source's last undecided one; rows of equal size are told apart by their hash; a
 null source is a source of its own, ordered last; repeated rows, null ids included, are rounded one by one; an empty table
-gives no row; other columns are kept by ``mix`` whatever their names, but none may hold a map.
+gives no row; other columns are kept by ``mix`` whatever their names; the entries of a map come
+back in the order of their keys.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from sluicework.llm.common import WORD, saved
+from sluicework.llm.common import WORD, quoted, saved
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 FAN = 32
@@ -89,9 +91,41 @@ def pivotal(units: Column) -> Column:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """(row, size, source_size, target, copies): ``row`` is the struct of all columns of ``docs``."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-    return mix_rows(rows)
+    row = F.struct(*[comparable(F.col(quoted(f.name)), f.dataType).alias(f.name) for f in docs.schema])
+    rows = docs.select(row.alias("row"), F.col(quoted(source)).alias("source"), word_count(F.col(quoted(text))).alias("size"))
+    return mix_rows(rows).withColumn("row", F.struct(*[as_given(F.col("row")[f.name], f.dataType).alias(f.name) for f in docs.schema]))
+
+
+def comparable(value: Column, kind: DataType) -> Column:
+    """``value`` with every map, at any depth, as a sorted list of its entries: maps can't be grouped by or ordered."""
+    if not _holds_map(kind):
+        return value
+    if isinstance(kind, MapType):
+        entry = lambda e: F.struct(comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: comparable(e, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*[comparable(value[f.name], f.dataType).alias(f.name) for f in kind]))
+
+
+def as_given(value: Column, kind: DataType) -> Column:
+    """What ``comparable`` was given."""
+    if not _holds_map(kind):
+        return value
+    if isinstance(kind, MapType):
+        entry = lambda e: F.struct(as_given(e["key"], kind.keyType).alias("key"), as_given(e["value"], kind.valueType).alias("value"))
+        return F.map_from_entries(F.transform(value, entry))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: as_given(e, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*[as_given(value[f.name], f.dataType).alias(f.name) for f in kind]))
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType)
 
 
 def mix_rows(rows: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.common import dictionary, give_back, hash64, mix64, pieces, saved, split_words, text_array
+from sluicework.llm.common import dictionary, give_back, hash64, mix64, pieces, quoted, saved, split_words, text_array
 from sluicework.llm.graph import components, sorted_groups
 from sluicework.llm.repeats import prefix_hashes, window_starts
 
@@ -318,7 +318,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """All columns of ``docs``, one row for each class; texts without words stay."""
     keep = near_copies(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
     keep = keep.select(F.col("doc_id").alias("keep_id"), F.col("th").alias("keep_th")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     marked = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
     kept = marked.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("t") == F.col("keep_th")), "left_semi")
     return kept.dropDuplicates(["id", "t"]).select("row.*")

@@ -28,6 +28,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.llm.common import quoted
+
 TRAIN_ROWS, WORDS, TREES, TREE_DEPTH = 20_000, 1_000, 15, 5
 SPAN, BEHIND, LEAST, CUT = 48, 16, 8, 1024
 MASK = "[REDACTED]"
@@ -218,16 +220,12 @@ def forest_score(x: Column, trees: list[str] | None) -> Column:
     return total / len(trees)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def scan(docs: DataFrame, text: str = "text", out: str = "findings", labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with an array of struct<value, start, score, is_secret>, one for each candidate.
 
     ``labelled``: (value, text, label) of findings that someone has judged, label 1 for a secret and 0 for none."""
     words = dictionary(docs, text)
-    found = findings(candidates(F.col(_quoted(text))), words)
+    found = findings(candidates(F.col(quoted(text))), words)
     if labelled is None:
         examples = docs.select(F.explode(found).alias("x")).select("x.*")
     else:
@@ -248,11 +246,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = scan(docs, text, "_sw_found")
     secrets = F.filter("_sw_found", lambda x: x["is_secret"])
     longest = F.array_sort(F.transform(secrets, lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("v"))))
-    body = F.aggregate(longest, F.col(_quoted(text)), lambda t, x: F.replace(t, x["v"], F.lit(MASK)))
+    body = F.aggregate(longest, F.col(quoted(text)), lambda t, x: F.replace(t, x["v"], F.lit(MASK)))
     masked = marked.withColumn(text, body)
     if "n_chars" in names:
         masked = masked.withColumn("n_chars", F.length(text).cast("long"))
-    return masked.select(*[F.col(_quoted(c)) for c in names])
+    return masked.select(*[F.col(quoted(c)) for c in names])
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluicework.llm import secrets
+from sluicework.llm import language_id, mixing, near_copies, secrets
 from sluicework.llm.common import saved
 from sluicework.llm.tokens import default_tokenizer
 from tests.llm.test_search import plain_classes
@@ -64,3 +64,20 @@ def test_mix_and_pack(stages):
     assert all(zlib.crc32(ids[d][a : a + n].tobytes()) == c for d, a, n, c in pieces[["doc_id", "start", "length", "ids_crc32"]].itertuples(index=False))
     fill = pieces.groupby("sequence_id").length.sum()
     assert fill.max() <= 2048 and (2048 - fill).sum() < 0.05 * fill.sum()
+
+
+def test_odd_columns_stay(spark):
+    """Names with a backtick or a dot, and maps at any depth, pass through every stage that keeps columns."""
+    rows = [(i, f"{' '.join(f'w{i % 7}x{k}' for k in range(20))}", "en", "s", {"b": [{"y": i}], "a": None}, (None if i == 3 else {i: "v"},), i) for i in range(12)] + [(12, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `m``p` map<string, array<map<string, int>>>, s struct<`in.ner`: map<int, string>>, `a.b` long")
+    want = {r.doc_id: r.asDict(recursive=True) for r in docs.collect()}
+    mixed = mixing.mix(docs).select("row.*")
+    assert mixed.columns == docs.columns and [f.dataType.simpleString() for f in mixed.schema] == [f.dataType.simpleString() for f in docs.schema]
+    assert {r.doc_id: r.asDict(recursive=True) for r in mixed.collect()} == want
+    assert {r.doc_id: r.asDict(recursive=True) for r in secrets.redact(docs).collect()} == want
+    kept = near_copies.drop_near_copies(docs)
+    assert {r.doc_id: r.asDict(recursive=True) for r in kept.collect()} == {i: want[i] for i in (*range(7), 12)}
+    plain = docs.drop("s")
+    named = language_id.identify(plain, language_id.train(plain))
+    assert named.columns == [*plain.columns, "lang_pred", "lang_score"]
+    assert {r.doc_id: r["m`p"] for r in named.collect()} == {i: x["m`p"] for i, x in want.items()}
