@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sluicework import model
 from sluicework.functions import media
@@ -19,8 +19,10 @@ from sluicework.functions.tables import LADDER
 from sluicework.operators import scan
 
 
-#: Values of a band that one hash asks for, at most; entries of a list that are sent at once; targets of a range of keyframes.
-ASKED, BLOCK, SPAN = 4096, 250_000, 64
+#: Values of a band that one hash asks for, at most; samples and entries of a list that a task compares at once; targets of a range of keyframes.
+ASKED, MEET, BLOCK, SPAN = 4096, 1 << 14, 1 << 16, 64
+#: Samples and entries of a list whose differences are held at once.
+TILE = 64, 4096
 
 
 def ladder_plan(sources: DataFrame) -> DataFrame:
@@ -257,21 +259,20 @@ def band_plan(width: int, most: int, samples: int, known: int) -> list[tuple[int
 def blocklist_match(samples: DataFrame, blocklist: DataFrame, most: int = model.MATCH_DISTANCE) -> DataFrame:
     """The nearest blocklist entry within ``most`` bits of each sample; ties go to the first entry.
 
-    samples: (sample_id, phash); blocklist: (pos, known). The bits that hashes differ in at all are cut into bands, chosen by
-    ``band_plan``: each entry asks for its own value of a band and all values within its radius, and the distance is
-    checked after. Where no bands prune enough (far distances, short lists) all samples are compared with the list, of which
-    blocks of ``BLOCK`` entries are sent to them.
+    samples: (sample_id, phash); blocklist: (pos, known). Of equal entries only the first is compared. The bits that hashes differ
+    in at all are cut into bands, chosen by ``band_plan``: each entry asks for its own value of a band and all values within its
+    radius, and the distance is checked after. Where no bands prune enough (far distances, short lists) all samples are compared
+    with the list, see ``_in_cells``.
     """
+    samples = samples.select("sample_id", "phash").where(F.col("phash").isNotNull())
+    firsts = blocklist.where(F.col("known").isNotNull()).groupBy("known").agg(F.min(F.struct("pos")).alias("p")).select("p.pos", "known")
     about = lambda df, c: df.agg(F.bit_or(c), F.bit_and(c), F.count(F.lit(1))).first()
-    (any_a, all_a, n_a), (any_b, all_b, n_b) = about(samples, "phash"), about(blocklist, "known")
+    (any_a, all_a, n_a), (any_b, all_b, n_b) = about(samples, "phash"), about(firsts, "known")
     used = ((any_a or 0) | (any_b or 0)) & ~((-1 if all_a is None else all_a) & (-1 if all_b is None else all_b)) & (1 << 64) - 1
     first = (used & -used).bit_length() - 1 if used else 0
     bands = band_plan(used.bit_length() - first, most, n_a, n_b) if used else None
-    near = media.hamming(F.col("phash"), F.col("known")) <= most
     if bands is None:
-        blocks = max(1, math.ceil(n_b / BLOCK))
-        of_block = lambda i: blocklist.where(F.pmod(F.xxhash64("pos"), F.lit(blocks)) == i) if blocks > 1 else blocklist
-        pairs = functools.reduce(DataFrame.unionByName, [samples.join(F.broadcast(of_block(i).select("pos", "known")), near) for i in range(blocks)])
+        pairs = _in_cells(samples.distinct(), firsts, math.ceil(n_a / MEET) or 1, math.ceil(n_b / BLOCK) or 1, most)
     else:
         cuts = list(itertools.accumulate((w for w, _ in bands), initial=first))
         part = lambda value, i: F.shiftrightunsigned(F.col(value), cuts[i]).bitwiseAND((1 << bands[i][0]) - 1)
@@ -282,12 +283,50 @@ def blocklist_match(samples: DataFrame, blocklist: DataFrame, most: int = model.
             return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in flips)})"), lambda x: F.struct(F.lit(i).alias("band"), part("known", i).bitwiseXOR(x).alias("slot")))
 
         mine = samples.select("sample_id", "phash", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part("phash", i).alias("slot")) for i in range(len(bands))])).alias("x"))
-        asked = blocklist.select("pos", "known", F.explode(F.flatten(F.array(*map(asks, range(len(bands)))))).alias("x"))
-        pairs = mine.select("sample_id", "phash", "x.*").join(asked.select("pos", "known", "x.*"), ["band", "slot"]).where(near)
-    best = pairs.withColumn("distance", media.hamming(F.col("phash"), F.col("known"))).groupBy("sample_id").agg(F.min(F.struct("distance", "pos", "known")).alias("b"))
+        asked = firsts.select("pos", "known", F.explode(F.flatten(F.array(*map(asks, range(len(bands)))))).alias("x"))
+        distance = media.hamming(F.col("phash"), F.col("known"))
+        pairs = mine.select("sample_id", "phash", "x.*").join(asked.select("pos", "known", "x.*"), ["band", "slot"]).where(distance <= most).withColumn("distance", distance)
+    best = pairs.groupBy("sample_id").agg(F.min(F.struct("distance", "pos", "known")).alias("b"))
     return best.select("sample_id", F.col("b.known").alias("known"), F.col("b.distance").alias("distance"))
 
 
+def _in_cells(samples: DataFrame, firsts: DataFrame, rows: int, columns: int, most: int) -> DataFrame:
+    """(sample_id, distance, pos, known): each sample's nearest entry of each of ``columns`` parts of the list, all pairs being compared.
+
+    ``rows`` parts of the samples meet the parts of the list in cells, one group each, so a task's work has a bound whatever the
+    size of the tables. Samples of equal hashes in a cell are compared once.
+    """
+    deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    over = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    cells = rows * columns
+    mine = samples.select("*", deal(rows, "sample_id", "phash").alias("row"), over(columns, "column")).repartition(cells, "row", "column")
+    listed = firsts.select("*", deal(columns, "known").alias("column"), over(rows, "row")).repartition(cells, "row", "column")
+    schema = StructType([samples.schema["sample_id"], StructField("distance", IntegerType()), *firsts.schema])
+
+    def met(some: pa.Table, entries: pa.Table) -> pa.Table:
+        entries = entries.sort_by([("pos", "ascending")], null_placement="at_start")
+        hashes, index = np.unique(some["phash"].to_numpy().astype(np.int64), return_inverse=True)
+        distance, at = nearest(hashes, entries["known"].to_numpy().astype(np.int64))
+        near = np.flatnonzero(distance[index] <= most)
+        found = entries.take(pa.array(at[index[near]]))
+        return pa.Table.from_arrays([some["sample_id"].take(pa.array(near)), pa.array(distance[index[near]], pa.int32()), found["pos"], found["known"]], names=schema.names)
+
+    return mine.groupBy("row", "column").cogroup(listed.groupBy("row", "column")).applyInArrow(met, schema)
+
+
+def nearest(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and place of the nearest of ``known`` for each hash, the first one where several are; 65 bits where there is none."""
+    best, at = np.full(len(hashes), 65, np.uint8), np.zeros(len(hashes), np.int64)
+    for a in range(0, len(hashes), TILE[0]):
+        mine, rows = slice(a, a + TILE[0]), np.arange(len(hashes[a : a + TILE[0]]))
+        for b in range(0, len(known), TILE[1]):
+            bits = np.bitwise_count((hashes[mine, None] ^ known[None, b : b + TILE[1]]).view(np.uint64))
+            first = bits.argmin(axis=1)
+            nearer = bits[rows, first] < best[mine]
+            best[mine], at[mine] = np.where(nearer, bits[rows, first], best[mine]), np.where(nearer, first + b, at[mine])
+    return best, at
+
+
 def asset_hits(samples: DataFrame, matches: DataFrame) -> DataFrame:
     """The nearest hit of each asset's samples, first sample first."""
     rows = samples.join(matches, "sample_id").groupBy("asset").agg(F.min(F.struct("distance", "index", "known")).alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,3 +427,41 @@ def test_listings_are_in_order(spark, tmp_path):
         (tmp_path / name).write_text("x")
     assert [r.name for r in storage.listing(spark, str(tmp_path), extensions=["mp4", ".mkv", "mov"]).collect()] == ["a.mkv", "e.tar.mov"]
     assert [r.name for r in storage.listing(spark, str(tmp_path)).collect()] == ["a.mkv", "b.MP4", "c.txt", "e.tar.mov", "mp4"]
+
+
+def test_hashes_are_compared_in_cells_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(3)
+    known = [rng.getrandbits(64) - (1 << 63) for _ in range(50)]
+    samples = [rng.getrandbits(64) - (1 << 63) for _ in range(200)] + [7] * 200
+    # Equal entries and samples, nulls on both sides; an entry without a place comes first.
+    listed = [*enumerate([*known, *known[:20]]), (None, known[3]), (70, None)]
+    monkeypatch.setattr(plan, "MEET", 50)
+    monkeypatch.setattr(plan, "BLOCK", 9)
+    monkeypatch.setattr(plan, "TILE", (16, 4))
+    sizes = spark.sparkContext.accumulator(0)
+    work = plan.nearest
+
+    def counted(hashes, entries):
+        sizes.add(len(hashes) * len(entries))
+        # Cells deal by hash, so they are even on average only.
+        assert len(hashes) <= 2 * 50 and len(entries) <= 3 * 9
+        return work(hashes, entries)
+
+    monkeypatch.setattr(plan, "nearest", counted)
+    a = spark.createDataFrame([*enumerate(samples), (400, None)], "sample_id long, phash long")
+    b = spark.createDataFrame(listed, "pos long, known long")
+    got = {r.sample_id: (r.distance, r.known) for r in plan.blocklist_match(a, b, 32).collect()}
+    apart = lambda x, k: ((x ^ k) & (1 << 64) - 1).bit_count()
+    want = {i: min((apart(x, k), -1 if pos is None else pos, k) for pos, k in listed if k is not None) for i, x in enumerate(samples)}
+    assert got == {i: (d, k) for i, (d, _, k) in want.items() if d <= 32}
+    # 200 equal samples are compared once in each of their cells at most, and each entry once.
+    assert 0 < sizes.value <= (200 + 8) * 50
+    distance, at = work(np.array(samples[:40]), np.array(known))
+    assert [(d, i) for d, i in zip(distance, at, strict=True)] == [min((apart(x, k), i) for i, k in enumerate(known)) for x in samples[:40]]
+
+
+@pytest.mark.parametrize("n_samples, n_known", [(0, 3), (3, 0), (0, 0)])
+def test_hash_matching_of_empty_tables(spark, n_samples, n_known):
+    a = spark.createDataFrame([(i, i) for i in range(n_samples)], "sample_id long, phash long")
+    b = spark.createDataFrame([(i, i) for i in range(n_known)], "pos long, known long")
+    assert plan.blocklist_match(a, b).collect() == []
