@@ -465,3 +465,20 @@ def test_hash_matching_of_empty_tables(spark, n_samples, n_known):
     a = spark.createDataFrame([(i, i) for i in range(n_samples)], "sample_id long, phash long")
     b = spark.createDataFrame([(i, i) for i in range(n_known)], "pos long, known long")
     assert plan.blocklist_match(a, b).collect() == []
+
+
+def test_asset_hits_over_several_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    known = [rng.getrandbits(56) for _ in range(30)]
+    hashes = [rng.choice(known) ^ sum(1 << b for b in rng.sample(range(56), rng.randint(0, 12))) for _ in range(120)]
+    monkeypatch.setattr(plan, "MEET", 20)
+    monkeypatch.setattr(plan, "BLOCK", 6)
+    cells = []
+    inner = plan._in_cells
+    monkeypatch.setattr(plan, "_in_cells", lambda a, b, rows, columns, most: cells.append((rows, columns)) or inner(a, b, rows, columns, most))
+    samples = spark.createDataFrame([(i, i // 10, i % 10, h) for i, h in enumerate(hashes)], "sample_id long, asset long, index long, phash long")
+    listed = spark.createDataFrame(list(enumerate(known)), "pos long, known long")
+    got = {tuple(r) for r in plan.asset_hits(samples.drop("phash"), plan.blocklist_match(samples.select("sample_id", "phash"), listed, 16)).collect()}
+    near = [min(((h ^ k).bit_count(), pos) for pos, k in enumerate(known)) for h in hashes]
+    best = [min((d, i, pos) for i, (d, pos) in enumerate(near[a * 10 : a * 10 + 10])) for a in range(12)]
+    assert got == {(a, d, i, known[pos]) for a, (d, i, pos) in enumerate(best) if d <= 16} and cells == [(6, 5)]
