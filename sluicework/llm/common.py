@@ -100,7 +100,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def dictionary(words: pa.Array) -> tuple[list, np.ndarray]:
     """Distinct words as str, and the index of each word among them."""
     coded = words.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
 
 
 def hash64(words: list) -> np.ndarray:

@@ -36,6 +36,8 @@ TOP = 2
 #: Whether a context reaches back over the start of its word.
 ACROSS = True
 CHUNK_BYTES, BUCKET_BYTES, PIECE, SLICE = 12 << 20, 12 << 20, 1 << 20, 1 << 18
+#: Bytes whose keys are sorted at once where only their counts are asked for.
+SORTED = 4 << 20
 #: Distinct grams and words that a task of the training pass gathers before it sends them on.
 GRAMS_HELD, WORDS_HELD = 1_000_000, 500_000
 END = 10
@@ -51,15 +53,15 @@ def _contexts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Key of each byte of ``raw``: the bytes before it from the nearest to the farthest, then the byte itself.
 
     No context reaches back over one of the (sorted) ``starts``. Contexts that share a suffix share a prefix of their keys."""
-    wide, keys = raw.astype(np.int64), raw.astype(np.int64)
-    near = np.zeros(0, np.int64)
-    for k in range(1, DEPTH + 1):
-        near = np.concatenate([near, starts + (k - 1)])  # bytes with less than k before them; past a short text lies the start of the next
-        before = np.zeros(len(raw), np.int64)
-        before[k:] = wide[:-k]
-        before[near[near < len(raw)]] = 0
-        before <<= 8 * (DEPTH - k + 1)
-        keys |= before
+    padded = np.concatenate([np.zeros(DEPTH, np.uint8), raw, np.zeros(8 - DEPTH, np.uint8)])
+    # The eight bytes from the farthest one on, read as a number whose lowest byte comes first: the nearest are the highest.
+    keys = np.ndarray(len(raw), "<i8", padded, strides=(1,)) & ((1 << 8 * DEPTH) - 1)
+    keys <<= 8
+    keys |= raw
+    for k in range(DEPTH):
+        # Bytes with k before them; past a short text lies the start of the next, which keeps less.
+        at = starts + k
+        keys[at[at < len(raw)]] &= ((1 << 8 * k) - 1) << 8 * (DEPTH - k + 1) | 255
     return keys
 
 
@@ -75,18 +77,17 @@ def text_grams(texts: pa.Array, across: bool) -> tuple[np.ndarray, np.ndarray]:
 
     With ``across`` a context reaches back to the start of the text, without it to the start of the word.
     """
-    spaced = pc.binary_join_element_wise(pc.ascii_lower(texts), *(pa.scalar(x, pa.large_string()) for x in ("", " ")))
+    spaced = pc.binary_join_element_wise(pc.ascii_lower(texts), *(pa.scalar(x, pa.large_string()) for x in ("", " " + chr(END))))
     bounds = np.concatenate([[0], np.cumsum(pc.binary_length(spaced).to_numpy().astype(np.int64))])
     raw = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[: bounds[-1]]
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    space[bounds[1:] - 1] = False
     first = np.ones(len(raw), bool)
     first[1:] = space[:-1]
     first[bounds[:-1]] = True
     keep = ~(space & first)
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))[keep]
-    out = np.full(len(text) + len(texts), END, np.uint8)
-    out[np.arange(len(text)) + text] = np.where(space, np.uint8(32), raw)[keep]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)) + 1)])
+    out = np.where(space, np.uint8(32), raw)[keep]
+    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, bounds[:-1], dtype=np.int64))]) if len(texts) else bounds
     starts = bounds[:-1] if across else np.union1d(bounds[:-1], np.flatnonzero(out == 32) + 1)
     return _contexts(out, starts), bounds
 
@@ -112,38 +113,56 @@ class Sums:
 
 @dataclass
 class Piece:
-    """A run of texts: its distinct keys, which of them each byte has, and the bounds of the texts."""
+    """A run of up to 256 texts: its distinct keys in order, how many bytes have each, the text of each byte in order of keys and the bytes of each text."""
 
     first: int
     last: int
     keys: np.ndarray
-    index: np.ndarray
-    ends: np.ndarray
+    times: np.ndarray
+    text: np.ndarray
+    coded: np.ndarray
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over the bytes of each text of what ``values`` has for their keys; a text's sum rests on no other text."""
+        return np.bincount(self.text, np.repeat(values, self.times), self.last - self.first)
 
 
 def gram_pieces(texts: pa.Array, across: bool):
-    for a, b in pieces(texts, PIECE):
+    for a, b in ((c, min(c + 256, b)) for a, b in pieces(texts, PIECE) for c in range(a, b, 256)):
         grams, ends = text_grams(texts.slice(a, b - a), across)
-        keys, index = np.unique(grams, return_inverse=True)
-        yield Piece(a, b, keys, index.astype(np.int32), ends)
+        # A key has seven bytes, so the number of its text fits beside it.
+        both = grams.view(np.uint64)
+        both <<= np.uint64(8)
+        both |= np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(ends))
+        both.sort()
+        keys = (both >> np.uint64(8)).view(np.int64)
+        first = _firsts(keys)
+        yield Piece(a, b, keys[first], np.diff(first, append=len(keys)), both.astype(np.uint8), np.diff(ends))
 
 
 def gram_counts(texts: pa.Array, trained: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of all texts, and how often each occurs in the ``trained`` ones."""
     sums = Sums()
-    for a, b in pieces(texts, PIECE):
+    for a, b in pieces(texts, SORTED):
         grams, ends = text_grams(texts.slice(a, b - a), across)
-        learned = np.repeat(trained[a:b], np.diff(ends))
-        for some, weight in ((grams[learned], 1), (grams[~learned], 0)):
-            keys, counts = np.unique(some, return_counts=True)
-            sums.add(keys, counts * weight)
+        # A key has seven bytes, so whether its text is learned from fits beside it, and one sort without an order is enough.
+        grams <<= 1
+        grams |= np.repeat(trained[a:b], np.diff(ends))
+        grams.sort()
+        first = _firsts(grams >> 1)
+        sums.add(grams[first] >> 1, np.add.reduceat(grams & 1, first) if len(first) else np.zeros(0, np.int64))
     return sums.settle()
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """The places of sorted ``values`` that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = _firsts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
@@ -305,7 +324,7 @@ def counted(docs: DataFrame, buckets: int, across: bool) -> DataFrame:
     def count(batches):
         give_back()
         grams, words = Sums(), Sums(np.uint64)
-        for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, 2 * PIECE)):
+        for texts in (t.slice(a, b - a) for batch in batches for t in [text_array(batch.column(0))] for a, b in pieces(t, SORTED)):
             all_texts = np.ones(len(texts), bool)
             grams.add(*gram_counts(texts, all_texts, across))
             if len(grams.keys) > GRAMS_HELD:
@@ -445,15 +464,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         logs = np.log10(c + 1.0)
         base = segment_sum(logs[index], offsets) + logs[-1] - (n + 1) * math.log10(n_all + n_distinct + 1)
         known = segment_sum((c > 0)[index], offsets).astype(np.int64) + int(c[-1] > 0)
-        keys, _ = gram_counts(texts, np.zeros(len(texts), bool), ACROSS)
+        parts = list(gram_pieces(texts, ACROSS))
+        keys = np.sort(np.concatenate([np.zeros(0, np.int64), *(part.keys for part in parts)]))
+        keys = keys[_firsts(keys)]
         order, bounds = by_bucket(keys, buckets)
         logp = np.zeros(len(keys), np.float32)
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             logp[order[bounds[b] : bounds[b + 1]]] = np.frombuffer(answers[buckets + b], np.float32)
         total_score, coded = np.zeros(len(texts)), np.zeros(len(texts))
-        for part in gram_pieces(texts, ACROSS):
-            total_score[part.first : part.last] = segment_sum(logp[np.searchsorted(keys, part.keys)][part.index], part.ends)
-            coded[part.first : part.last] = np.diff(part.ends)
+        for part in parts:
+            total_score[part.first : part.last] = part.sums(logp[np.searchsorted(keys, part.keys)])
+            coded[part.first : part.last] = part.coded
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         columns = [
             table["doc_id"], table["held_out"], pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total_score),

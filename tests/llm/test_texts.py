@@ -6,10 +6,12 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -220,6 +222,24 @@ def test_scores_read_earlier_words(spark):
     assert abs(got - sum(slow_tree(symbols, ctx, b) for ctx, b in at)) < 1e-3
 
 
+def test_sums_of_a_text_over_its_keys_rest_on_no_other_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB \t\né") for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(600)]
+    texts[599] = texts[3] = texts[300] = "ab  Ba é" * 9
+    value = lambda key: float(np.float32(key % 977) / np.float32(97))
+    sums, coded = [], []
+    for part in context_tree.gram_pieces(pa.array(texts, pa.large_string()), True):
+        assert part.last - part.first <= 256 and (np.diff(part.keys) > 0).all()
+        sums += part.sums(np.array([value(k) for k in part.keys.tolist()])).tolist()
+        coded += part.coded.tolist()
+    for text, got, n in zip(texts, sums, coded, strict=True):
+        seq = "".join(w + " " for w in re.split("[ \t\n]+", text.lower()) if w).encode() + bytes([context_tree.END])
+        padded = bytes(context_tree.DEPTH) + seq
+        keys = [int.from_bytes(padded[i : i + context_tree.DEPTH][::-1] + seq[i : i + 1], "big") for i in range(len(seq))]
+        assert n == len(seq) and abs(got - sum(map(value, keys))) < 1e-9 * len(seq)
+    assert sums[3] == sums[300] == sums[599]
+
+
 def test_a_rare_context_is_kept_whatever_the_size_of_the_text(spark):
     """One word in 70,000: its contexts are far below 1/32768 of the bytes and still foretell its end."""
     rows = [(i, "ab " * 7000) for i in range(10)] + [(10, "zqxjkv")]
