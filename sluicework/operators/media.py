@@ -293,14 +293,14 @@ def blocklist_match(samples: DataFrame, blocklist: DataFrame, most: int = model.
 def _in_cells(samples: DataFrame, firsts: DataFrame, rows: int, columns: int, most: int) -> DataFrame:
     """(sample_id, distance, pos, known): each sample's nearest entry of each of ``columns`` parts of the list, all pairs being compared.
 
-    ``rows`` parts of the samples meet the parts of the list in cells, one group each, so a task's work has a bound whatever the
-    size of the tables. Samples of equal hashes in a cell are compared once.
+    ``rows`` parts of the samples meet the parts of the list in cells. A cell is a partition of its own (dealt by its hash, several
+    would meet in one), so a task's work has a bound whatever the size of the tables. Samples of equal hashes in a cell are compared once.
     """
     deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    over = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
-    cells = rows * columns
-    mine = samples.select("*", deal(rows, "sample_id", "phash").alias("row"), over(columns, "column")).repartition(cells, "row", "column")
-    listed = firsts.select("*", deal(columns, "known").alias("column"), over(rows, "row")).repartition(cells, "row", "column")
+    over = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)).alias("cell")
+    row, column = deal(rows, "sample_id", "phash"), deal(columns, "known")
+    mine = samples.select("*", over(columns, lambda i: row * columns + i)).repartitionById(rows * columns, "cell")
+    listed = firsts.select("*", over(rows, lambda i: i * columns + column)).repartitionById(rows * columns, "cell")
     schema = StructType([samples.schema["sample_id"], StructField("distance", IntegerType()), *firsts.schema])
 
     def met(some: pa.Table, entries: pa.Table) -> pa.Table:
@@ -311,7 +311,7 @@ def _in_cells(samples: DataFrame, firsts: DataFrame, rows: int, columns: int, mo
         found = entries.take(pa.array(at[index[near]]))
         return pa.Table.from_arrays([some["sample_id"].take(pa.array(near)), pa.array(distance[index[near]], pa.int32()), found["pos"], found["known"]], names=schema.names)
 
-    return mine.groupBy("row", "column").cogroup(listed.groupBy("row", "column")).applyInArrow(met, schema)
+    return mine.groupBy("cell").cogroup(listed.groupBy("cell")).applyInArrow(met, schema)
 
 
 def nearest(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -482,3 +482,12 @@ def test_asset_hits_over_several_cells(spark, monkeypatch):
     near = [min(((h ^ k).bit_count(), pos) for pos, k in enumerate(known)) for h in hashes]
     best = [min((d, i, pos) for i, (d, pos) in enumerate(near[a * 10 : a * 10 + 10])) for a in range(12)]
     assert got == {(a, d, i, known[pos]) for a, (d, i, pos) in enumerate(best) if d <= 16} and cells == [(6, 5)]
+
+
+def test_every_cell_is_a_partition_of_its_own(spark):
+    rng = random.Random(12)
+    a = spark.createDataFrame([(i, rng.getrandbits(56)) for i in range(400)], "sample_id long, phash long")
+    b = spark.createDataFrame([(i, rng.getrandbits(56)) for i in range(90)], "pos long, known long")
+    # Every sample is within 64 bits of each part of the list, so it gives a row in each of three cells.
+    found = plan._in_cells(a, b, 8, 3, 64).groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) == 24 and sum(r["count"] for r in found) == 3 * 400 and max(r["count"] for r in found) < 100
